@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = " \n\t\r"
+#: Characters that are letters or digits in every version of Unicode.
+LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 #: Fragments that one worker remembers, and characters that a remembered fragment has at most.
 REMEMBERED, SHORT = 600_000, 64
 #: Fragments that go to the library in one call, and characters of texts handled together.
-CALL_FRAGMENTS, GROUP_CHARS = 4096, 1 << 20
+CALL_FRAGMENTS, GROUP_CHARS = 4096, 1 << 22
 
 
 def byte_of_char() -> dict[str, int]:
@@ -98,7 +100,12 @@ class FragmentEncoder:
         s, u = re.escape(cut_before), f"[{uncertain}\U00010000-\U0010ffff]"
         if not cut_before:
             return lambda text: [text]
-        return re.compile(f"[{s}]*[^{s}]+(?:(?<={u})[{s}]+[^{s}]+)*(?:(?<={u})[{s}]+)?|[{s}]+").findall
+        # between a letter or digit and a mark the pre-tokeniser cuts, too; only where the pair of bytes is certain
+        marks = [c for c in range(33, 127) if not chr(c).isalnum() and self.never[[b for b in range(128) if chr(b).isalnum()], c].all()]
+        fit = "".join(c for c in map(chr, range(48, 0x250)) if re.fullmatch(f"[{LETTERS}]", c) and self.never[c.encode()[-1], marks].all())
+        m = "".join(re.escape(chr(c)) for c in marks)
+        word = f"[{s}]*[{LETTERS}]++(?:(?=[{s}])(?<!{u})|(?=[{m}])(?<=[{fit}])|\\Z)" if marks and fit else "(?!)"
+        return re.compile(f"{word}|[{s}]*[^{s}]+(?:(?<={u})[{s}]+[^{s}]+)*(?:(?<={u})[{s}]+)?|[{s}]+").findall
 
     def _joinable(self) -> Callable[[str], object]:
         """Whether a fragment may stand between others in one text for the library."""
