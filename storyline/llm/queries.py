@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import bpe, line_dedup, neighbours, ngram_join, packing, token_counts, token_files, url_filters
+from storyline.llm import bpe, fingerprints, line_dedup, neighbours, ngram_join, packing, quality, token_counts, token_files, url_filters
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -29,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -37,6 +42,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.selected(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -50,7 +60,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_token_counts, op5_neighbours, op6_line_dedup, op8_packing, op9_bpe, op10_url_filters)}
+    own = (
+        op1_ngram_join,
+        op2_token_files,
+        op3_token_counts,
+        op4_fingerprints,
+        op5_neighbours,
+        op6_line_dedup,
+        op7_quality,
+        op8_packing,
+        op9_bpe,
+        op10_url_filters,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = r"""
@@ -100,4 +122,5 @@ SELECT u.page_id, u.host, u.path, b.rule AS rule, coalesce(b.v, 'allow') AS verd
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    found = {"op1_ngram_join": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
