@@ -2,12 +2,17 @@
 
 A byte pair that occurs inside no token of the vocabulary can never be merged,
 so a cut between its two bytes is certain: the ids of the two sides, encoded on
-their own, follow each other in the ids of the whole.  Cuts are made before
-white space, where the pre-tokeniser of the public byte-level vocabularies also
-begins a new piece whatever stands before.  What lies between two cuts (mostly
-one word) is encoded independently by the ``tokenizers`` library; as words recur,
-each worker keeps a bounded table of fragments that it has met.  Texts never
-leave their partition: no shuffle, and memory is bounded by one Arrow batch.
+their own, follow each other in the ids of the whole.  A table of 256 x 256 pairs
+says where to cut: pairs that are certain and at which the pre-tokeniser begins
+a new piece whatever stands around (before white space, and between a letter or
+digit and a mark).  What lies between two cuts, mostly one word, is encoded
+independently by the ``tokenizers`` library.
+
+As words recur, each worker keeps a bounded table of fragments that it has met,
+from a 64-bit hash of the fragment's bytes to its ids (among the million
+fragments that a worker may know, two share a hash with a probability of 3e-8).  Cutting,
+hashing and looking up run over whole Arrow batches with numpy.  Texts never leave
+their partition: no shuffle, and memory is bounded by one Arrow batch.
 
 Results for special cases: null and empty texts have no ids and decode to the
 empty text; special strings inside texts are special tokens, as by the library's
@@ -19,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEPARATORS = " \n\t\r"
-#: Characters that are letters or digits in every version of Unicode.
-LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
-#: Fragments that one worker remembers, and characters that a remembered fragment has at most.
-REMEMBERED, SHORT = 600_000, 64
-#: Fragments that go to the library in one call, and characters of texts handled together.
-CALL_FRAGMENTS, GROUP_CHARS = 4096, 1 << 22
+from storyline.llm import words as W
+
+SEPARATORS = b" \n\t\r"
+#: ASCII and the letters and signs of Latin-1.
+PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+").fullmatch
+#: Fragments that one worker remembers (a power of two of places, half of them used), and bytes that one has at most.
+PLACES, SHORT = 1 << 21, 64
+#: Fragments that go to the library in one call, and bytes of texts handled together.
+CALL_FRAGMENTS, GROUP_BYTES = 4096, 1 << 20
 
 
 def byte_of_char() -> dict[str, int]:
@@ -44,6 +51,57 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memory:
+    """From 64-bit hashes to ids: open addressing in flat arrays, read and filled by whole arrays."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys = np.zeros(PLACES, dtype=np.uint64)
+        self.start = np.zeros(PLACES, dtype=np.int64)
+        self.length = np.zeros(PLACES, dtype=np.int32)
+        self.pool = np.zeros(1 << 20, dtype=dtype)
+        self.held = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is unknown."""
+        mask = np.uint64(PLACES - 1)
+        at = (hashes & mask).astype(np.int64)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            key = self.keys[at]
+            hit = key == hashes[open_]
+            out[open_[hit]] = at[hit]
+            on = ~hit & (key != 0)
+            open_, at = open_[on], (at[on] + 1) & (PLACES - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Different unknown hashes with their ids, one after the other; what doesn't fit any more is left out."""
+        room = PLACES // 2 - self.held
+        hashes, lengths = hashes[:room], lengths[:room]
+        ids = ids[: int(lengths.sum())]
+        if len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=self.pool.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.held += len(hashes)
+        at, open_ = (hashes & np.uint64(PLACES - 1)).astype(np.int64), np.arange(len(hashes))
+        while len(open_):
+            free = self.keys[at] == 0
+            taken, first = np.unique(at[free], return_index=True)
+            who = open_[free][first]
+            self.keys[taken], self.start[taken], self.length[taken] = hashes[who], start[who], lengths[who]
+            on = self.keys[at] != hashes[open_]
+            open_, at = open_[on], (at[on] + 1) & (PLACES - 1)
+
+
+def joined_ids(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """pool[start : start + length] of all, one after the other."""
+    ends = np.cumsum(length)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)]
+
+
 class FragmentEncoder:
     """Encodes texts by a tokenizers file, fragment by fragment, to exactly the library's ids."""
 
@@ -59,12 +117,14 @@ class FragmentEncoder:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
         self.bytes_of = self._token_bytes()
+        self.spelt = np.array([len(b) for b in self.bytes_of])
         self.never = ~self._pairs()
-        self.find = self._finder()
-        self.spelt = np.array([len(b.rstrip(b" ")) if self.suffix else len(b) for b in self.bytes_of])
-        self.joinable = self._joinable()
+        self.cuts = self._cuts()
+        self.closing = {b for b in range(256) if all(self.cuts[b << 8 | c] for c in SEPARATORS)}
+        self.memory = Memory(self.dtype)
+        # a vocabulary of words spells both cases alike
+        self.values = W.LOWERED if self.suffix else np.arange(256, dtype=np.uint64)
 
     def _token_bytes(self) -> list[bytes]:
         as_byte = byte_of_char()
@@ -73,9 +133,8 @@ class FragmentEncoder:
             if token in self.special:
                 table[i] = token.encode()
             else:
-                end = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
-                body = token[: -len(self.suffix)] if end else token
-                table[i] = bytes(as_byte[c] for c in body if c in as_byte) + b" " * end
+                body = token.removesuffix(self.suffix) if self.suffix else token
+                table[i] = bytes(as_byte[c] for c in body if c in as_byte)
         return table
 
     def _pairs(self) -> np.ndarray:
@@ -83,102 +142,141 @@ class FragmentEncoder:
         pairs = np.zeros((256, 256), dtype=bool)
         for i, token in enumerate(self.bytes_of):
             if len(token) > 1 and i not in self.special.values():
-                body = np.frombuffer(token.rstrip(b" ") if self.suffix else token, dtype=np.uint8)
+                body = np.frombuffer(token, dtype=np.uint8)
                 pairs[body[:-1], body[1:]] = True
         return pairs
 
-    def _finder(self) -> Callable[[str], list[str]]:
-        """Splits a text at its certain cuts."""
-        if self.suffix:  # words end at white space, which has no ids; 0x1C-0x1F are none to the library
-            words, odd = re.compile(r"[^ \n\t\r\x0b\x0c]+"), re.compile("[\x1c-\x1f]")
-            return lambda text: words.findall(text) if odd.search(text) else text.split()
-        white = [ord(c) for c in SEPARATORS]
-        cut_before = "".join(c for c in SEPARATORS if self.never[[b for b in range(128) if b not in white], ord(c)].all())
-        # characters above U+007F end in one of 64 bytes; those whose last byte precedes a separator in a token
-        open_ends = [b for b in range(128, 192) if not self.never[b, [ord(c) for c in cut_before]].all()]
-        uncertain = "".join(re.escape(chr(c)) for c in range(128, 1 << 16) if c & 63 | 128 in open_ends and not 0xD800 <= c < 0xE000)
-        s, u = re.escape(cut_before), f"[{uncertain}\U00010000-\U0010ffff]"
-        if not cut_before:
-            return lambda text: [text]
-        # between a letter or digit and a mark the pre-tokeniser cuts, too; only where the pair of bytes is certain
-        marks = [c for c in range(33, 127) if not chr(c).isalnum() and self.never[[b for b in range(128) if chr(b).isalnum()], c].all()]
-        fit = "".join(c for c in map(chr, range(48, 0x250)) if re.fullmatch(f"[{LETTERS}]", c) and self.never[c.encode()[-1], marks].all())
-        m = "".join(re.escape(chr(c)) for c in marks)
-        word = f"[{s}]*[{LETTERS}]++(?:(?=[{s}])(?<!{u})|(?=[{m}])(?<=[{fit}])|\\Z)" if marks and fit else "(?!)"
-        return re.compile(f"{word}|[{s}]*[^{s}]+(?:(?<={u})[{s}]+[^{s}]+)*(?:(?<={u})[{s}]+)?|[{s}]+").findall
-
-    def _joinable(self) -> Callable[[str], object]:
-        """Whether a fragment may stand between others in one text for the library."""
-        # neither special strings nor, for words, characters that normalising makes longer or shorter
-        plain = r"[\x21-;=-~\xa1-\u012f\u0131-\u0148\u014a-\u017e]" if self.suffix else r"[^<]"
-        if self.suffix:
-            return re.compile(f"{plain}{{1,{SHORT}}}").fullmatch
-        # a fragment must bring the white space before which the cut is certain, and end in none
-        return re.compile(f"[ \n\t\r](?=.{{1,{SHORT}}}\\Z){plain}*[\x21-;=-\x7f\xa1-\xbf\xc1-\xdf\xe1-\xff]", re.DOTALL).fullmatch
-
-    def _encode_each(self, fragments: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(fragments, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+    def _cuts(self) -> np.ndarray:
+        """cuts[a << 8 | b]: a cut between bytes a and b is certain and a border of the pre-tokeniser."""
+        border = np.zeros((256, 256), dtype=bool)
+        white = [ord(c) for c in map(chr, range(128)) if c.isspace()]
+        solid = [b for b in range(256) if b not in white]
+        border[np.ix_(solid, list(SEPARATORS))] = True
+        letters = [b for b in range(128) if chr(b).isalnum()]
+        marks = [b for b in range(33, 127) if not chr(b).isalnum()]
+        border[np.ix_(letters, marks)] = True
+        return (border & self.never).reshape(-1)
+
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Begin and end of the special strings that stand within a text."""
+        raw, found = data.tobytes(), []
+        for text in self.special:
+            want = text.encode()
+            at = raw.find(want)
+            while at >= 0:
+                if np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, at + len(want), side="left"):
+                    found.append((at, at + len(want)))
+                at = raw.find(want, at + 1)
+        return found
 
-    def _encode_joined(self, fragments: list[str]) -> list[bytes] | None:
+    def spans(self, data: np.ndarray, offsets: np.ndarray, specials: Sequence[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the fragments; none ends inside a special string."""
+        if self.suffix:  # words end at white space, which has no ids
+            return W.word_spans(data, offsets)
+        first = np.zeros(len(data) + 1, dtype=bool)
+        first[offsets] = True
+        first[1 : len(data)] |= self.cuts[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        for i, j in specials:
+            first[i + 1 : j] = False
+        first[len(data)] = True
+        places = np.flatnonzero(first)
+        return places[:-1], places[1:]
+
+    def _each(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(fragments, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], dtype=self.dtype), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _together(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """One call for many fragments; the ids are dealt out by the bytes that they spell.
 
         None if some id reaches over a joint (then the fragments were not fit to be joined).
         """
-        glue = " " if self.suffix else ""
-        ids = np.array(self.library.encode_batch_fast([glue.join(fragments)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        ends = np.cumsum([len(f.encode()) for f in fragments])
+        text = (b" " if self.suffix else b"").join(fragments).decode()
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.cumsum([len(f) for f in fragments])
         spelt = np.cumsum(self.spelt[ids])
         cuts = np.searchsorted(spelt, ends, side="left")
         if not len(ids) or cuts[-1] != len(ids) - 1 or (spelt[cuts] != ends).any():
             return None
-        raw, width, start, out = ids.tobytes(), self.dtype.itemsize, 0, []
-        for end in ((cuts + 1) * width).tolist():
-            out.append(raw[start:end])
-            start = end
-        return out
+        return ids, np.diff(cuts, prepend=-1)
 
-    def _learn(self, fragments: list[str]) -> dict[str, bytes]:
-        """The ids of fragments that aren't in the table; short ones enter it while there is room."""
-        fit = self.joinable
-        joined = [f for f in fragments if fit(f)]
-        found: dict[str, bytes] = {}
-        for part in (joined[i : i + CALL_FRAGMENTS] for i in range(0, len(joined), CALL_FRAGMENTS)):
-            found.update(zip(part, self._encode_joined(part) or self._encode_each(part), strict=True))
-        if len(self.known) + len(found) <= REMEMBERED:
-            self.known.update(found)
-        if len(joined) < len(fragments):
-            single = [f for f in fragments if f not in found]
-            found.update(zip(single, self._encode_each(single), strict=True))
-        return found
-
-    def groups(self, texts: Sequence[str]) -> Iterator[list[bytes]]:
-        """For texts of about GROUP_CHARS together: the ids of each text, as bytes."""
-        start, known = 0, self.known
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and (end == start or chars + len(texts[end]) <= GROUP_CHARS):
-                chars += len(texts[end])
-                end += 1
-            cut = [self.find(t) for t in texts[start:end]]
-            here = set().union(*cut)
-            ids = {f: known[f] for f in here if f in known}
-            if len(ids) < len(here):
-                ids |= self._learn([f for f in here if f not in ids])
-            yield [b"".join(map(ids.__getitem__, x)) for x in cut]
+    def _fit(self, fragment: bytes) -> bool:
+        """Whether a fragment may stand between others in one text for the library."""
+        if self.suffix:  # only characters that normalising neither composes nor makes longer or shorter
+            return PLAIN(fragment) is not None
+        # it must bring the white space before which the cut is certain, and end so that the next cut is
+        return fragment[0] in SEPARATORS and fragment[-1] in self.closing
+
+    def _learn(self, hashes: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, lengths) of unknown fragments; they are remembered while there is room."""
+        fit = [i for i, f in enumerate(fragments) if self._fit(f)]
+        rest = sorted(set(range(len(fragments))).difference(fit))
+        ids, lengths = [], []
+        for k in range(0, len(fit), CALL_FRAGMENTS):
+            part = [fragments[i] for i in fit[k : k + CALL_FRAGMENTS]]
+            a, b = self._together(part) or self._each([f.decode() for f in part])
+            ids.append(a)
+            lengths.append(b)
+        for k in range(0, len(rest), CALL_FRAGMENTS):
+            a, b = self._each([fragments[i].decode() for i in rest[k : k + CALL_FRAGMENTS]])
+            ids.append(a)
+            lengths.append(b)
+        order, all_ids, all_lengths = np.array(fit + rest), np.concatenate(ids), np.concatenate(lengths)
+        self.memory.add(hashes[order], all_ids, all_lengths)
+        return order, all_ids, all_lengths
+
+    def _encode_group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin."""
+        specials = self.specials(data, offsets)
+        begin, end = self.spans(data, offsets, specials)
+        memory = self.memory
+        hashes = np.maximum(W.span_hashes(data, begin, end, self.values), np.uint64(1))
+        # long fragments and those with a special string go to the library each by each
+        alone = end - begin > SHORT
+        for i, _ in specials:
+            alone[np.searchsorted(begin, i, side="right") - 1] = True
+        at = memory.find(hashes)
+        at[alone] = -1
+        start, length, pool = memory.start[at], memory.length[at].astype(np.int64), memory.pool
+        missing = np.flatnonzero((at < 0) & ~alone)
+        extra: list[np.ndarray] = []
+        base = memory.used
+        if len(missing):
+            new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            spans = zip(begin[missing[first]].tolist(), end[missing[first]].tolist(), strict=True)
+            order, ids, lengths = self._learn(new, [raw[i:j] for i, j in spans])
+            where, size = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
+            where[order], size[order] = np.cumsum(lengths) - lengths, lengths
+            start[missing], length[missing] = where[inverse] + base, size[inverse]
+            extra.append(ids)
+        single = np.flatnonzero(alone)
+        if len(single):
+            ids, lengths = self._each([data[begin[i] : end[i]].tobytes().decode() for i in single.tolist()])
+            start[single] = np.cumsum(lengths) - lengths + base + sum(map(len, extra))
+            length[single] = lengths
+            extra.append(ids)
+        pool = np.concatenate([pool[:base], *extra]) if extra else pool
+        bounds = np.zeros(len(begin) + 1, dtype=np.int64)
+        np.cumsum(length, out=bounds[1:])
+        return joined_ids(pool, start, length), bounds[np.searchsorted(begin, offsets)]
+
+    def encode_arrow(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), in the smallest unsigned type that holds the vocabulary."""
+        data, offsets = W.buffers(texts)
+        start = 0
+        while start < len(offsets) - 1:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + GROUP_BYTES, side="right")) - 1)
+            ids, at = self._encode_group(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[i:j]
             start = end
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in the smallest unsigned type that holds the vocabulary."""
-        for group in self.groups(texts):
-            for ids in group:
-                yield np.frombuffer(ids, dtype=self.dtype)
+        return self.encode_arrow(pa.array(texts, pa.large_string()))
 
     def lengths(self, texts: Sequence[str]) -> Iterator[int]:
-        width = self.dtype.itemsize
-        for group in self.groups(texts):
-            for ids in group:
-                yield len(ids) // width
+        return map(len, self.encode_batch(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -209,7 +307,7 @@ def map_ids(docs: DataFrame, path: str, derive: Callable, schema: str, id_col: s
         bpe = encoder(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            rows = [derive(bpe, text, ids) for text, ids in zip(texts, bpe.encode_batch(texts), strict=True)]
+            rows = [derive(bpe, text, ids) for text, ids in zip(texts, bpe.encode_arrow(batch.column(1)), strict=True)]
             columns = [batch.column(0), *(list(x) for x in zip(*rows))] if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

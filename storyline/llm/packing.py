@@ -173,8 +173,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, id_col
 
         for batch in batches:
             pieces: list[tuple] = []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_arrow(batch.column(1)), strict=True):
                 pieces += packer.add(doc_id, np.concatenate([ids, tail]))
             yield out(pieces)
         yield out(list(packer.pack(True)))

@@ -76,8 +76,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
         tail = np.array([] if end_id is None else [end_id], dtype=bpe.dtype)
         files = None
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_arrow(batch.column(1)), strict=True):
                 files = files or _Files(folder, TaskContext.get().partitionId())
                 files.add(np.concatenate([ids, tail]), NULL_ID if doc_id is None else doc_id)
         done = [files.close()] if files else []

@@ -44,17 +44,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and length of every word (a run without white space, A-Z lower-cased), and where each text's begin."""
-    n = len(data)
-    first = np.zeros(n + 1, dtype=bool)
-    first[offsets[:-1]] = True
-    word = ~WHITE[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1] | first[1:n]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:] | first[1:n]
-    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = LOWERED) -> np.ndarray:
+    """Hash of each span [begin, end) of bytes; spans rise and don't overlap.  ``values`` says what a byte counts as."""
     out = np.empty(len(begin), dtype=np.uint64)
     done = 0
     while done < len(begin):
@@ -63,12 +54,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         size = int(end[last - 1]) - base
         up, down = _powers(BLOCK if size <= BLOCK else 1 << (size - 1).bit_length())
         total = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum((LOWERED[data[base : base + size]] + np.uint64(1)) * up[:size], out=total[1:])
+        np.cumsum((values[data[base : base + size]] + np.uint64(1)) * up[:size], out=total[1:])
         s, e = begin[done:last] - base, end[done:last] - base
         out[done:last] = (total[e] - total[s]) * down[s]
         done = last
-    lengths = (end - begin).astype(np.uint64)
-    return mixed(out + lengths * np.uint64(0xD6E8FEB86659FD93)), lengths, np.searchsorted(begin, offsets)
+    return mixed(out + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every run without white space within a text."""
+    n = len(data)
+    first = np.zeros(n + 1, dtype=bool)
+    first[offsets[:-1]] = True
+    word = ~WHITE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | first[1:n]
+    ends = word.copy()
+    ends[:-1] &= ~word[1:] | first[1:n]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length of every word (a run without white space, A-Z lower-cased), and where each text's begin."""
+    begin, end = word_spans(data, offsets)
+    return span_hashes(data, begin, end), (end - begin).astype(np.uint64), np.searchsorted(begin, offsets)
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
