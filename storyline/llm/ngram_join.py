@@ -16,11 +16,15 @@ multiplied block by block, a block being the shingles of one hash range:
    whose sizes exclude the bound go at once, then pairs for which a parity
    sketch (one bit a shingle) proves too many differing shingles; for the rest the overlap is
    counted on the whole sets.
+   The first is drawn by a hash with one of ``FIRSTS`` salts, so a large group is
+   met from several of its members.
 4. Components of these links.  Blocks whose members are all in one component are
    done.  In the others every pair of members in different components follows,
-   but for pairs that are excluded by size or by the triangle inequality of the
-   Jaccard distance to the block's first member.  So a group of thousands of near
-   copies costs about one pair a member, and no link between components is lost.
+   but for pairs that are excluded by size, by the triangle inequality of the
+   Jaccard distance to the block's first member, or by the sketches, all within
+   the join, where of the large blocks only the first that two members share brings them
+   together.  So a group of thousands of near copies costs a few pairs a member,
+   and no link between components is lost.
 5. Components of all links; a document's component is named by its smallest id.
 
 Results for special cases: null, empty and blank texts have an empty set, are
@@ -46,12 +50,14 @@ from storyline.llm.common import written
 from storyline.llm.components import components
 
 THRESHOLD = Fraction(3, 4)
-#: A shingle counts as recurring in a batch from so many documents on, and as frequent from so many in all.
-RECURS, FREQUENT = 4, 24
+#: A shingle recurs in a batch if one in so many of its documents has it (two at least); it is frequent from so many documents on.
+RECURS, FREQUENT = 2500, 24
 #: Frequent shingles that are ranked last at most.  This bounds the broadcast (8 bytes each); the ranking affects cost only.
 HOT = 200_000
 #: Postings of one block, about, and bits of a sketch at most.
-BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 16
+BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 17
+#: Different firsts of blocks with the same members, about, and members from which a block counts as large.
+FIRSTS, LARGE = 8, 64
 #: Bits of the Bloom filter that keeps sets of unneeded documents from being shuffled.  This bounds the broadcast.
 BLOOM_BITS = 1 << 25
 
@@ -62,8 +68,8 @@ def _name(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of about as many bits as there are shingles."""
-    bits = min(SKETCH_BITS, max(64, 1 << (len(shingles) - 1).bit_length()))
+    """Parity of the shingles that fall on each bit, with two to four bits for each shingle."""
+    bits = min(SKETCH_BITS, max(64, 2 << (len(shingles) - 1).bit_length()))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -84,7 +90,7 @@ def _digested(docs: DataFrame, words: int) -> DataFrame:
             yield rows(0, batch.column(0), [len(x) for x in sets], [x[0] for x in names], [x[1] for x in names], W.lists([_sketch(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.int64()))
             once = {name: x for name, x in zip(names, sets, strict=True)}
             found, count = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            again = count >= RECURS
+            again = count >= max(2, len(batch) // RECURS)
             if again.any():
                 none = pa.nulls(int(again.sum()), pa.int64())
                 yield rows(1, none, count[again], found[again].view(np.int64), none, pa.nulls(len(none), pa.list_(pa.int64())))
@@ -147,7 +153,11 @@ def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Frac
         for part in np.array_split(kept, max(1, len(kept) // 20_000)):
             lengths = ends[part] - starts[part]
             at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum()) if len(part) else np.zeros(0, np.int64)
-            lead = np.repeat(starts[part], lengths)
+            # the first of a block: by a salted hash, so that large groups are met from several sides
+            salt = W.mixed(sig[part] % np.uint64(FIRSTS) + np.uint64(1))
+            key = W.mixed(name[at].view(np.uint64) ^ np.repeat(salt, lengths))
+            least = np.minimum.reduceat(key, np.cumsum(lengths) - lengths) if len(part) else key
+            lead = np.repeat(at[key == np.repeat(least, lengths)], lengths)
             columns = [np.repeat(sig[part].view(np.int64), lengths), name[lead], size[lead].astype(np.int64), name[at], size[at].astype(np.int64)]
             for i in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["sig", "lead", "lead_n", "member", "n"])
@@ -292,7 +302,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to_head = first.select("x", "y", "low", "high")
     to_head = to_head.unionByName(to_head.select(F.col("y").alias("x"), F.col("x").alias("y"), "low", "high")).select(F.col("x").alias("head"), F.col("y").alias("cid"), "low", "high")
     open_ = members.where("cid <> head").join(largest, "sig").join(to_head, ["head", "cid"], "left")
-    open_ = written(open_.select("sig", "cid", "n", "component", "main", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high")), "open")
+    # of the large blocks, those that a member is in, ascending; no more than its prefix has shingles
+    large = open_.join(open_.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("sig"), "sig", "left_semi")
+    large = large.groupBy("cid").agg(F.array_sort(F.collect_set("sig")).alias("large"))
+    open_ = open_.join(large, "cid", "left").join(classes.select("cid", "sketch"), "cid")
+    none = F.array().cast("array<long>")
+    open_ = written(
+        open_.select("sig", "cid", "n", "component", "main", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"), F.coalesce("large", none).alias("large"), "sketch"), "open"
+    )
     l, r = open_.alias("l"), open_.alias("r")
     limit = float(1 - t) + 1e-9
     cross = l.join(
@@ -303,7 +320,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         & ((F.col("r.component") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid")))
         & _sizes_allow(F.col("l.n"), F.col("r.n"), t)
         & (F.col("l.low") - F.col("r.high") <= limit)
-        & (F.col("r.low") - F.col("l.high") <= limit),
+        & (F.col("r.low") - F.col("l.high") <= limit)
+        & ((F.col("l.n") + F.col("r.n")) * (t.denominator - t.numerator) >= _differing(F.col("l.sketch"), F.col("r.sketch")) * (t.numerator + t.denominator))
+        & (~F.array_contains("l.large", F.col("l.sig")) | (F.array_min(F.array_intersect("l.large", "r.large")) == F.col("l.sig"))),
     )
     second = cross.select(F.least("l.cid", "r.cid").alias("x"), F.greatest("l.cid", "r.cid").alias("y")).distinct()
     more = _verified(rows, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti"), words, t)
