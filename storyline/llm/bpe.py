@@ -56,8 +56,8 @@ class Memory:
 
     def __init__(self, dtype: np.dtype):
         self.keys = np.zeros(PLACES, dtype=np.uint64)
-        self.start = np.zeros(PLACES, dtype=np.int64)
-        self.length = np.zeros(PLACES, dtype=np.int32)
+        self.start = np.zeros(PLACES, dtype=np.int32)
+        self.length = np.zeros(PLACES, dtype=np.int16)
         self.pool = np.zeros(1 << 20, dtype=dtype)
         self.held = self.used = 0
 
@@ -237,7 +237,7 @@ class FragmentEncoder:
             alone[np.searchsorted(begin, i, side="right") - 1] = True
         at = memory.find(hashes)
         at[alone] = -1
-        start, length, pool = memory.start[at], memory.length[at].astype(np.int64), memory.pool
+        start, length, pool = memory.start[at].astype(np.int64), memory.length[at].astype(np.int64), memory.pool
         missing = np.flatnonzero((at < 0) & ~alone)
         extra: list[np.ndarray] = []
         base = memory.used
@@ -263,14 +263,10 @@ class FragmentEncoder:
 
     def encode_arrow(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none), in the smallest unsigned type that holds the vocabulary."""
-        data, offsets = W.buffers(texts)
-        start = 0
-        while start < len(offsets) - 1:
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + GROUP_BYTES, side="right")) - 1)
-            ids, at = self._encode_group(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        for data, offsets in W.groups(*W.buffers(texts), GROUP_BYTES):
+            ids, at = self._encode_group(data, offsets)
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 yield ids[i:j]
-            start = end
 
     def encode_batch(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         return self.encode_arrow(pa.array(texts, pa.large_string()))

@@ -46,14 +46,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import words as W
-from storyline.llm.common import written
+from storyline.llm.common import removed, written
 from storyline.llm.components import components
 
 THRESHOLD = Fraction(3, 4)
-#: A shingle recurs in a batch if one in so many of its documents has it (two at least); it is frequent from so many documents on.
-RECURS, FREQUENT = 2500, 24
+#: A shingle recurs in a batch if two of its documents and one in so many have it; it is frequent if so many do in batches where it recurs.
+RECURS, FREQUENT = 20_000, 4
 #: Frequent shingles that are ranked last at most.  This bounds the broadcast (8 bytes each); the ranking affects cost only.
-HOT = 200_000
+HOT = 1_000_000
 #: Postings of one block, about, and bits of a sketch at most.
 BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 17
 #: Different firsts of blocks with the same members, about, and members from which a block counts as large.
@@ -263,7 +263,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     exact = 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
     links = seen.select("x", "y", (F.col("both") * (t.numerator + t.denominator) >= _least_overlap(F.col("nx"), F.col("ny"), t)).alias("linked"), exact.alias("low"), exact.alias("high"))
     rest = both.where("not maybe").select("x", "y", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("nx") + F.col("ny") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"))
-    return written(links.unionByName(rest), "verified")
+    out = written(links.unionByName(rest), "verified")
+    for table in (both, needed, sets):
+        removed(docs.sparkSession, table)
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = W.WORDS, t: Fraction = THRESHOLD) -> DataFrame:
@@ -278,7 +281,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     often = digested.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    hot = np.sort(np.array([r["a"] for r in often.orderBy(F.desc("n"), "a").limit(HOT).collect()], dtype=np.int64).view(np.uint64))
+    hot = np.sort(often.orderBy(F.desc("n"), "a").limit(HOT).select("a").toArrow().column(0).to_numpy().view(np.uint64))
     postings = classes.agg(F.sum(F.col("n") * float(1 - t) + 1)).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings) // BLOCK_POSTINGS)
     blocks = _blocks(rows, hot, n_blocks, words, t)
@@ -297,6 +300,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # blocks that hold more than one component
     members = blocks.join(by_name("member", "cid"), "member").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     members = written(members.join(by_name("lead", "head"), "lead").select("sig", "cid", "n", "head", F.coalesce("component", "cid").alias("component")), "members")
+    removed(spark, blocks)
     by_component = members.groupBy("sig", "component").agg(F.count("*").alias("k"))
     largest = by_component.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("main"))
     to_head = first.select("x", "y", "low", "high")
@@ -310,6 +314,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = written(
         open_.select("sig", "cid", "n", "component", "main", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"), F.coalesce("large", none).alias("large"), "sketch"), "open"
     )
+    removed(spark, members)
     l, r = open_.alias("l"), open_.alias("r")
     limit = float(1 - t) + 1e-9
     cross = l.join(
@@ -326,6 +331,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     second = cross.select(F.least("l.cid", "r.cid").alias("x"), F.greatest("l.cid", "r.cid").alias("y")).distinct()
     more = _verified(rows, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti"), words, t)
+    removed(spark, open_)
     links = links.unionByName(more.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
     found = components(links)
 

@@ -16,6 +16,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 19
+#: Bytes of texts that are handled together.
+GROUP = 1 << 21
 WORDS = 5
 #: Bits of a shingle's hash that hold its rank by length; see :func:`shingles`.
 RANK_BITS = 6
@@ -88,7 +90,21 @@ def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     longest first: long words are rare, so ascending order puts shingles that
     few documents share in front without any count.
     """
-    h, lengths, at = word_hashes(*buffers(texts))
+    for data, offsets in groups(*buffers(texts)):
+        yield from _shingles(data, offsets, words)
+
+
+def groups(data: np.ndarray, offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of about ``size`` bytes together, so that memory is bounded by the longest text, not by the batch."""
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
+        yield data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
+        start = end
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    h, lengths, at = word_hashes(data, offsets)
     weights = [mixed(np.array([i + 1], dtype=np.uint64))[0] | np.uint64(1) for i in range(words)]
     n = max(0, len(h) - words + 1)
     all_, size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
