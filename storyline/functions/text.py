@@ -20,6 +20,11 @@ def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeezed(value: Column) -> Column:
     """White space runs to one space, stripped at both ends."""
     return F.regexp_replace(F.regexp_replace(value, r"(?U)\s+", " "), "^ | $", "")
@@ -33,8 +38,8 @@ def unescaped(value: Column) -> Column:
 
 def clean_text(value: Column, limit: int = 240) -> Column:
     """Unescaped, squeezed, and cut to ``limit`` characters with an ellipsis."""
-    text = squeezed(unescaped(F.coalesce(value, F.lit(""))))
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
+    cut = lambda text: F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
+    return let(squeezed(unescaped(F.coalesce(value, F.lit("")))), cut)
 
 
 def strip_html(value: Column, limit: int = 420) -> Column:

@@ -45,8 +45,8 @@ TAXONOMY = taxonomy.Taxonomy(
         taxonomy.Rule("institution", 18, entity_kinds=("institution",), source_types=("src1",)),
     ],
 )
-CORE, SIGNALS = ["the", "of", "and", "les", "und"], ["\\b(anat|haanth|leaux)\\b", "\\b(to|ou)\\b", "\\bthe [a-z]+ing\\b"]
-EVERGREEN, PROMOTION = "\\b(of the|le de)\\b", "\\b(in to|was)\\b"
+CORE, SIGNALS = ["the", "of", "and", "les", "und"], ["(^|[^a-z])(anat|haanth|leaux)([^a-z]|$)", "(^|[^a-z])(to|ou)([^a-z]|$)", "(^|[^a-z])the [a-z]+ing([^a-z]|$)"]
+EVERGREEN, PROMOTION = "(^|[^a-z])(of the|le de)([^a-z]|$)", "(^|[^a-z])(in to|was)([^a-z]|$)"
 SECTIONS = [("north", ["en"]), ("centre", ["de", "fr"])]
 
 
