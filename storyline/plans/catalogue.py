@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from storyline.functions import entities as E
 from storyline.functions import features as X
+from storyline.functions import sources as S
 from storyline.functions import text as T
 from storyline.functions import urls as U
 from storyline.operators import dedupe, events, graph, scoring, select, similarity, taxonomy
-from storyline.plans import briefing
+from storyline.plans import briefing, presentation
 from storyline.sources import pages as P
 from storyline.sources import store
 from storyline.streaming import ingest
@@ -385,11 +386,39 @@ def facet_filter(spark, sf_dir):
     return select.filtered(rows, "europe", "forward", "src1").groupBy(F.col("lang").alias("section")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN contains(n, '1') AND contains(n, '7') THEN 95 WHEN contains(n, '3') THEN 88 ELSE 70 END AS authority FROM (SELECT s_suppkey, lower(s_name) AS n FROM supplier)""")
+AUTHORITIES = {"supplier 000000001": 95, "plier 00000000": 88, "9": 60}
+
+
+@query("""WITH n AS (SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS c FROM supplier)
+SELECT s_suppkey, CAST(CASE WHEN c = 'supplier 000000001' THEN 95 WHEN contains(c, 'supplier 000000001') OR contains('supplier 000000001', c) THEN 95
+  WHEN contains(c, 'plier 00000000') OR contains('plier 00000000', c) THEN 88 WHEN contains(c, '9') THEN 60 ELSE 70 END AS INT) AS authority FROM n""")
 def authority_lookup(spark, sf_dir):
-    name = F.lower("s_name")
-    value = F.when(F.contains(name, F.lit("1")) & F.contains(name, F.lit("7")), 95).when(F.contains(name, F.lit("3")), 88).otherwise(70)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", value.alias("authority"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.authority(F.col("s_name"), AUTHORITIES).alias("authority"))
+
+
+@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(source), '[^a-z0-9가-힣]+', ' ', 'g')) AS c, lang FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(c, 'nhtsa|dot gov|epa gov|acea|unece|euro ncap|european commission|iihs|regulator|safety commission') THEN 'regulator' WHEN lang = 'en' THEN 'media' WHEN lang = 'de' THEN 'official' ELSE 'media' END AS kind FROM n""")
+def source_type_case(spark, sf_dir):
+    feed = F.when(F.col("lang") == "de", "official").when(F.col("lang") == "fr", "aggregator")
+    return table(spark, sf_dir, "documents").select("doc_id", S.kind(F.col("source"), feed).alias("kind"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS e FROM orders)
+SELECT o_orderkey, year(s) || '년 ' || month(s) || '월 ' || day(s) || CASE WHEN s = e THEN '일' WHEN year(s) = year(e) AND month(s) = month(e) THEN '-' || day(e) || '일'
+  WHEN year(s) = year(e) THEN '일-' || month(e) || '월 ' || day(e) || '일' ELSE '일-' || year(e) || '년 ' || month(e) || '월 ' || day(e) || '일' END AS dates FROM d""")
+def date_ranges(spark, sf_dir):
+    start = F.col("o_orderdate").cast("date")
+    end = F.date_add(start, (F.col("o_orderkey") % 40).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", presentation.date_range(start, end).alias("dates"))
+
+
+@query()
+def briefing_mail(spark, sf_dir):
+    """The text of a mail with the best five articles of each category."""
+    rows = _scored(spark, sf_dir).withColumns({"id": F.col("doc_id"), "url": F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))})
+    best = select.section_top(rows, 5, "category", "priority_score", "published_at", "doc_id")
+    views = presentation.article_view(best).join(best.select(F.col("doc_id").alias("id"), F.col("rank").alias("position")), "id")
+    return presentation.mail_text(views, REF_TIME[:10])
 
 
 # --- store -----------------------------------------------------------------------------------------------

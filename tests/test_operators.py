@@ -132,3 +132,27 @@ def test_stream_keeps_the_first(spark, tmp_path):
     stream = ingest.first_within(ingest.table_stream(spark, str(tmp_path / "in"), rows.schema), "t", ["k"])
     ingest.run_available(stream, str(tmp_path / "cp"), lambda df, _: df.write.mode("append").parquet(out))
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_conferences_and_mail(spark):
+    from storyline.plans import presentation as P
+
+    rows = [("Past", "2024-01-01", "2024-01-02", "A", "u1", ["EV"], 0), ("Now", "2024-01-08", "2024-01-12", "B", "u2", ["SDV", "종료"], 1), ("Next", "2024-02-28", "2024-03-01", "C", "u3", ["ADAS"], 20)]
+    table = spark.createDataFrame(rows, "name string, start_date string, end_date string, location string, url string, tags array<string>, ordinal int")
+    table = table.withColumns({"start_date": F.to_date("start_date"), "end_date": F.to_date("end_date")})
+    found = P.conferences(table, F.lit("2024-01-10").cast("date")).collect()
+    assert [r["title"] for r in found] == ["Now | 2024년 1월 8-12일 · B", "Next | 2024년 2월 28일-3월 1일 · C"]
+    assert [r["score"] for r in found] == [53, 50]
+    assert found[0]["tags"][:2] == ["SDV", "진행중"]
+    views = spark.createDataFrame([("oem", "high", "T1", 61, "fresh", "P", "u", 1), ("big", "watch", "T0", 11, "s", "P", "u", 1)], "category string, level string, title string, score int, signal string, publisher string, url string, position int")
+    text = P.mail_text(views, "2024-01-10").first()["text"]
+    assert text.startswith("Brief 2024-01-10: 2 articles\n\nbig\n- [watch] T0") and "oem\n- [high] T1\n  Score: 61 / fresh" in text
+
+
+def test_fallbacks_only_without_direct_links(spark):
+    from storyline.plans import presentation as P
+
+    articles = spark.createDataFrame([("a", "tier1", True), ("b", "oem", False)], "title string, category string, is_indirect boolean")
+    static = spark.createDataFrame([("s", "tier1", False)], "title string, category string, is_indirect boolean")
+    assert ids(P.with_fallbacks(articles, static, "tier1"), "title") == ["a", "b", "s"]
+    assert ids(P.with_fallbacks(articles, static, "oem"), "title") == ["a", "b"]
