@@ -187,7 +187,7 @@ def history_antijoin(spark, sf_dir):
     return dedupe.unseen(rows.where("source <> 'src0'"), rows.where("source = 'src0'"), ["title_key"]).select("doc_id", "title_key")
 
 
-NEAR = f"""{A}, f AS (SELECT {TOKENS} AS t, {NUMBERS} AS n, min(doc_id) AS rep FROM a GROUP BY ALL HAVING len({TOKENS}) >= 3),
+NEAR = f"""{A}, w AS (SELECT doc_id, {TOKENS} AS t, {NUMBERS} AS n FROM a), f AS (SELECT t, n, min(doc_id) AS rep FROM w WHERE len(t) >= 3 GROUP BY t, n),
 x AS (SELECT rep, unnest(t) AS token FROM f),
 p AS (SELECT l.rep AS a, r.rep AS b, count(*) AS c FROM x l JOIN x r ON l.token = r.token AND l.rep < r.rep GROUP BY ALL),
 pairs AS (SELECT p.a AS "left", p.b AS "right" FROM p JOIN f u ON u.rep = p.a JOIN f v ON v.rep = p.b
