@@ -9,8 +9,8 @@ digit and a mark).  What lies between two cuts, mostly one word, is encoded
 independently by the ``tokenizers`` library.
 
 As words recur, each worker keeps a bounded table of fragments that it has met,
-from a 64-bit hash of the fragment's bytes to its ids (among the million
-fragments that a worker may know, two share a hash with a probability of 3e-8).  Cutting,
+from a 64-bit hash of the fragment's bytes to its ids (among the half million
+fragments that a worker may know, two share a hash with a probability of 1e-8).  Cutting,
 hashing and looking up run over whole Arrow batches with numpy.  Texts never leave
 their partition: no shuffle, and memory is bounded by one Arrow batch.
 
@@ -39,7 +39,7 @@ SEPARATORS = b" \n\t\r"
 #: ASCII and the letters and signs of Latin-1.
 PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+").fullmatch
 #: Fragments that one worker remembers (a power of two of places, half of them used), and bytes that one has at most.
-PLACES, SHORT = 1 << 21, 64
+PLACES, SHORT = 1 << 20, 64
 #: Fragments that go to the library in one call, and bytes of texts handled together.
 CALL_FRAGMENTS, GROUP_BYTES = 4096, 1 << 20
 

@@ -52,6 +52,8 @@ from storyline.llm.components import components
 THRESHOLD = Fraction(3, 4)
 #: A shingle recurs in a batch if two of its documents and one in so many have it; it is frequent if so many do in batches where it recurs.
 RECURS, FREQUENT = 20_000, 4
+#: Parts in which a batch's shingles are counted, and postings that a worker packs together.
+PARTS, PACKED = 4, 300_000
 #: Frequent shingles that are ranked last at most.  This bounds the broadcast (8 bytes each); the ranking affects cost only.
 HOT = 1_000_000
 #: Postings of one block, about, and bits of a sketch at most.
@@ -89,11 +91,13 @@ def _digested(docs: DataFrame, words: int) -> DataFrame:
             names = [_name(x) for x in sets]
             yield rows(0, batch.column(0), [len(x) for x in sets], [x[0] for x in names], [x[1] for x in names], W.lists([_sketch(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.int64()))
             once = {name: x for name, x in zip(names, sets, strict=True)}
-            found, count = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            again = count >= max(2, len(batch) // RECURS)
-            if again.any():
-                none = pa.nulls(int(again.sum()), pa.int64())
-                yield rows(1, none, count[again], found[again].view(np.int64), none, pa.nulls(len(none), pa.list_(pa.int64())))
+            for part in range(PARTS):  # a part of the shingles at a time
+                mine = [x[x % np.uint64(PARTS) == np.uint64(part)] for x in once.values()]
+                found, count = np.unique(np.concatenate([*mine, np.zeros(0, np.uint64)]), return_counts=True)
+                again = count >= max(2, len(batch) // RECURS)
+                if again.any():
+                    none = pa.nulls(int(again.sum()), pa.int64())
+                    yield rows(1, none, count[again], found[again].view(np.int64), none, pa.nulls(len(none), pa.list_(pa.int64())))
 
     return docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long, sketch array<long>")
 
@@ -107,9 +111,19 @@ def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Frac
     """sig, lead, lead_n, member, n: members of each distinct set of members that share a shingle of their prefixes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(keys: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
+            counts = [len(x) for x in keys]
+            key, name, size = np.concatenate(keys), np.repeat(np.array(names, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)
+            block = (key % np.uint64(n_blocks)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            key, name, size, block = key[order], name[order], size[order], block[order]
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+            packed = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x in (key, name, size)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "keys", "names", "sizes"])
+
         for batch in batches:
             sent: set[tuple[int, int]] = set()
-            keys, names, sizes = [], [], []
+            keys, names, sizes, held = [], [], [], 0
             for x in W.shingles(batch.column(0), words):
                 if not len(x) or (name := _name(x)) in sent:
                     continue
@@ -117,19 +131,15 @@ def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Frac
                 if len(hot):
                     late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
                     x = np.concatenate([x[~late], x[late]])
-                keys.append(x[: _prefix(len(x), t)])
+                keys.append(x[: _prefix(len(x), t)].copy())
                 names.append(name[0])
                 sizes.append(len(x))
-            if not keys:
-                continue
-            counts = [len(x) for x in keys]
-            key, name, size = np.concatenate(keys), np.repeat(np.array(names, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)
-            block = (key % np.uint64(n_blocks)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            key, name, size, block = key[order], name[order], size[order], block[order]
-            cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
-            packed = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x in (key, name, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "keys", "names", "sizes"])
+                held += len(keys[-1])
+                if held >= PACKED:
+                    yield pack(keys, names, sizes)
+                    keys, names, sizes, held = [], [], [], 0
+            if keys:
+                yield pack(keys, names, sizes)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], []]
