@@ -41,10 +41,10 @@ def assigned(rows: DataFrame, sections: list[tuple[str, list[str]]], url: str =
     return found.join(least, url, "left").where("_i is null or _i = _least").withColumn("section", F.get(names, F.col("_i"))).drop("_i", "_least")
 
 
-def presentation_order(rows: DataFrame, chosen: DataFrame, key: str, rank: str) -> DataFrame:
-    """Adds ``position``: chosen rows first, then the rest, each by rank."""
+def presentation_order(rows: DataFrame, chosen: DataFrame, key: str, rank: str, issue: str = "issue_date") -> DataFrame:
+    """Adds ``position`` within each issue: chosen rows first, then the rest, each by rank."""
     picked = rows.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(0)), key, "left")
-    return picked.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce("_chosen", F.lit(1)), rank)) - 1).drop("_chosen")
+    return picked.withColumn("position", F.row_number().over(Window.partitionBy(issue).orderBy(F.coalesce("_chosen", F.lit(1)), rank)) - 1).drop("_chosen")
 
 
 def facet_counts(rows: DataFrame, keys: Column, labels: list[str]) -> DataFrame:

@@ -156,3 +156,16 @@ def test_fallbacks_only_without_direct_links(spark):
     static = spark.createDataFrame([("s", "tier1", False)], "title string, category string, is_indirect boolean")
     assert ids(P.with_fallbacks(articles, static, "tier1"), "title") == ["a", "b", "s"]
     assert ids(P.with_fallbacks(articles, static, "oem"), "title") == ["a", "b"]
+
+
+def test_presentation_order_is_by_issue(spark):
+    rows = spark.createDataFrame([("d1", "a", 2), ("d1", "b", 1), ("d1", "c", 3), ("d2", "x", 1)], "issue_date string, key string, rank int")
+    chosen = spark.createDataFrame([("c",)], "key string")
+    found = {r["key"]: r["position"] for r in select.presentation_order(rows, chosen, "key", "rank").collect()}
+    assert found == {"c": 0, "b": 1, "a": 2, "x": 0}
+
+
+def test_section_assignment_by_url(spark):
+    rows = spark.createDataFrame([("u1", "en", 1), ("u1", "de", 2), ("u2", "de", 3), ("u3", "zz", 4)], "url string, category string, id int").withColumn("primary_category", F.col("category"))
+    found = {r["id"]: r["section"] for r in select.assigned(rows, [("north", ["en"]), ("centre", ["de"])]).collect()}
+    assert found == {1: "north", 3: "centre", 4: None}
