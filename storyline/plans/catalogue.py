@@ -18,6 +18,7 @@ from storyline.functions import text as T
 from storyline.functions import urls as U
 from storyline.operators import dedupe, events, graph, scoring, select, similarity, taxonomy
 from storyline.plans import briefing, presentation
+from storyline.sources import feeds
 from storyline.sources import pages as P
 from storyline.sources import store
 from storyline.streaming import ingest
@@ -517,6 +518,41 @@ def event_clusters(spark, sf_dir):
     return found.select("event_id", "primary_id", "title", "source_count", "independent_sources", "has_regulator", "article_ids", "related_sources")
 
 
+@query()
+def event_coherence(spark, sf_dir):
+    rows = similarity.with_features(fixture(spark), E.Lexicon.standard())
+    members, _ = briefing.linked(fixture(spark), E.Lexicon.standard())
+    return events.coherence(rows, members).select("primary_id", "n", "least", "mean", "common_entities", "common_themes", "doubts")
+
+
+@query()
+def event_coverage(spark, sf_dir):
+    _, found = briefing.linked(fixture(spark), E.Lexicon.standard())
+    return presentation.coverage(found)
+
+
+FEEDS = [("wire", "Wire", "big", "https://wire.org/rss", "news_agency", 95, "us", "en", True, "media"), ("blatt", "Blatt", "oem", "https://blatt.de/atom", "media", 85, "eu", "de", True, "media"), ("dead", "Dead", "big", "https://dead.org/rss", "media", 80, "us", "en", True, "media")]
+PAYLOADS = [
+    ("wire", "<rss version='2.0'><channel><title>Wire</title><item><title>One</title><link>https://e.org/1?utm_source=x</link><description>Text</description><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>", 200, None),
+    ("blatt", "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Eins</title><link href='https://e.de/1'/><updated>2024-01-01T10:00:00Z</updated></entry></feed>", 200, None),
+    ("dead", None, 404, None),
+]
+
+
+def _bronze(spark) -> DataFrame:
+    return spark.createDataFrame(PAYLOADS, "feed_id string, payload string, status int, error string")
+
+
+@query("""SELECT * FROM (VALUES ('wire', 'One', 'https://e.org/1', 'Wire', TIMESTAMP '2024-01-01 10:00:00'), ('blatt', 'Eins', 'https://e.de/1', 'Blatt', NULL)) AS t(feed_id, title, canonical_url, publisher, published_at)""")
+def feed_entries(spark, sf_dir):
+    return feeds.entries(_bronze(spark), feeds.catalogue(spark, FEEDS)).select("feed_id", "title", "canonical_url", "publisher", "published_at")
+
+
+@query("SELECT * FROM (VALUES ('wire', true, 1, 'ok'), ('blatt', true, 1, 'ok'), ('dead', false, 0, 'HTTP 404')) AS t(feed_id, ok, n_entries, diagnosis)")
+def feed_health(spark, sf_dir):
+    return feeds.health(_bronze(spark), feeds.catalogue(spark, FEEDS)).select("feed_id", "ok", "n_entries", "diagnosis")
+
+
 @query(SCORE_SQL + " SELECT doc_id, title, level, priority_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY priority_score DESC, published_at DESC, doc_id) AS INT) AS rank FROM g) WHERE rank <= 5")
 def briefing_sections(spark, sf_dir):
     return flagship(spark, sf_dir)
