@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyline.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -56,7 +58,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = held.distinct().groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     else:
         found = found.where("first <> last")
-    gone = held.join(found.select("a", "b", "first"), ["a", "b"]).where("doc <> first")
+    # as a table of its own, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
+    found = written(found.select("a", "b", "first"), "repeated-lines")
+    gone = held.join(found, ["a", "b"]).where("doc <> first")
     return gone.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 

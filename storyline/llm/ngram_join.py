@@ -313,6 +313,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed(spark, blocks)
     by_component = members.groupBy("sig", "component").agg(F.count("*").alias("k"))
     largest = by_component.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("main"))
+    # as a table of its own, so that both sides of the joins below are plain shuffles, whose hot partitions Spark splits
+    largest = written(largest, "main")
     to_head = first.select("x", "y", "low", "high")
     to_head = to_head.unionByName(to_head.select(F.col("y").alias("x"), F.col("x").alias("y"), "low", "high")).select(F.col("x").alias("head"), F.col("y").alias("cid"), "low", "high")
     open_ = members.where("cid <> head").join(largest, "sig").join(to_head, ["head", "cid"], "left")
