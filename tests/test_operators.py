@@ -55,6 +55,42 @@ def test_greedy_is_that_of_one_pass(spark):
     assert ids(dedupe.greedy_kept(nodes, spark.createDataFrame(sorted(edges), "left long, right long"))) == brute_greedy(40, edges)
 
 
+def alike(a, b):
+    """titles_alike of plain words."""
+    x, y = set(a.split()), set(b.split())
+    c, least, most = len(x & y), min(len(x), len(y)), max(len(x), len(y))
+    return c >= 4 and (c * 5 >= most * 4 or c * 20 >= least * 17) or c >= 3 and least >= 4 and c * 4 >= len(x | y) * 3
+
+
+def one_pass(rows, history=()):
+    kept = []
+    for o, title, url, bucket in rows:
+        known = [*[(t, u, b) for _, t, u, b in kept], *[(t, u, "big") for u, t in history]]
+        if not any(u == url or t.replace(" ", "") == title.replace(" ", "") or ("conference" not in (b, bucket) and alike(t, title)) for t, u, b in known):
+            kept.append((o, title, url, bucket))
+    return [r[0] for r in kept]
+
+
+def test_copies_of_dropped_titles_go(spark):
+    import random
+
+    schema = "ord long, title string, canonical_url string, bucket string"
+    a, b = "alfa bravo charly delta echos foxtrot golfs hotels", "alfa bravo charly delta echos foxtrot golfs hotels indias"
+    rows = [(1, a, "u1", "big"), *((o, b, f"u{o}", "big") for o in (3, 7, 9, 11))]
+    assert ids(dedupe.deduped(spark.createDataFrame(rows, schema)), "ord") == one_pass(rows) == [1]
+    short = [(1, "alfa 1", "u1", "big"), (2, "the alfa 1", "u2", "big"), (3, "the of", "u3", "big"), (4, "of the", "u4", "big"), (5, "alfa 1", "u5", "big")]
+    assert ids(dedupe.deduped(spark.createDataFrame(short, schema)), "ord") == [1, 2, 3, 4]
+    rng = random.Random(7)
+    words = "alfa bravo charly delta echos foxtrot golfs hotels indias julius kilos limas".split()
+    pool = [" ".join(rng.sample(words, rng.choice([2, 3, 4, 5, 9, 10, 11]))) for _ in range(60)]
+    rows = [(i, rng.choice(pool), f"u{rng.randrange(150)}", rng.choice(["big", "big", "oem", "conference"])) for i in range(200)]
+    assert ids(dedupe.deduped(spark.createDataFrame(rows, schema)), "ord") == one_pass(rows)
+    # near titles within the history: each is kept before all others
+    history = [(f"h{i}", t) for i, t in enumerate(pool[:12])]
+    old = spark.createDataFrame([(u, t, t.replace(" ", "")) for u, t in history], "canonical_url string, title string, title_key string")
+    assert ids(dedupe.deduped(spark.createDataFrame(rows, schema), old), "ord") == one_pass(rows, history)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 9), (9, 10), (10, 11)], "left long, right long")
     assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 11: 7}
