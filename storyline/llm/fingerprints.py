@@ -103,10 +103,12 @@ def feature_places(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) ->
     own = _inside(offsets, n, WINDOW)
     key = (rank << 40) | np.arange(n)
     best = key
-    step = 1
-    while step < RUN and len(best) > step:
+    covered = 1
+    while covered < RUN <= n:
+        # minima over exactly RUN windows: the last step overlaps
+        step = min(covered, RUN - covered)
         best = np.minimum(best[:-step], best[step:])
-        step *= 2
+        covered += step
     votes = np.zeros(n, dtype=np.int64)
     if n >= RUN:
         runs = best[_inside(offsets, len(best), WINDOW + RUN - 1)]

@@ -225,6 +225,30 @@ def test_levels_are_entropies_and_likeness_orders():
     assert fingerprints.likeness(a, b) > fingerprints.likeness(a, c)
 
 
+def test_fingerprints_of_long_texts_ignore_neighbours():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    prose = [" ".join("".join(rng.choice(list("abcdefghijklmnop .,"), rng.integers(2, 9))) for _ in range(rng.integers(60, 300))) for _ in range(40)]
+    prose[5:9] = [prose[i][: fingerprints.WINDOW + fingerprints.RUN + k] for i, k in zip(range(5, 9), (-1, 0, 1, 16), strict=True)]  # few windows
+    rank = fingerprints.rarity_of(fingerprints.level_counts(pa.array(prose)))
+    alone = [fingerprints.as_text(fingerprints.fingerprints(pa.array([t]), rank)[0]) for t in prose]
+    for order in (list(range(40)), list(range(39, -1, -1)), rng.permutation(40).tolist()):
+        found = fingerprints.fingerprints(pa.array([prose[i] for i in order]), rank)
+        assert [fingerprints.as_text(x) for x in found] == [alone[i] for i in order]
+    # votes by their definition
+    for texts in ([x.encode() for x in prose[:3]], *([prose[i].encode()] for i in (6, 7, 8))):
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        expected = []
+        for text, start in zip(texts, offsets.tolist(), strict=False):
+            ranks = rank[fingerprints.levels(np.frombuffer(text, np.uint8))]
+            votes = np.zeros(len(ranks), int)
+            for i in range(len(ranks) - fingerprints.RUN + 1):
+                votes[i + np.argmin(ranks[i : i + fingerprints.RUN])] += 1
+            expected += (np.flatnonzero((votes >= fingerprints.VOTES) & (ranks <= fingerprints.LEVELS + 1)) + start).tolist()
+        assert fingerprints.feature_places(data, offsets, rank).tolist() == expected
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------
 
 
