@@ -56,13 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: the first line is the title, the first 420 characters the excerpt, ids are minutes."""
+def articles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents as articles: the first line is the title, the first 420 characters (or the whole text) the excerpt, ids are minutes."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id"),
         F.substring(F.split("text", "\n")[0], 1, 240).alias("title"),
-        F.substring("text", 1, 420).alias("excerpt"),
+        F.col("text").alias("excerpt") if whole else F.substring("text", 1, 420).alias("excerpt"),
         "lang",
         "source",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("published_at"),
@@ -279,8 +279,8 @@ def recall_contexts(spark, sf_dir):
 # --- scores ---------------------------------------------------------------------------------------
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    rows = articles(spark, sf_dir).withColumns(
+def _scored(spark, sf_dir, whole: bool = False) -> DataFrame:
+    rows = articles(spark, sf_dir, whole).withColumns(
         {
             "category": F.when(F.col("lang") == "en", "sdv").when(F.col("lang") == "de", "oem").otherwise("big"),
             "text": F.col("excerpt"),
@@ -507,27 +507,44 @@ def fixture(spark: SparkSession) -> DataFrame:
     )
 
 
+def event_articles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, E.Lexicon]:
+    """All documents as scored articles with their whole text, and the lexicon; without a folder the headlines, for tests."""
+    if not sf_dir:
+        return fixture(spark), E.Lexicon.standard()
+    url = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    rows = _scored(spark, sf_dir, whole=True).select(
+        F.col("doc_id").alias("id"), "title", "publisher", "source_type", F.col("doc_id").alias("position"), url.alias("url"), url.alias("canonical_url"), "published_at", "excerpt", F.lit("").alias("content"),
+        F.array().cast("array<string>").alias("tags"), E.topics(F.col("excerpt"), LEXICON).alias("topics"), F.lit(False).alias("is_official"), (F.col("source_type") == "regulator").alias("is_primary_source"), "priority_score", F.lit(None).cast("string").alias("discovered_via"),
+    )
+    return rows, LEXICON
+
+
+def _featured(spark, sf_dir) -> DataFrame:
+    """Features are cut from their lineage: both sides of the pairs read them."""
+    return dedupe.checkpointed(similarity.with_features(*event_articles(spark, sf_dir)).drop("excerpt", "content"))
+
+
 @query()
 def pair_similarity(spark, sf_dir):
-    return similarity.scored_pairs(similarity.with_features(fixture(spark), E.Lexicon.standard()))
+    return similarity.scored_pairs(_featured(spark, sf_dir))
 
 
 @query()
 def event_clusters(spark, sf_dir):
-    members, found = briefing.linked(fixture(spark), E.Lexicon.standard())
+    members, found = briefing.linked(*event_articles(spark, sf_dir))
     return found.select("event_id", "primary_id", "title", "source_count", "independent_sources", "has_regulator", "article_ids", "related_sources")
 
 
 @query()
 def event_coherence(spark, sf_dir):
-    rows = similarity.with_features(fixture(spark), E.Lexicon.standard())
-    members, _ = briefing.linked(fixture(spark), E.Lexicon.standard())
+    rows = _featured(spark, sf_dir)
+    members = dedupe.checkpointed(events.clusters(rows, similarity.scored_pairs(rows)))
     return events.coherence(rows, members).select("primary_id", "n", "least", "mean", "common_entities", "common_themes", "doubts")
 
 
 @query()
 def event_coverage(spark, sf_dir):
-    _, found = briefing.linked(fixture(spark), E.Lexicon.standard())
+    _, found = briefing.linked(*event_articles(spark, sf_dir))
     return presentation.coverage(found)
 
 

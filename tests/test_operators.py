@@ -1,6 +1,7 @@
 """Operators on small tables."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -117,6 +118,24 @@ def test_events(spark):
     assert 3 in rows  # the regulator is primary
 
 
+def test_events_of_all_documents(spark):
+    """Every pair of documents that is alike is found, and every document is in one event."""
+    from storyline.operators import similarity
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    all_ids = ids(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    rows = dedupe.checkpointed(similarity.with_features(*catalogue.event_articles(spark, sf)))
+    every = rows.alias("l").join(rows.alias("r"), F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"), similarity.likeness("l", "r").alias("similarity"))
+    alike = lambda df: sorted(map(tuple, df.where("similarity >= 0.6").select("left", "right", "similarity").collect()))
+    found = alike(catalogue.queries()["pair_similarity"](spark, sf))
+    assert found and found == alike(every)
+    events = catalogue.queries()["event_clusters"](spark, sf).collect()
+    assert sorted(i for r in events for i in r["article_ids"]) == all_ids
+    sizes = {r["primary_id"]: r["source_count"] for r in events}
+    assert {r["primary_id"]: r["n"] for r in catalogue.queries()["event_coherence"](spark, sf).collect()} == sizes
+    assert {r["primary_id"]: r["source_count"] for r in catalogue.queries()["event_coverage"](spark, sf).collect()} == {k: n for k, n in sizes.items() if n > 1}
+
+
 def test_section_top_prefers_direct_links(spark):
     rows = spark.createDataFrame([(1, "a", 5, True), (2, "a", 9, False), (3, "b", 1, False)], "ord long, category string, score int, direct boolean").withColumn("published_at", F.lit(None).cast("timestamp"))
     assert ids(select.section_top(rows, 5, direct=F.col("direct")), "ord") == [1, 3]
