@@ -205,6 +205,15 @@ def near_title_components(spark, sf_dir):
     return graph.connected_components(dedupe.near_pairs(articles(spark, sf_dir), "doc_id"))
 
 
+MEMBERS = ", g AS (SELECT x AS node, least(x, min(y)) AS component FROM r GROUP BY x) SELECT w.doc_id, CASE WHEN len(w.t) >= 4 THEN coalesce(g.component, f.rep) ELSE w.doc_id END AS component FROM w LEFT JOIN f ON f.t = w.t AND f.n = w.n LEFT JOIN g ON g.node = f.rep"
+
+
+@query(SQL["near_title_components"].partition(" SELECT x AS node")[0] + MEMBERS)
+def near_title_members(spark, sf_dir):
+    """The component of every document, copies included; one without a near-equal title is its own."""
+    return dedupe.near_groups(articles(spark, sf_dir), "doc_id").select(F.col("id").alias("doc_id"), "component")
+
+
 @query()
 def greedy_dedupe(spark, sf_dir):
     rows = articles(spark, sf_dir).select(F.col("doc_id").alias("ord"), "title", F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("canonical_url"), F.col("lang").alias("bucket"))

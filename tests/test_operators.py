@@ -92,6 +92,15 @@ def test_copies_of_dropped_titles_go(spark):
     assert ids(dedupe.deduped(spark.createDataFrame(rows, schema), old), "ord") == one_pass(rows, history)
 
 
+def test_near_title_members_are_all_documents(spark, tmp_path):
+    a, b, c = "alfa bravo charly delta echos foxtrot golfs hotels", "alfa bravo charly delta echos foxtrot golfs hotels indias", "kilos limas mikes novas"
+    titles = [a, c, b, a, b, "short one", "short one", c, "quite another title here"]
+    docs = spark.createDataFrame([(i, f"{t}\ntext", "en", "src1") for i, t in enumerate(titles)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["component"] for r in catalogue.queries()["near_title_members"](spark, str(tmp_path)).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6, 7: 1, 8: 8}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 9), (9, 10), (10, 11)], "left long, right long")
     assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 11: 7}
