@@ -7,6 +7,7 @@ ones; the operators are those of the news domain.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -239,24 +240,24 @@ TOPIC_SQL = (
 
 
 @query(f"{A} SELECT doc_id, array_to_string({ENT_SQL}, ',') AS entities FROM a")
-def entity_match(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", F.array_join(E.entity_ids(F.col("excerpt"), LEXICON), ",").alias("entities"))
+def entity_match(spark, sf_dir, whole=False):
+    return articles(spark, sf_dir, whole).select("doc_id", F.array_join(E.entity_ids(F.col("excerpt"), LEXICON), ",").alias("entities"))
 
 
 @query(f"{A} SELECT doc_id, array_to_string({TOPIC_SQL}, ',') AS topics FROM a")
-def topic_implications(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", F.array_join(E.topics(F.col("excerpt"), LEXICON), ",").alias("topics"))
+def topic_implications(spark, sf_dir, whole=False):
+    return articles(spark, sf_dir, whole).select("doc_id", F.array_join(E.topics(F.col("excerpt"), LEXICON), ",").alias("topics"))
 
 
 @query(f"{A}, e AS (SELECT unnest({ENT_SQL}) AS id FROM a) SELECT id AS entity_id, CASE WHEN id IN ('the', 'with') THEN 'Articles' END AS parent_group, count(*) AS n FROM e GROUP BY ALL")
-def entity_groups(spark, sf_dir):
-    found = articles(spark, sf_dir).select(F.explode(E.entity_ids(F.col("excerpt"), LEXICON)).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n"))
+def entity_groups(spark, sf_dir, whole=False):
+    found = articles(spark, sf_dir, whole).select(F.explode(E.entity_ids(F.col("excerpt"), LEXICON)).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n"))
     dim = E.alias_table(spark, LEXICON).select("entity_id", "parent_group").distinct()
     return found.join(F.broadcast(dim), "entity_id").select("entity_id", "parent_group", "n")
 
 
-def _classified(spark, sf_dir) -> DataFrame:
-    rows = articles(spark, sf_dir).withColumn("topics", E.topics(F.col("excerpt"), LEXICON))
+def _classified(spark, sf_dir, whole: bool = False) -> DataFrame:
+    rows = articles(spark, sf_dir, whole).withColumn("topics", E.topics(F.col("excerpt"), LEXICON))
     kinds = F.filter(F.array(*(F.when(E.has_entity(F.col("excerpt"), e), F.lit(e.kind)) for e in LEXICON.entities)), lambda x: x.isNotNull())
     return taxonomy.classified(rows.withColumns({"entity_kinds": kinds, "source_type": F.col("source"), "bucket": F.lit("oem")}), TAXONOMY, "excerpt")
 
@@ -275,8 +276,8 @@ SELECT doc_id, primary_category, array_to_string((list_filter(others || list_fil
 
 
 @query(CAT_SQL)
-def taxonomy_categories(spark, sf_dir):
-    return _classified(spark, sf_dir).select("doc_id", "primary_category", F.array_join("secondary_categories", ",").alias("secondary"))
+def taxonomy_categories(spark, sf_dir, whole=False):
+    return _classified(spark, sf_dir, whole).select("doc_id", "primary_category", F.array_join("secondary_categories", ",").alias("secondary"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN r AND i THEN 'RECALL_AND_INVESTIGATION' WHEN r THEN 'RECALL' WHEN i THEN 'INVESTIGATION' ELSE 'NO_RECALL' END AS context FROM (
@@ -319,24 +320,24 @@ g AS (SELECT *, CASE WHEN priority_score >= 800 THEN 'critical' WHEN priority_sc
 
 
 @query(SCORE_SQL + " SELECT doc_id, source_score, relevance_score, impact_score, novelty_score, recency_score, priority_score, level FROM g")
-def article_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "source_score", "relevance_score", "impact_score", "novelty_score", "recency_score", "priority_score", "level")
+def article_scores(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole).select("doc_id", "source_score", "relevance_score", "impact_score", "novelty_score", "recency_score", "priority_score", "level")
 
 
 @query(SCORE_SQL + " SELECT level, count(*) AS n, max(priority_score) AS best FROM g GROUP BY level")
-def level_counts(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.max("priority_score").alias("best"))
+def level_counts(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole).groupBy("level").agg(F.count("*").alias("n"), F.max("priority_score").alias("best"))
 
 
 @query(SCORE_SQL + " SELECT doc_id, priority_score, rank FROM (SELECT doc_id, priority_score, CAST(row_number() OVER (ORDER BY priority_score DESC, published_at DESC, doc_id) AS INT) AS rank FROM g) WHERE rank <= 5")
-def priority_top5(spark, sf_dir):
-    best = _scored(spark, sf_dir).orderBy(F.desc("priority_score"), F.desc("published_at"), "doc_id").limit(5)
+def priority_top5(spark, sf_dir, whole=False):
+    best = _scored(spark, sf_dir, whole).orderBy(F.desc("priority_score"), F.desc("published_at"), "doc_id").limit(5)
     return select.ranked(best, "priority_score", "published_at", "doc_id").select("doc_id", "priority_score", "rank")
 
 
 @query(SCORE_SQL + " SELECT count(*) AS total, count(*) FILTER (WHERE level = 'critical' AND lang <> 'es') AS critical, count(*) FILTER (WHERE level = 'high' AND lang <> 'es') AS high, count(*) FILTER (WHERE lang = 'es') AS conference FROM g")
-def issue_metrics(spark, sf_dir):
-    rows = _scored(spark, sf_dir)
+def issue_metrics(spark, sf_dir, whole=False):
+    rows = _scored(spark, sf_dir, whole)
     return store.metrics(rows.withColumn("category", F.when(F.col("lang") == "es", "conference").otherwise(F.col("category"))))
 
 
@@ -424,8 +425,8 @@ def date_ranges(spark, sf_dir):
 
 @query()
 def briefing_mail(spark, sf_dir):
-    """The text of a mail with the best five articles of each category."""
-    rows = _scored(spark, sf_dir).withColumns({"id": F.col("doc_id"), "url": F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))})
+    """The text of a mail with the best five articles of each category, by their whole texts."""
+    rows = _scored(spark, sf_dir, whole=True).withColumns({"id": F.col("doc_id"), "url": F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))})
     best = select.section_top(rows, 5, "category", "priority_score", "published_at", "doc_id")
     views = presentation.article_view(best).join(best.select(F.col("doc_id").alias("id"), F.col("rank").alias("position")), "id")
     return presentation.mail_text(views, REF_TIME[:10])
@@ -580,13 +581,23 @@ def feed_health(spark, sf_dir):
 
 
 @query(SCORE_SQL + " SELECT doc_id, title, level, priority_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY priority_score DESC, published_at DESC, doc_id) AS INT) AS rank FROM g) WHERE rank <= 5")
-def briefing_sections(spark, sf_dir):
-    return flagship(spark, sf_dir)
+def briefing_sections(spark, sf_dir, whole=False):
+    """The best five scored articles of each category."""
+    return select.section_top(_scored(spark, sf_dir, whole), 5, "category", "priority_score", "published_at", "doc_id").select("doc_id", "title", "level", "priority_score", "rank")
+
+
+def _whole(f: Query) -> None:
+    """Registers a query over whole texts, beside the one over excerpts."""
+    QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
+    SQL[f"{f.__name__}_whole"] = SQL[f.__name__].replace("substring(text, 1, 420) AS excerpt", "text AS excerpt")
+
+
+for _f in (entity_match, topic_implications, entity_groups, taxonomy_categories, article_scores, level_counts, priority_top5, issue_metrics, briefing_sections):
+    _whole(_f)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best five scored articles of each category."""
-    return select.section_top(_scored(spark, sf_dir), 5, "category", "priority_score", "published_at", "doc_id").select("doc_id", "title", "level", "priority_score", "rank")
+    return briefing_sections(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -145,6 +145,21 @@ def test_events_of_all_documents(spark):
     assert {r["primary_id"]: r["source_count"] for r in catalogue.queries()["event_coverage"](spark, sf).collect()} == {k: n for k, n in sizes.items() if n > 1}
 
 
+def test_whole_texts_are_matched(spark, tmp_path):
+    """What stands after the excerpt counts."""
+    text = "Title\n" + "xyz " * 200 + "the and leaux was"
+    spark.createDataFrame([(0, text, "en", "src1"), (1, "Title\nxyz", "de", "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r["doc_id"]: r for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("entity_match_whole")[0]["entities"] == "the" and run("topic_implications_whole")[0]["topics"] == "Joining,Speech"
+    assert run("taxonomy_categories_whole")[0]["primary_category"] == "sdv"
+    scores = run("article_scores_whole")[0]
+    assert (scores["relevance_score"], scores["impact_score"]) == (890, 430)
+    assert {r["entity_id"]: r["n"] for r in catalogue.queries()["entity_groups_whole"](spark, str(tmp_path)).collect()} == {"the": 1}
+    points = scores["priority_score"] // 10
+    assert f"Score: {points} /" in catalogue.briefing_mail(spark, str(tmp_path)).first()["text"]
+    assert catalogue.article_scores(spark, str(tmp_path)).where("doc_id = 0").first()["priority_score"] // 10 != points
+
+
 def test_section_top_prefers_direct_links(spark):
     rows = spark.createDataFrame([(1, "a", 5, True), (2, "a", 9, False), (3, "b", 1, False)], "ord long, category string, score int, direct boolean").withColumn("published_at", F.lit(None).cast("timestamp"))
     assert ids(select.section_top(rows, 5, direct=F.col("direct")), "ord") == [1, 3]
