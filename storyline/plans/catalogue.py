@@ -346,10 +346,7 @@ x AS (SELECT n.doc_id, o.doc_id AS old, len(list_intersect(n.t, o.t)) AS c, grea
 SELECT DISTINCT doc_id FROM x WHERE c >= 4 AND c * 4 >= m * 3""")
 def novelty_repeats(spark, sf_dir):
     rows = dedupe.with_title_features(articles(spark, sf_dir)).select("doc_id", "source", F.col("title_tokens").alias("t"))
-    old = rows.where("source = 'src0'").select("t").distinct().select(F.col("t").alias("old"), F.explode("t").alias("token"))
-    new = rows.where("source <> 'src0'").select("doc_id", "t", F.explode("t").alias("token"))
-    common = F.size(F.array_intersect("t", "old"))
-    return new.join(old, "token").where((common >= 4) & (common * 4 >= F.greatest(F.size("t"), F.size("old")) * 3)).select("doc_id").distinct()
+    return dedupe.repeated(rows.where("source <> 'src0'"), rows.where("source = 'src0'"), "doc_id", "t")
 
 
 # --- selection, facets, sections --------------------------------------------------------------------
@@ -596,8 +593,29 @@ for _f in (entity_match, topic_implications, entity_groups, taxonomy_categories,
     _whole(_f)
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as entries of feeds in order of arrival, with their whole texts."""
+    url = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    rows = articles(spark, sf_dir, whole=True)
+    return rows.select(
+        F.col("doc_id").alias("ord"), "title", "excerpt", "published_at", url.alias("url"), url.alias("canonical_url"), F.lit("oem").alias("bucket"), F.col("source").alias("publisher"),
+        F.when(F.col("source") == "src1", "regulator").when(F.col("source") == "src2", "aggregator").otherwise("media").alias("source_type"), F.when(F.col("source") == "src3", 95).otherwise(70).alias("source_authority"),
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return briefing_sections(spark, sf_dir)
+    """The briefing: documents de-duplicated against each other and the history (those of src0), classified, scored, linked to events; the best five primary articles of each category."""
+    rows = entries(spark, sf_dir)
+    history = rows.where("publisher = 'src0'").withColumn("title_key", T.title_key(F.col("title"))).select("canonical_url", "title", "title_key")
+    scores = {"core": CORE, "signals": SIGNALS, "evergreen": EVERGREEN, "promotion": PROMOTION}
+    kept = dedupe.checkpointed(briefing.articles(rows.where("publisher <> 'src0'"), LEXICON, F.lit(REF_TIME).cast("timestamp"), TAXONOMY, history, scores))
+    members, _ = briefing.linked(kept, LEXICON)
+    return briefing.presentation(kept, members).select(F.col("id").alias("doc_id"), "title", "category", "level", "priority_score", "rank")
+
+
+@query()
+def briefing_whole_plan(spark, sf_dir):
+    return flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -160,6 +160,28 @@ def test_whole_texts_are_matched(spark, tmp_path):
     assert catalogue.article_scores(spark, str(tmp_path)).where("doc_id = 0").first()["priority_score"] // 10 != points
 
 
+def test_flagship_is_the_whole_briefing(spark, tmp_path):
+    """No copies, one article of an event, repeats of the history lose points."""
+    a, b = "alfa bravo charly delta echos foxtrot golfs hotels", "kilos limas mikes novas oscars papas"
+    titles = [(1, a, "src1"), *((i, a, "src4") for i in range(2, 9)), (9, b + " 7", "src4"), (10, b + " 8", "src4"), (11, b + " 6", "src0"), (12, "quite another title here", "src4"), (13, "romeo sierra tango union 5", "src0"), (14, "romeo sierra tango union 5", "src4")]
+    spark.createDataFrame([(i, f"{t}\nthe text", "en", s) for i, t, s in titles], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue.flagship(spark, str(tmp_path)).collect()
+    found = [r["doc_id"] for r in rows]
+    assert len(found) == len(set(found)) and not set(found) & {2, 3, 4, 5, 6, 7, 8, 11, 13, 14} and {1, 12} <= set(found)
+    history = spark.createDataFrame([("h", b + " 6", (b + "6").replace(" ", ""))], "canonical_url string, title string, title_key string")
+    entries = catalogue.entries(spark, str(tmp_path)).where("ord in (9, 12)")
+    score = lambda h: {r["id"]: r["novelty_score"] for r in catalogue.briefing.articles(entries, catalogue.LEXICON, F.lit(catalogue.REF_TIME).cast("timestamp"), catalogue.TAXONOMY, h).collect()}
+    before, after = score(None), score(history)
+    assert after[9] == before[9] - 300 and after[12] == before[12]
+
+
+def test_flagship_of_a_table_has_no_near_titles(spark):
+    rows = catalogue.flagship(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    best = dedupe.checkpointed(rows)
+    assert best.count() and best.groupBy("category").count().where("count > 5").count() == 0
+    assert dedupe.near_pairs(best, "doc_id").count() == 0
+
+
 def test_section_top_prefers_direct_links(spark):
     rows = spark.createDataFrame([(1, "a", 5, True), (2, "a", 9, False), (3, "b", 1, False)], "ord long, category string, score int, direct boolean").withColumn("published_at", F.lit(None).cast("timestamp"))
     assert ids(select.section_top(rows, 5, direct=F.col("direct")), "ord") == [1, 3]
