@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.llm import line_dedup, ngram_join, packing, quality
-from storyline.llm.common import new_path
+from storyline.llm.common import new_path, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -31,7 +31,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
+    """One row of each component of near duplicates: that with the smallest id.
+
+    Rows may repeat an id, with equal or different texts; each is a row of its own
+    component, and of those with the smallest id the first by the text's hash stays.
+    Rows without an id or without words stay.
+    """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # numbers of rows hold once the table is written
+        rows = written(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+        groups = ngram_join.ngram_join(rows, "_row").where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+        named = groups.join(rows.select("_row", "doc_id", F.sha2("text", 256).alias("hash")), "_row")
+        firsts = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+        return rows.join(groups.join(firsts, "_row", "left_anti"), "_row", "left_anti").select(*docs.columns)
     others = ngram_join.ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

@@ -122,6 +122,15 @@ def test_shingles_are_distinct_and_equal_for_equal_words():
     assert a.tolist() == b.tolist() and len(a) == 6 and len(c) == 0
 
 
+def test_one_row_of_each_group_with_repeated_ids(spark):
+    a, b, c = " ".join(BASE), " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    near = " ".join([*BASE[:-1], "tomorrow"])
+    rows = [(1, a), (5, near), (5, b), (7, c), (7, c), (7, a), (8, c), (9, ""), (9, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=repr)
+    assert found == sorted([(1, a), (5, b), (7, c), (9, ""), (9, ""), (None, a), (None, a)], key=repr)
+
+
 # --- 2, 3, 9 ----------------------------------------------------------------------------------------
 
 
