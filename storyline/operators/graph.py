@@ -17,15 +17,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node and component (the smallest node reachable) for edges (left, right), by smallest neighbours with jumps.
 
     Every round halves the distance to the smallest node about, and ends in a checkpoint.
+    Rounds go on until nothing changes; if ``rounds`` of them don't suffice, an error is raised.
     """
     both = edges.select("left", "right").unionByName(edges.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
     both = checkpointed(both)
     labels = checkpointed(both.groupBy("left").agg(F.least(F.min("right"), F.col("left")).alias("component")).withColumnRenamed("left", "node"))
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         near = both.join(labels.select(F.col("node").alias("right"), "component"), "right").groupBy("left").agg(F.min("component").alias("c"))
         step = labels.join(near.withColumnRenamed("left", "node"), "node").select("node", F.least("component", "c").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -34,7 +37,7 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         labels_before, labels = labels, after
         if changed.isEmpty():
             return labels_before
-    return labels
+    raise RuntimeError(f"components haven't settled in {rounds} rounds")
 
 
 def pair_quality(predicted: DataFrame, gold: DataFrame) -> DataFrame:

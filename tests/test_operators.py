@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyline.operators import dedupe, graph, scoring, select
@@ -106,6 +107,13 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 11: 7}
 
 
+def test_components_never_end_unsettled(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "left long, right long")
+    assert {r["component"] for r in graph.connected_components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.connected_components(edges, rounds=1)
+
+
 def test_recency_and_levels(spark):
     ref = dt.datetime(2024, 1, 10)
     rows = [(0, ref), (1, ref - dt.timedelta(hours=2)), (2, ref - dt.timedelta(hours=36)), (3, ref - dt.timedelta(hours=144)), (4, None), (5, ref + dt.timedelta(hours=5))]
