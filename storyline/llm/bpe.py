@@ -8,10 +8,10 @@ a new piece whatever stands around (before white space, and between a letter or
 digit and a mark).  What lies between two cuts, mostly one word, is encoded
 independently by the ``tokenizers`` library.
 
-As words recur, each worker keeps a bounded table of fragments that it has met,
-from a 64-bit hash of the fragment's bytes to its ids (among the half million
-fragments that a worker may know, two share a hash with a probability of 1e-8).  Cutting,
-hashing and looking up run over whole Arrow batches with numpy.  Texts never leave
+As words recur, each worker keeps a bounded table of fragments that it has met, from
+the fragment's bytes to its ids: a hash finds the place, then all bytes are
+compared, so no two fragments can be taken for each other.  Cutting, hashing,
+comparing and looking up run over whole Arrow batches with numpy.  Texts never leave
 their partition: no shuffle, and memory is bounded by one Arrow batch.
 
 Results for special cases: null and empty texts have no ids and decode to the
@@ -52,17 +52,24 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Memory:
-    """From 64-bit hashes to ids: open addressing in flat arrays, read and filled by whole arrays."""
+    """From fragments to ids: open addressing in flat arrays, read and filled by whole arrays."""
 
     def __init__(self, dtype: np.dtype):
+        self.secret = W.new_key()
         self.keys = np.zeros(PLACES, dtype=np.uint64)
         self.start = np.zeros(PLACES, dtype=np.int32)
         self.length = np.zeros(PLACES, dtype=np.int16)
+        self.size = np.zeros(PLACES, dtype=np.int16)
+        self.lane_at = np.zeros(PLACES, dtype=np.int32)
+        self.lanes = np.zeros(1 << 20, dtype=np.uint64)
         self.pool = np.zeros(1 << 20, dtype=dtype)
-        self.held = self.used = 0
+        self.held = self.used = self.lanes_used = 0
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 if it is unknown."""
+    def hashes(self, spans: W.Spans) -> np.ndarray:
+        return np.maximum(W.mixed(spans.hashes(self.secret)), np.uint64(1))
+
+    def find(self, spans: W.Spans, hashes: np.ndarray) -> np.ndarray:
+        """The place that holds each fragment, -1 if there is none."""
         mask = np.uint64(PLACES - 1)
         at = (hashes & mask).astype(np.int64)
         out = np.full(len(hashes), -1, dtype=np.int64)
@@ -73,18 +80,32 @@ class Memory:
             out[open_[hit]] = at[hit]
             on = ~hit & (key != 0)
             open_, at = open_[on], (at[on] + 1) & (PLACES - 1)
+        # equal hashes don't suffice: lengths and all bytes must agree
+        differs = (out >= 0) & (self.size[out] != spans.length)
+        which = np.flatnonzero((out >= 0) & ~differs)
+        j = 0
+        while len(which):
+            differs[which] |= spans.lane(j, which) != self.lanes[self.lane_at[out[which]] + j]
+            j += 1
+            which = which[spans.length[which] > 8 * j]
+        out[differs] = -1
         return out
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Different unknown hashes with their ids, one after the other; what doesn't fit any more is left out."""
+    def add(self, hashes: np.ndarray, fragments: Sequence[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Different unknown fragments with their ids, one after the other; what doesn't fit any more is left out."""
         room = PLACES // 2 - self.held
-        hashes, lengths = hashes[:room], lengths[:room]
+        hashes, fragments, lengths = hashes[:room], fragments[:room], lengths[:room]
         ids = ids[: int(lengths.sum())]
-        if len(self.pool) < self.used + len(ids):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=self.pool.dtype)])
+        lanes = np.frombuffer(b"".join([f.ljust(-(-len(f) // 8) * 8, b"\0") for f in fragments]), dtype="<u8")
+        self.pool = _with_room(self.pool, self.used + len(ids))
+        self.lanes = _with_room(self.lanes, self.lanes_used + len(lanes) + 1)
         self.pool[self.used : self.used + len(ids)] = ids
+        self.lanes[self.lanes_used : self.lanes_used + len(lanes)] = lanes
+        size = np.array([len(f) for f in fragments], dtype=np.int64)
         start = self.used + np.cumsum(lengths) - lengths
+        lane_at = self.lanes_used + np.cumsum(-(-size // 8)) - -(-size // 8)
         self.used += len(ids)
+        self.lanes_used += len(lanes)
         self.held += len(hashes)
         at, open_ = (hashes & np.uint64(PLACES - 1)).astype(np.int64), np.arange(len(hashes))
         while len(open_):
@@ -92,10 +113,15 @@ class Memory:
             taken, first = np.unique(at[free], return_index=True)
             who = open_[free][first]
             self.keys[taken], self.start[taken], self.length[taken] = hashes[who], start[who], lengths[who]
+            self.size[taken], self.lane_at[taken] = size[who], lane_at[who]
             on = self.keys[at] != hashes[open_]
             open_, at = open_[on], (at[on] + 1) & (PLACES - 1)
 
 
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), dtype=x.dtype)])
+
+
 def joined_ids(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """pool[start : start + length] of all, one after the other."""
     ends = np.cumsum(length)
@@ -124,7 +150,7 @@ class FragmentEncoder:
         self.closing = {b for b in range(256) if all(self.cuts[b << 8 | c] for c in SEPARATORS)}
         self.memory = Memory(self.dtype)
         # a vocabulary of words spells both cases alike
-        self.values = W.LOWERED if self.suffix else np.arange(256, dtype=np.uint64)
+        self.values = W.LOWERED if self.suffix else None
 
     def _token_bytes(self) -> list[bytes]:
         as_byte = byte_of_char()
@@ -207,8 +233,8 @@ class FragmentEncoder:
         # it must bring the white space before which the cut is certain, and end so that the next cut is
         return fragment[0] in SEPARATORS and fragment[-1] in self.closing
 
-    def _learn(self, hashes: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, ids, lengths) of unknown fragments; they are remembered while there is room."""
+    def _learn(self, hashes: np.ndarray, known: list[bytes], fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, lengths) of unknown fragments, ``known`` as they will be compared; they are remembered while there is room."""
         fit = [i for i, f in enumerate(fragments) if self._fit(f)]
         rest = sorted(set(range(len(fragments))).difference(fit))
         ids, lengths = [], []
@@ -222,7 +248,7 @@ class FragmentEncoder:
             ids.append(a)
             lengths.append(b)
         order, all_ids, all_lengths = np.array(fit + rest), np.concatenate(ids), np.concatenate(lengths)
-        self.memory.add(hashes[order], all_ids, all_lengths)
+        self.memory.add(hashes[order], [known[i] for i in order.tolist()], all_ids, all_lengths)
         return order, all_ids, all_lengths
 
     def _encode_group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,22 +256,25 @@ class FragmentEncoder:
         specials = self.specials(data, offsets)
         begin, end = self.spans(data, offsets, specials)
         memory = self.memory
-        hashes = np.maximum(W.span_hashes(data, begin, end, self.values), np.uint64(1))
+        known = data if self.values is None else self.values[data]
+        spans = W.Spans(known, begin, end)
+        hashes = memory.hashes(spans)
         # long fragments and those with a special string go to the library each by each
         alone = end - begin > SHORT
         for i, _ in specials:
             alone[np.searchsorted(begin, i, side="right") - 1] = True
-        at = memory.find(hashes)
+        at = memory.find(spans, hashes)
         at[alone] = -1
         start, length, pool = memory.start[at].astype(np.int64), memory.length[at].astype(np.int64), memory.pool
         missing = np.flatnonzero((at < 0) & ~alone)
         extra: list[np.ndarray] = []
         base = memory.used
         if len(missing):
-            new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            spans = zip(begin[missing[first]].tolist(), end[missing[first]].tolist(), strict=True)
-            order, ids, lengths = self._learn(new, [raw[i:j] for i, j in spans])
+            raw, new = known.tobytes(), {}
+            inverse = np.array([new.setdefault(raw[i:j], len(new)) for i, j in zip(begin[missing].tolist(), end[missing].tolist(), strict=True)])
+            first = np.empty(len(new), dtype=np.int64)
+            first[inverse[::-1]] = missing[::-1]
+            order, ids, lengths = self._learn(hashes[first], list(new), [data[i:j].tobytes() for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
             where, size = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
             where[order], size[order] = np.cumsum(lengths) - lengths, lengths
             start[missing], length[missing] = where[inverse] + base, size[inverse]

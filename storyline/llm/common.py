@@ -8,22 +8,27 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a relation (as Catalyst estimates them) that one partition should hold.
 PARTITION_BYTES = 64 << 20
+#: Groups into which parts of one whole are put together before they become one.
+ROUND_GROUPS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, notebooks) a local folder is made
-    and set for the session's lifetime.
+    Only where that setting is absent and the session runs in one process (tests,
+    notebooks) a local folder is made and set for the session's lifetime.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or os.environ.get("STORYLINE_SHARED_DIR")
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="storyline-")
         os.environ["STORYLINE_SHARED_DIR"] = base
     if context.getCheckpointDir() is None:
@@ -53,6 +58,23 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def in_rounds(parts: DataFrame, schema: str, add) -> DataFrame:
+    """One row for each value of the first column of ``parts`` (one int and binary columns).
+
+    ``add`` (a table to a list of bytes, one for each binary column) puts the rows of a value together, first in
+    ``ROUND_GROUPS`` groups, then those, so no task holds the parts of all tasks of a large input.
+    """
+
+    def run(key, table):
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in add(table))], names=names)
+
+    value = schema.split()[0]
+    spread = parts.withColumn("_round", F.pmod(F.spark_partition_id(), F.lit(ROUND_GROUPS)))
+    once = spread.groupBy(value, "_round").applyInArrow(lambda key, table: run(key, table.drop_columns(["_round"])), schema)
+    return once.groupBy(value).applyInArrow(run, schema)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of ``df``: the session's setting, more where the input asks for it."""
     bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

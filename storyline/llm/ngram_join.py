@@ -1,31 +1,42 @@
 """Operator 1: n-gram Jaccard join of documents, exact.
 
 The incidence of documents and shingles is a sparse matrix A; links are the
-entries of A A' that reach a bound which follows from the two sizes.  It is
-multiplied block by block, a block being the shingles of one hash range:
-
-1. ``_digested``: shingle sets of whole texts (numpy on Arrow batches).  Equal
-   sets are one class from here on, so exact copies cost one row each.  Shingles
-   that recur within a batch are counted; the ``HOT`` most frequent are ranked last.
+entries of A A' that reach a bound which follows from the two sizes.  The product
+is taken block by block: blocks of columns say which entries can be large enough,
+blocks of rows add up their overlap counts.
+
+1. ``_digested``: shingle sets of whole texts (numpy on Arrow batches) as rows of A,
+   written once; no text is read again.  Equal sets are one class from here on, so
+   exact copies cost one row each.  Shingles that recur within a batch are counted;
+   the ``HOT`` most frequent are ranked last.
 2. ``_blocks``: of a set of n shingles only the first n - ceil(t n) + 1 in rank
    order are dealt out: two sets that reach t share one of them.  They travel as
-   packed arrays, one row for each (batch, block); a class is sent once a batch.
-   Within a block, shingles with the same members are one; members are
-   written out as (members' signature, first member, member).
-3. Products are taken along stars: each member against its block's first.  Pairs
+   packed arrays, one row for each (batch, block of columns); a class is sent once
+   a batch.  Within a block, columns with the same members are one; members are
+   written out as (members' signature, first member, member).  Columns that
+   thousands of classes share (``HEAVY``) don't go to one task: they travel as plain
+   rows, their first member comes from a partial aggregation and an equi-join.
+3. Entries are wanted along stars: each member against its block's first.  Pairs
    whose sizes exclude the bound go at once, then pairs for which a parity
-   sketch (one bit a shingle) proves too many differing shingles; for the rest the overlap is
-   counted on the whole sets.
+   sketch (one bit a shingle) proves too many differing shingles.
    The first is drawn by a hash with one of ``FIRSTS`` salts, so a large group is
    met from several of its members.
-4. Components of these links.  Blocks whose members are all in one component are
+4. ``_product``: the rows of the remaining members are dealt to their first's row, at
+   most about ``ROWS`` to a block, and multiplied with it column block by column block:
+   overlap counts accumulate, and after each block a pair goes whose count, with
+   all that its row has left, stays below what the two sizes ask for.
+5. Components of these links.  Blocks whose members are all in one component are
    done.  In the others every pair of members in different components follows,
    but for pairs that are excluded by size, by the triangle inequality of the
    Jaccard distance to the block's first member, or by the sketches, all within
    the join, where of the large blocks only the first that two members share brings them
    together.  So a group of thousands of near copies costs a few pairs a member,
    and no link between components is lost.
-5. Components of all links; a document's component is named by its smallest id.
+6. Components of all links; a document's component is named by its smallest id.
+
+Shingles are known by 64 bits (6 of them their length) under a key drawn for each
+run (see ``words``): for two given sequences of words they agree with a
+probability of about 2^-58, and no text can be made to agree with another.
 
 Results for special cases: null, empty and blank texts have an empty set, are
 linked with nothing and are their own component; a text with fewer words than a
@@ -42,11 +53,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import words as W
-from storyline.llm.common import removed, written
+from storyline.llm.common import in_rounds, removed, written
 from storyline.llm.components import components
 
 THRESHOLD = Fraction(3, 4)
@@ -54,10 +66,14 @@ THRESHOLD = Fraction(3, 4)
 RECURS, FREQUENT = 20_000, 4
 #: Parts in which a batch's shingles are counted, and postings that a worker packs together.
 PARTS, PACKED = 4, 300_000
+#: Bytes of texts whose sets are held together.
+SLICE = 32 << 20
 #: Frequent shingles that are ranked last at most.  This bounds the broadcast (8 bytes each); the ranking affects cost only.
 HOT = 1_000_000
 #: Postings of one block, about, and bits of a sketch at most.
 BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 17
+#: Members from which a column counts as heavy, rows multiplied with one first together, and column blocks of that product.
+HEAVY, ROWS, COLUMN_BLOCKS = 4096, 1024, 4
 #: Different firsts of blocks with the same members, about, and members from which a block counts as large.
 FIRSTS, LARGE = 8, 64
 #: Bits of the Bloom filter that keeps sets of unneeded documents from being shuffled.  This bounds the broadcast.
@@ -76,30 +92,40 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _digested(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, a, b, sketch) and of recurring shingles (kind 1: a = shingle, n = documents)."""
+def _digested(docs: DataFrame, key: int, words: int) -> DataFrame:
+    """Rows of documents (kind 0: doc_id, n, a, b; of each class the first of a batch also cid, sketch and set) and of recurring shingles (kind 1: a = shingle, n = documents)."""
+    schema = "kind int, doc_id long, n long, a long, b long, cid long, sketch array<long>, set array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind, doc_id, n, a, b, sketch):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), kind, dtype=np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), sketch],
-                names=["kind", "doc_id", "n", "a", "b", "sketch"],
-            )
-
+        done = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sets = list(W.shingles(batch.column(1), words))
-            names = [_name(x) for x in sets]
-            yield rows(0, batch.column(0), [len(x) for x in sets], [x[0] for x in names], [x[1] for x in names], W.lists([_sketch(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.int64()))
-            once = {name: x for name, x in zip(names, sets, strict=True)}
-            for part in range(PARTS):  # a part of the shingles at a time
-                mine = [x[x % np.uint64(PARTS) == np.uint64(part)] for x in once.values()]
-                found, count = np.unique(np.concatenate([*mine, np.zeros(0, np.uint64)]), return_counts=True)
-                again = count >= max(2, len(batch) // RECURS)
-                if again.any():
-                    none = pa.nulls(int(again.sum()), pa.int64())
-                    yield rows(1, none, count[again], found[again].view(np.int64), none, pa.nulls(len(none), pa.list_(pa.int64())))
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long, sketch array<long>")
+            for begin, end in W.slices(batch.column(1), SLICE):
+                part = batch.slice(begin, end - begin)
+                sets = list(W.shingles(part.column(1), key, words))
+                known = [_name(x) for x in sets]
+                once = {name: i for i, name in reversed(list(enumerate(known))) if len(sets[i])}
+                new = [once.get(name) == i for i, name in enumerate(known)]
+                none = pa.array([None if x else True for x in new], pa.bool_()).is_valid()
+                lists = []
+                for kind in (_sketch, lambda x: x.view(np.int64)):
+                    full = W.lists([kind(x) if y else np.zeros(0, np.int64) for x, y in zip(sets, new, strict=True)], pa.int64())
+                    lists.append(pa.ListArray.from_arrays(full.offsets, full.values, mask=none))
+                cid = pa.array([done + i if x else None for i, x in enumerate(new)], pa.int64())
+                done += len(part)
+                columns = [pa.array(np.zeros(len(part), dtype=np.int32)), part.column(0), pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in known], pa.int64()), pa.array([x[1] for x in known], pa.int64()), cid, *lists], names=names)
+                sets = [x for x, y in zip(sets, new, strict=True) if y]
+                for k in range(PARTS):  # a part of the shingles at a time
+                    mine = [x[x % np.uint64(PARTS) == np.uint64(k)] for x in sets]
+                    found, count = np.unique(np.concatenate([*mine, np.zeros(0, np.uint64)]), return_counts=True)
+                    again = count >= max(2, len(part) // RECURS)
+                    if again.any():
+                        m = int(again.sum())
+                        columns = [pa.array(np.ones(m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(count[again], pa.int64()), pa.array(found[again].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _prefix(n: np.ndarray | int, t: Fraction):
@@ -107,9 +133,27 @@ def _prefix(n: np.ndarray | int, t: Fraction):
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Fraction) -> DataFrame:
+def _rows(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a list column, as views."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[i:j]
+
+
+def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int, t: Fraction) -> DataFrame:
     """sig, lead, lead_n, member, n: members of each distinct set of members that share a shingle of their prefixes."""
 
+    def prefixes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        sent: set[tuple[int, int]] = set()
+        for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _rows(batch.column(2)), strict=True):
+            if (a, b) in sent:
+                continue
+            sent.add((a, b))
+            if len(hot):
+                late = _among(x, hot)
+                x = np.concatenate([x[~late], x[late]])
+            yield a, len(x), x[: _prefix(len(x), t)]
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(keys: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
             counts = [len(x) for x in keys]
@@ -122,25 +166,28 @@ def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Frac
             return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "keys", "names", "sizes"])
 
         for batch in batches:
-            sent: set[tuple[int, int]] = set()
             keys, names, sizes, held = [], [], [], 0
-            for x in W.shingles(batch.column(0), words):
-                if not len(x) or (name := _name(x)) in sent:
+            for name, n, x in prefixes(batch):
+                x = x[~_among(x, heavy)] if len(heavy) else x.copy()
+                if not len(x):
                     continue
-                sent.add(name)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-                    x = np.concatenate([x[~late], x[late]])
-                keys.append(x[: _prefix(len(x), t)].copy())
-                names.append(name[0])
-                sizes.append(len(x))
-                held += len(keys[-1])
+                keys.append(x)
+                names.append(name)
+                sizes.append(n)
+                held += len(x)
                 if held >= PACKED:
                     yield pack(keys, names, sizes)
                     keys, names, sizes, held = [], [], [], 0
             if keys:
                 yield pack(keys, names, sizes)
 
+    def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, x in prefixes(batch):
+                x = x[_among(x, heavy)]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), name)), pa.array(np.full(len(x), n))], names=["sig", "member", "n"])
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], []]
         for batch in batches:
@@ -172,8 +219,20 @@ def _blocks(docs: DataFrame, hot: np.ndarray, n_blocks: int, words: int, t: Frac
             for i in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["sig", "lead", "lead_n", "member", "n"])
 
-    dealt = docs.select("text").mapInArrow(deal, "block int, keys binary, names binary, sizes binary")
-    return dealt.repartitionById(n_blocks, F.col("block")).mapInArrow(multiply, "sig long, lead long, lead_n long, member long, n long")
+    rows = sets.select("a", "b", "set")
+    dealt = rows.mapInArrow(deal, "block int, keys binary, names binary, sizes binary")
+    light = dealt.repartitionById(n_blocks, F.col("block")).mapInArrow(multiply, "sig long, lead long, lead_n long, member long, n long").distinct()
+    if not len(heavy):
+        return light
+    members = rows.mapInArrow(write_out, "sig long, member long, n long").distinct()
+    salted = F.xxhash64("member", F.pmod("sig", F.lit(FIRSTS)))
+    firsts = members.groupBy("sig").agg(F.min(F.struct(salted.alias("h"), F.col("member").alias("lead"), F.col("n").alias("lead_n"))).alias("first"))
+    return light.unionByName(members.join(firsts, "sig").select("sig", "first.lead", "first.lead_n", "member", "n"))
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending array ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _least_overlap(n: Column, m: Column, t: Fraction) -> Column:
@@ -211,11 +270,10 @@ def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
         used = [i for i in range(0, bits, part) if on[i : i + part].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(on[i : i + part]).tobytes() for i in used], pa.binary())], names=["at", "bits"])
 
-    def union(key, table):
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+    def union(table: pa.Table) -> list[bytes]:
+        return [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]).tobytes()]
 
-    parts = ids.mapInArrow(fill, "at int, bits binary").groupBy("at").applyInArrow(union, "at int, bits binary").collect()
+    parts = in_rounds(ids.mapInArrow(fill, "at int, bits binary"), "at int, bits binary", union).collect()
     on = np.zeros(bits // 8, dtype=np.uint8)
     for row in parts:
         on[row["at"] // 8 : row["at"] // 8 + part // 8] = np.frombuffer(row["bits"], np.uint8)
@@ -232,50 +290,91 @@ def _in_bloom(on: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found
 
 
-def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """cid and set (array<long>) of the classes in ``needed`` (cid, doc, a, b)."""
-    spark = docs.sparkSession
-    n = needed.count()
-    bits = min(BLOOM_BITS, max(1 << 19, 1 << (16 * n).bit_length()))
-    on = spark.sparkContext.broadcast(_bloom(needed.select("doc"), bits))
+def _needed_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """cid and set of the classes in ``ids`` (cid); a Bloom filter keeps the others from being shuffled."""
+    bits = min(BLOOM_BITS, max(1 << 19, 1 << (16 * ids.count()).bit_length()))
+    on = sets.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(_in_bloom(on.value, doc))
-            for part in np.array_split(rows, max(1, len(rows) // 500)):
-                sets = list(W.shingles(batch.column(1).take(pa.array(part)), words))
-                names = [_name(x) for x in sets]
-                columns = [pa.array(doc[part], pa.int64()), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), W.lists(sets, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "a", "b", "set"])
+            yield batch.filter(pa.array(_in_bloom(on.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc long, a long, b long, set array<long>")
-    return found.join(needed, ["doc", "a", "b"]).select("cid", "set").dropDuplicates(["cid"])
+    found = sets.select("cid", "set").mapInArrow(run, "cid long, set array<long>")
+    return found.join(ids, "cid", "left_semi")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """Of pairs (x, y of cid) those that link; and for each pair a bound ``low`` of the distance from below, ``high`` from above.
+def overlaps(row: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``row`` has in common with each set, and how many of the set weren't looked at.
 
-    Result: x, y, linked, low, high.
+    Counts accumulate over blocks of columns; a set is given up once its count and
+    what it has left stay below ``need``.
+    """
+    count, seen, alive = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), np.arange(len(sizes))
+    for k in range(1, COLUMN_BLOCKS + 1):
+        until = -(-sizes[alive] * k // COLUMN_BLOCKS)
+        width = until - seen[alive]
+        ends = np.cumsum(width)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[alive] + seen[alive] - ends + width, width)
+        hits = np.concatenate([[0], np.cumsum(_among(values[at], row))])
+        count[alive] += hits[ends] - hits[ends - width]
+        seen[alive] = until
+        alive = alive[count[alive] + sizes[alive] - seen[alive] >= need[alive]]
+    return count, sizes - seen
+
+
+def _product(sets: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """x, y, common, left: accumulated overlap of each pair (lead, member, nl, nm), and the member's shingles that were not needed."""
+    many = pairs.groupBy("lead").agg(F.count("*").alias("k")).where(F.col("k") > ROWS)
+    dealt = pairs.join(many, "lead", "left").withColumn("salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / ROWS))).cast("int"))
+    members = dealt.select("lead", "salt", F.col("member").alias("cid"), "nl", F.lit(1).alias("kind"))
+    leads = dealt.select("lead", "salt", F.col("lead").alias("cid"), "nl", F.lit(0).alias("kind")).distinct()
+    rows = members.unionByName(leads).join(sets, "cid").select("lead", "salt", "kind", "cid", "nl", "set")
+    rows = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind")
+    up, down = t.numerator, t.numerator + t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            lead, kind, cid, nl = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
+            offsets, values = batch.column(5).offsets.to_numpy().astype(np.int64), batch.column(5).values.to_numpy().view(np.uint64)
+            # each row of A that heads a block of rows stands before it, maybe in an earlier batch
+            heads = np.flatnonzero(kind == 0)
+            common, left = np.zeros(len(lead), dtype=np.int64), np.zeros(len(lead), dtype=np.int64)
+            for h, i, j in zip([-1, *heads.tolist()], [0, *(heads + 1).tolist()], [*heads.tolist(), len(lead)], strict=True):
+                if h >= 0:
+                    row = values[offsets[h] : offsets[h + 1]].copy()
+                if i < j:
+                    sizes = offsets[i + 1 : j + 1] - offsets[i:j]
+                    need = -(-(sizes + len(row)) * up // down)
+                    common[i:j], left[i:j] = overlaps(row, values, offsets[i:j], sizes, need)
+            who = kind == 1
+            yield pa.RecordBatch.from_arrays([pa.array(v[who]) for v in (lead, cid, common, left)], names=["lead", "member", "common", "left"])
+
+    return rows.mapInArrow(run, "lead long, member long, common long, left long")
+
+
+def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """Of different pairs (lead, member of cid) those that link; and for each pair a bound ``low`` of the distance from below, ``high`` from above.
+
+    Result: x, y (x < y), linked, low, high.
     """
-    side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", _differing(F.col("sx"), F.col("sy")).alias("apart"))
+    side = lambda k, n, s: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("sketch").alias(s))
+    both = pairs.join(side("lead", "nl", "sl"), "lead").join(side("member", "nm", "sm"), "member").select("lead", "member", "nl", "nm", _differing(F.col("sl"), F.col("sm")).alias("apart"))
     # |x| + |y| - 2 overlap >= apart
-    most = F.floor((F.col("nx") + F.col("ny") - F.col("apart")) / 2)
-    both = both.withColumn("most", F.least(most, F.col("nx"), F.col("ny")))
-    both = written(both.withColumn("maybe", F.col("most") * (t.numerator + t.denominator) >= _least_overlap(F.col("nx"), F.col("ny"), t)), "pairs")
-    maybe = both.where("maybe").select("x", "y", "nx", "ny")
-    ends = maybe.select(F.col("x").alias("cid")).unionByName(maybe.select(F.col("y").alias("cid"))).distinct()
-    needed = written(ends.join(classes.select("cid", "doc", "a", "b"), "cid"), "needed")
-    sets = written(_sets(docs, needed, words), "sets")
-    seen = maybe.join(sets.select(F.col("cid").alias("x"), F.col("set").alias("p")), "x").join(sets.select(F.col("cid").alias("y"), F.col("set").alias("q")), "y")
-    seen = seen.select("x", "y", "nx", "ny", F.size(F.array_intersect("p", "q")).cast("long").alias("both"))
-    exact = 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
-    links = seen.select("x", "y", (F.col("both") * (t.numerator + t.denominator) >= _least_overlap(F.col("nx"), F.col("ny"), t)).alias("linked"), exact.alias("low"), exact.alias("high"))
-    rest = both.where("not maybe").select("x", "y", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("nx") + F.col("ny") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"))
+    most = F.least(F.floor((F.col("nl") + F.col("nm") - F.col("apart")) / 2), "nl", "nm")
+    enough = lambda overlap: overlap * (t.numerator + t.denominator) >= _least_overlap(F.col("nl"), F.col("nm"), t)
+    both = written(both.withColumn("most", most).withColumn("maybe", enough(F.col("most"))), "pairs")
+    maybe = both.where("maybe")
+    ends = written(maybe.select(F.col("lead").alias("cid")).unionByName(maybe.select(F.col("member").alias("cid"))).distinct(), "needed")
+    needed = written(_needed_sets(sets, ends), "sets")
+    counted = _product(needed, maybe.select("lead", "member", "nl", "nm"), t).join(maybe.select("lead", "member", "nl", "nm"), ["lead", "member"])
+    distance = lambda overlap: 1 - overlap / (F.col("nl") + F.col("nm") - overlap)
+    x, y = F.least("lead", "member").alias("x"), F.greatest("lead", "member").alias("y")
+    links = counted.select(x, y, ((F.col("left") == 0) & enough(F.col("common"))).alias("linked"), distance(F.col("common") + F.col("left")).alias("low"), distance(F.col("common")).alias("high"))
+    rest = both.where("not maybe").select(x, y, F.lit(False).alias("linked"), distance(F.col("most")).alias("low"), F.lit(1.0).alias("high"))
     out = written(links.unionByName(rest), "verified")
-    for table in (both, needed, sets):
-        removed(docs.sparkSession, table)
+    for table in (both, ends, needed):
+        removed(classes.sparkSession, table)
     return out
 
 
@@ -283,27 +382,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digested = written(_digested(rows, words), "digested")
-    own = digested.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "a", "b", "n", "sketch")
-    linkable = own.where("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # numbers of classes hold once the table is written
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    digested = written(_digested(rows, W.new_key(), words), "digested")
+    own = digested.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "a", "b", "n")
+    linkable = digested.where("kind = 0 and n > 0 and doc_id is not null")
+    classes = written(linkable.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("cid").alias("cid"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes")
+    sets = digested.where("cid is not null").select("cid", "a", "b", "set")
 
     often = digested.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    hot = np.sort(often.orderBy(F.desc("n"), "a").limit(HOT).select("a").toArrow().column(0).to_numpy().view(np.uint64))
+    often = often.orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").toArrow()
+    hot = often.column("a").to_numpy().view(np.uint64)
+    heavy = np.sort(hot[often.column("n").to_numpy() >= HEAVY])
     postings = classes.agg(F.sum(F.col("n") * float(1 - t) + 1)).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings) // BLOCK_POSTINGS)
-    blocks = _blocks(rows, hot, n_blocks, words, t)
-    named = classes.select("cid", "a", F.col("n").alias("n"))
-    blocks = written(blocks.distinct(), "blocks")
+    blocks = written(_blocks(sets, np.sort(hot), heavy, n_blocks, t), "blocks")
+    named = classes.select("cid", "a")
 
-    # stars; the two sides of a pair by rising number
-    x, y = F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")
+    # stars: each pair once, with one of its two as the first
     stars = blocks.where(_sizes_allow(F.col("lead_n"), F.col("n"), t) & (F.col("lead") != F.col("member"))).select("lead", "member").distinct()
     by_name = lambda k, c: named.select(F.col("a").alias(k), F.col("cid").alias(c))
-    pairs = stars.join(by_name("lead", "p"), "lead").join(by_name("member", "q"), "member").select(x, y).distinct()
-    first = _verified(rows, classes, pairs, words, t)
+    pairs = stars.join(by_name("lead", "p"), "lead").join(by_name("member", "q"), "member")
+    pairs = pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("p").alias("lead")).select("lead", F.when(F.col("lead") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
+    first = _verified(sets, classes, pairs, t)
     links = first.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = written(components(links), "components")
 
@@ -342,8 +441,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         & (~F.array_contains("l.large", F.col("l.sig")) | (F.array_min(F.array_intersect("l.large", "r.large")) == F.col("l.sig"))),
     )
     second = cross.select(F.least("l.cid", "r.cid").alias("x"), F.greatest("l.cid", "r.cid").alias("y")).distinct()
-    more = _verified(rows, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti"), words, t)
-    removed(spark, open_)
+    more = _verified(sets, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti").select(F.col("x").alias("lead"), F.col("y").alias("member")), t)
+    for table in (open_, largest, found):
+        removed(spark, table)
     links = links.unionByName(more.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
     found = components(links)
 

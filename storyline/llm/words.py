@@ -1,7 +1,14 @@
-"""Words and word shingles of whole Arrow batches, as 64-bit hashes, with numpy."""
+"""Words and word shingles of whole Arrow batches, as keyed 64-bit hashes, with numpy.
+
+Bytes are read eight at a time.  A span's hash is a multilinear form of its 32-bit
+halves with secret multipliers (:class:`Key`), twice: whatever two different texts
+are, they share both sums with a probability of 2^-66 at most over the draw of the
+key, which is made for each run, so nobody can make texts that collide.
+"""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,17 +17,32 @@ import pyarrow as pa
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-LOWERED = np.arange(256, dtype=np.uint64)
+LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes that are hashed at a time.
-BLOCK = 1 << 19
-#: Bytes of texts that are handled together.
-GROUP = 1 << 21
+#: Bytes of texts that are handled together, and lanes from which a span is summed up on its own.
+GROUP, MANY_LANES = 1 << 21, 32
 WORDS = 5
 #: Bits of a shingle's hash that hold its rank by length; see :func:`shingles`.
 RANK_BITS = 6
+LOW = np.uint64(0xFFFFFFFF)
+#: What is kept of a lane of which so many bytes belong to the span.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def new_key() -> int:
+    """A secret of 128 bits; drawn once for a run and sent along with its functions."""
+    return secrets.randbits(128)
+
+
+@lru_cache(maxsize=4)
+def _multipliers(key: int, row: int, n: int) -> np.ndarray:
+    """n multipliers of 64 bits (a longer table begins with the shorter one)."""
+    generator = np.random.Philox(key=[key & (1 << 64) - 1, (key >> 64) ^ row])
+    return np.random.Generator(generator).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+
+
+def multipliers(key: int, row: int, n: int) -> np.ndarray:
+    return _multipliers(key, row, max(256, 1 << (n - 1).bit_length()))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,13 +52,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, BASE, dtype=np.uint64), np.full(n + 1, INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, and where each text begins (nulls are empty)."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -46,21 +61,37 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = LOWERED) -> np.ndarray:
-    """Hash of each span [begin, end) of bytes; spans rise and don't overlap.  ``values`` says what a byte counts as."""
-    out = np.empty(len(begin), dtype=np.uint64)
-    done = 0
-    while done < len(begin):
-        base = int(begin[done])
-        last = max(int(np.searchsorted(end, base + BLOCK, side="right")), done + 1)
-        size = int(end[last - 1]) - base
-        up, down = _powers(BLOCK if size <= BLOCK else 1 << (size - 1).bit_length())
-        total = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum((values[data[base : base + size]] + np.uint64(1)) * up[:size], out=total[1:])
-        s, e = begin[done:last] - base, end[done:last] - base
-        out[done:last] = (total[e] - total[s]) * down[s]
-        done = last
-    return mixed(out + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+class Spans:
+    """Spans [begin, end) of bytes, read in lanes of eight."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        padded = np.zeros(len(data) + 8, dtype=np.uint8)
+        padded[: len(data)] = data
+        self.view = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        self.begin, self.length = begin, end - begin
+
+    def lane(self, j: int, which: np.ndarray) -> np.ndarray:
+        """Bytes 8 j to 8 j + 7 of the spans ``which``, zeros beyond their end."""
+        return self.view[self.begin[which] + 8 * j] & MASKS[np.clip(self.length[which] - 8 * j, 0, 8)]
+
+    def hashes(self, key: int, row: int = 0) -> np.ndarray:
+        """One multilinear sum for each span, with the key's multipliers of this row."""
+        most = int(self.length.max()) if len(self.length) else 0
+        short = min(MANY_LANES, (most + 7) // 8)
+        k = multipliers(key, row, 2 * (most + 7) // 8 + 3)
+        out = self.length.astype(np.uint64) * k[0]
+        which = np.flatnonzero(self.length > 0)
+        for j in range(short):
+            lane = self.lane(j, which)
+            out[which] += (lane & LOW) * k[2 * j + 1] + (lane >> np.uint64(32)) * k[2 * j + 2]
+            which = which[self.length[which] > 8 * (j + 1)]
+        for i in which.tolist():
+            lanes = self.view[int(self.begin[i]) : int(self.begin[i]) + int(self.length[i]) : 8].copy()
+            if self.length[i] % 8:
+                lanes[-1] &= MASKS[self.length[i] % 8]
+            lanes, more = lanes[short:], k[2 * short + 1 : 2 * len(lanes) + 1]
+            out[i : i + 1] += ((lanes & LOW) * more[::2] + (lanes >> np.uint64(32)) * more[1::2]).sum(dtype=np.uint64)
+        return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +107,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and length of every word (a run without white space, A-Z lower-cased), and where each text's begin."""
-    begin, end = word_spans(data, offsets)
-    return span_hashes(data, begin, end), (end - begin).astype(np.uint64), np.searchsorted(begin, offsets)
-
-
-def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text, ascending.
+def shingles(texts: pa.Array, key: int, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, ascending.  Hashes of one key are comparable.
 
     A text with fewer than ``words`` words has the whole sequence as one, a text
     without words has none.  The highest bits rank a shingle by its bytes, the
@@ -91,7 +116,17 @@ def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     few documents share in front without any count.
     """
     for data, offsets in groups(*buffers(texts)):
-        yield from _shingles(data, offsets, words)
+        yield from _shingles(data, offsets, key, words)
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of neighbouring texts of about ``size`` bytes together (one at least)."""
+    _, offsets = buffers(texts)
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
+        yield start, end
+        start = end
 
 
 def groups(data: np.ndarray, offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -103,13 +138,18 @@ def groups(data: np.ndarray, offsets: np.ndarray, size: int = GROUP) -> Iterator
         start = end
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    h, lengths, at = word_hashes(data, offsets)
-    weights = [mixed(np.array([i + 1], dtype=np.uint64))[0] | np.uint64(1) for i in range(words)]
-    n = max(0, len(h) - words + 1)
+def _shingles(data: np.ndarray, offsets: np.ndarray, key: int, words: int) -> Iterator[np.ndarray]:
+    begin, end = word_spans(data, offsets)
+    spans, at = Spans(LOWERED[data], begin, end), np.searchsorted(begin, offsets)
+    lengths = spans.length.astype(np.uint64)
+    sums = [spans.hashes(key, row) for row in (0, 1)]
+    pieces = [x for h in sums for x in (h & LOW, h >> np.uint64(32))]
+    weights = multipliers(key, 2, 4 * words + 1)
+    n = max(0, len(lengths) - words + 1)
     all_, size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for i, w in enumerate(weights):
-        all_ += h[i : i + n] * w
+    for i in range(words):
+        for j, piece in enumerate(pieces):
+            all_ += piece[i : i + n] * weights[4 * i + j]
         size += lengths[i : i + n]
     top = (1 << RANK_BITS) - 1
     rank = np.uint64(top) - np.minimum(size, np.uint64(top))
@@ -118,8 +158,9 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.
         if j - i >= words:
             yield np.unique(all_[i : j - words + 1])
         elif j > i:
-            some = (h[i:j] * np.array(weights[: j - i], dtype=np.uint64)).sum(keepdims=True)
-            yield mixed(some + np.uint64(j - i)) >> np.uint64(RANK_BITS)
+            some = sum(int(x) * int(weights[4 * k + p]) for p, piece in enumerate(pieces) for k, x in enumerate(piece[i:j].tolist()))
+            some = np.array([(some + (j - i) * int(weights[4 * words])) % (1 << 64)], dtype=np.uint64)
+            yield mixed(some) >> np.uint64(RANK_BITS)
         else:
             yield np.zeros(0, dtype=np.uint64)
 

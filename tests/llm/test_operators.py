@@ -118,7 +118,7 @@ def test_components_of_a_path(spark):
 def test_shingles_are_distinct_and_equal_for_equal_words():
     import pyarrow as pa
 
-    a, b, c = W.shingles(pa.array(["A b c d e f a b c d e", "a\tb\nc d e f A b c d e", None]))
+    a, b, c = W.shingles(pa.array(["A b c d e f a b c d e", "a\tb\nc d e f A b c d e", None]), W.new_key())
     assert a.tolist() == b.tolist() and len(a) == 6 and len(c) == 0
 
 
@@ -131,6 +131,59 @@ def test_one_row_of_each_group_with_repeated_ids(spark):
     assert found == sorted([(1, a), (5, b), (7, c), (9, ""), (9, ""), (None, a), (None, a)], key=repr)
 
 
+#: Two words that a polynomial hash with a known multiplier takes for one.
+FORGED = ("oolmlmlommnlmlnnkmnlmn", "lknmomoknmlonnmlonmoml")
+
+
+def test_forged_words_are_told_apart(spark):
+    df = spark.createDataFrame([(1, FORGED[0]), (2, FORGED[1])], "doc_id long, text string")
+    check_join(df)
+    for path in (BYTE, WORD):
+        lib, mine = Tokenizer.from_file(path), bpe.FragmentEncoder(path)
+        for _ in range(2):
+            assert [x.tolist() for x in mine.encode_batch(FORGED)] == [lib.encode(x, add_special_tokens=False).ids for x in FORGED]
+
+
+def test_equal_hashes_of_fragments_are_no_hit(monkeypatch):
+    lib, mine = Tokenizer.from_file(BYTE), bpe.FragmentEncoder(BYTE)
+    monkeypatch.setattr(bpe.Memory, "hashes", lambda self, spans: np.full(len(spans.begin), 7, dtype=np.uint64))
+    text = " ".join(BASE * 3) + " Wörter, 12 and some more"
+    for _ in range(2):
+        assert next(mine.encode_batch([text])).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_span_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 256, n).astype(np.uint8) for n in [0, 1, 7, 8, 9, 64, 255, 256, 257, 300, 301, 5000]]
+    data = np.concatenate([*parts, *parts])
+    ends = np.cumsum([len(x) for x in [*parts, *parts]])
+    begins = ends - [len(x) for x in [*parts, *parts]]
+    h = W.Spans(data, begins, ends).hashes(99)
+    assert h[: len(parts)].tolist() == h[len(parts) :].tolist() and len(set(h.tolist())) == len(parts)
+    alone = [int(W.Spans(x, np.array([0]), np.array([len(x)])).hashes(99)[0]) for x in parts]
+    assert alone == h[: len(parts)].tolist()
+
+
+def test_overlaps_accumulate_and_give_up():
+    rng = np.random.default_rng(9)
+    row = np.unique(rng.integers(0, 900, 200).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in rng.integers(1, 300, 50)]
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    sizes = np.array([len(x) for x in sets])
+    need = rng.integers(0, 120, 50)
+    count, left = ngram_join.overlaps(row, np.concatenate(sets), starts, sizes, need)
+    for x, n, c, r in zip(sets, need, count, left, strict=True):
+        true = len(np.intersect1d(row, x))
+        assert c <= true <= c + r and (r == 0 or c + r < n) and (r or c == true)
+
+
+@pytest.mark.parametrize("heavy", [2, 20])
+def test_ngram_join_splits_heavy_columns(spark, monkeypatch, heavy):
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "ROWS", 5)
+    test_ngram_join_of_near_copies(spark)
+
+
 # --- 2, 3, 9 ----------------------------------------------------------------------------------------
 
 
