@@ -14,7 +14,7 @@ blocks of rows add up their overlap counts.
    packed arrays, one row for each (batch, block of columns); a class is sent once
    a batch.  Within a block, columns with the same members are one; members are
    written out as (members' signature, first member, member).  Columns that
-   thousands of classes share (``HEAVY``) don't go to one task: they travel as plain
+   very many classes share (``HEAVY``) don't go to one task: they travel as plain
    rows, their first member comes from a partial aggregation and an equi-join.
 3. Entries are wanted along stars: each member against its block's first.  Pairs
    whose sizes exclude the bound go at once, then pairs for which a parity
@@ -67,13 +67,13 @@ RECURS, FREQUENT = 20_000, 4
 #: Parts in which a batch's shingles are counted, and postings that a worker packs together.
 PARTS, PACKED = 4, 300_000
 #: Bytes of texts whose sets are held together.
-SLICE = 32 << 20
+SLICE = 8 << 20
 #: Frequent shingles that are ranked last at most.  This bounds the broadcast (8 bytes each); the ranking affects cost only.
 HOT = 1_000_000
 #: Postings of one block, about, and bits of a sketch at most.
 BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 17
 #: Members from which a column counts as heavy, rows multiplied with one first together, and column blocks of that product.
-HEAVY, ROWS, COLUMN_BLOCKS = 4096, 1024, 4
+HEAVY, ROWS, COLUMN_BLOCKS = 100_000, 1024, 4
 #: Different firsts of blocks with the same members, about, and members from which a block counts as large.
 FIRSTS, LARGE = 8, 64
 #: Bits of the Bloom filter that keeps sets of unneeded documents from being shuffled.  This bounds the broadcast.
@@ -183,10 +183,11 @@ def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int,
 
     def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, n, x in prefixes(batch):
-                x = x[_among(x, heavy)]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), name)), pa.array(np.full(len(x), n))], names=["sig", "member", "n"])
+            found = [(name, n, x[_among(x, heavy)]) for name, n, x in prefixes(batch)]
+            counts = [len(x) for _, _, x in found]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in found)]).view(np.int64), *(np.repeat(np.array(x, np.int64), counts) for x in ([f[0] for f in found], [f[1] for f in found]))]
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["sig", "member", "n"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], []]
@@ -224,7 +225,7 @@ def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int,
     light = dealt.repartitionById(n_blocks, F.col("block")).mapInArrow(multiply, "sig long, lead long, lead_n long, member long, n long").distinct()
     if not len(heavy):
         return light
-    members = rows.mapInArrow(write_out, "sig long, member long, n long").distinct()
+    members = written(rows.mapInArrow(write_out, "sig long, member long, n long").distinct(), "heavy")
     salted = F.xxhash64("member", F.pmod("sig", F.lit(FIRSTS)))
     firsts = members.groupBy("sig").agg(F.min(F.struct(salted.alias("h"), F.col("member").alias("lead"), F.col("n").alias("lead_n"))).alias("first"))
     return light.unionByName(members.join(firsts, "sig").select("sig", "first.lead", "first.lead_n", "member", "n"))
