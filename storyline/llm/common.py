@@ -41,10 +41,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing."""
+    """``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing.
+
+    What earlier jobs shuffled is of no use any more; Spark deletes it as soon as the
+    driver's JVM has collected its handles, which is asked for here.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -367,14 +367,13 @@ def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, t: Fraction
     both = written(both.withColumn("most", most).withColumn("maybe", enough(F.col("most"))), "pairs")
     maybe = both.where("maybe")
     ends = written(maybe.select(F.col("lead").alias("cid")).unionByName(maybe.select(F.col("member").alias("cid"))).distinct(), "needed")
-    needed = written(_needed_sets(sets, ends), "sets")
-    counted = _product(needed, maybe.select("lead", "member", "nl", "nm"), t).join(maybe.select("lead", "member", "nl", "nm"), ["lead", "member"])
+    counted = _product(_needed_sets(sets, ends), maybe.select("lead", "member", "nl", "nm"), t).join(maybe.select("lead", "member", "nl", "nm"), ["lead", "member"])
     distance = lambda overlap: 1 - overlap / (F.col("nl") + F.col("nm") - overlap)
     x, y = F.least("lead", "member").alias("x"), F.greatest("lead", "member").alias("y")
     links = counted.select(x, y, ((F.col("left") == 0) & enough(F.col("common"))).alias("linked"), distance(F.col("common") + F.col("left")).alias("low"), distance(F.col("common")).alias("high"))
     rest = both.where("not maybe").select(x, y, F.lit(False).alias("linked"), distance(F.col("most")).alias("low"), F.lit(1.0).alias("high"))
     out = written(links.unionByName(rest), "verified")
-    for table in (both, ends, needed):
+    for table in (both, ends):
         removed(classes.sparkSession, table)
     return out
 
