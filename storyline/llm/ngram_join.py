@@ -5,9 +5,10 @@ entries of A A' that reach a bound which follows from the two sizes.  The produc
 is taken block by block: blocks of columns say which entries can be large enough,
 blocks of rows add up their overlap counts.
 
-1. ``_digested``: shingle sets of whole texts (numpy on Arrow batches) as rows of A,
-   written once; no text is read again.  Equal sets are one class from here on, so
-   exact copies cost one row each.  Shingles that recur within a batch are counted;
+1. ``_digested``: shingle sets of whole texts (numpy on Arrow batches), of which a
+   name of 128 bits, the size and a sketch are written.  Rows of A are made from the
+   texts where they are needed; written out they take twice the input's
+   space.  Equal sets are one class from here on, so exact copies cost one row each.  Shingles that recur within a batch are counted;
    the ``HOT`` most frequent are ranked last.
 2. ``_blocks``: of a set of n shingles only the first n - ceil(t n) + 1 in rank
    order are dealt out: two sets that reach t share one of them.  They travel as
@@ -93,8 +94,8 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _digested(docs: DataFrame, key: int, words: int) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, a, b; of each class the first of a batch also cid, sketch and set) and of recurring shingles (kind 1: a = shingle, n = documents)."""
-    schema = "kind int, doc_id long, n long, a long, b long, cid long, sketch array<long>, set array<long>"
+    """Rows of documents (kind 0: doc_id, n, a, b; of each class the first of a batch also cid and sketch) and of recurring shingles (kind 1: a = shingle, n = documents)."""
+    schema = "kind int, doc_id long, n long, a long, b long, cid long, sketch array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +108,12 @@ def _digested(docs: DataFrame, key: int, words: int) -> DataFrame:
                 once = {name: i for i, name in reversed(list(enumerate(known))) if len(sets[i])}
                 new = [once.get(name) == i for i, name in enumerate(known)]
                 none = pa.array([None if x else True for x in new], pa.bool_()).is_valid()
-                lists = []
-                for kind in (_sketch, lambda x: x.view(np.int64)):
-                    full = W.lists([kind(x) if y else np.zeros(0, np.int64) for x, y in zip(sets, new, strict=True)], pa.int64())
-                    lists.append(pa.ListArray.from_arrays(full.offsets, full.values, mask=none))
+                full = W.lists([_sketch(x) if y else np.zeros(0, np.int64) for x, y in zip(sets, new, strict=True)], pa.int64())
+                sketch = pa.ListArray.from_arrays(full.offsets, full.values, mask=none)
                 cid = pa.array([done + i if x else None for i, x in enumerate(new)], pa.int64())
                 done += len(part)
                 columns = [pa.array(np.zeros(len(part), dtype=np.int32)), part.column(0), pa.array([len(x) for x in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in known], pa.int64()), pa.array([x[1] for x in known], pa.int64()), cid, *lists], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in known], pa.int64()), pa.array([x[1] for x in known], pa.int64()), cid, sketch], names=names)
                 sets = [x for x, y in zip(sets, new, strict=True) if y]
                 for k in range(PARTS):  # a part of the shingles at a time
                     mine = [x[x % np.uint64(PARTS) == np.uint64(k)] for x in sets]
@@ -123,7 +122,7 @@ def _digested(docs: DataFrame, key: int, words: int) -> DataFrame:
                     if again.any():
                         m = int(again.sum())
                         columns = [pa.array(np.ones(m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(count[again], pa.int64()), pa.array(found[again].view(np.int64))]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -133,26 +132,19 @@ def _prefix(n: np.ndarray | int, t: Fraction):
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def _rows(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sets of a list column, as views."""
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-    for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield values[i:j]
-
-
-def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int, t: Fraction) -> DataFrame:
+def _blocks(docs: DataFrame, key: int, words: int, hot: np.ndarray, heavy: np.ndarray, n_blocks: int, t: Fraction) -> DataFrame:
     """sig, lead, lead_n, member, n: members of each distinct set of members that share a shingle of their prefixes."""
 
     def prefixes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         sent: set[tuple[int, int]] = set()
-        for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _rows(batch.column(2)), strict=True):
-            if (a, b) in sent:
+        for x in W.shingles(batch.column(0), key, words):
+            if not len(x) or (name := _name(x)) in sent:
                 continue
-            sent.add((a, b))
+            sent.add(name)
             if len(hot):
                 late = _among(x, hot)
                 x = np.concatenate([x[~late], x[late]])
-            yield a, len(x), x[: _prefix(len(x), t)]
+            yield name[0], len(x), x[: _prefix(len(x), t)].copy()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(keys: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
@@ -168,7 +160,7 @@ def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int,
         for batch in batches:
             keys, names, sizes, held = [], [], [], 0
             for name, n, x in prefixes(batch):
-                x = x[~_among(x, heavy)] if len(heavy) else x.copy()
+                x = x[~_among(x, heavy)] if len(heavy) else x
                 if not len(x):
                     continue
                 keys.append(x)
@@ -220,7 +212,7 @@ def _blocks(sets: DataFrame, hot: np.ndarray, heavy: np.ndarray, n_blocks: int,
             for i in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["sig", "lead", "lead_n", "member", "n"])
 
-    rows = sets.select("a", "b", "set")
+    rows = docs.select("text")
     dealt = rows.mapInArrow(deal, "block int, keys binary, names binary, sizes binary")
     light = dealt.repartitionById(n_blocks, F.col("block")).mapInArrow(multiply, "sig long, lead long, lead_n long, member long, n long").distinct()
     if not len(heavy):
@@ -291,17 +283,22 @@ def _in_bloom(on: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found
 
 
-def _needed_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """cid and set of the classes in ``ids`` (cid); a Bloom filter keeps the others from being shuffled."""
-    bits = min(BLOOM_BITS, max(1 << 19, 1 << (16 * ids.count()).bit_length()))
-    on = sets.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
+def _needed_sets(docs: DataFrame, key: int, words: int, needed: DataFrame) -> DataFrame:
+    """cid and set of the classes in ``needed`` (cid, doc, a, b); a Bloom filter leaves the other documents out."""
+    bits = min(BLOOM_BITS, max(1 << 19, 1 << (16 * needed.count()).bit_length()))
+    on = docs.sparkSession.sparkContext.broadcast(_bloom(needed.select("doc"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bloom(on.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            batch = batch.filter(pa.array(_in_bloom(on.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            for begin, end in W.slices(batch.column(1), SLICE):
+                part = batch.slice(begin, end - begin)
+                sets = list(W.shingles(part.column(1), key, words))
+                known = [_name(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in known], pa.int64()) for i in (0, 1)), W.lists(sets, pa.int64())], names=["doc", "a", "b", "set"])
 
-    found = sets.select("cid", "set").mapInArrow(run, "cid long, set array<long>")
-    return found.join(ids, "cid", "left_semi")
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc long, a long, b long, set array<long>")
+    return found.join(needed, ["doc", "a", "b"]).select("cid", "set")
 
 
 def overlaps(row: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,10 +348,11 @@ def _product(sets: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
             who = kind == 1
             yield pa.RecordBatch.from_arrays([pa.array(v[who]) for v in (lead, cid, common, left)], names=["lead", "member", "common", "left"])
 
-    return rows.mapInArrow(run, "lead long, member long, common long, left long")
+    # rows of documents that repeat an id and text are there twice
+    return rows.mapInArrow(run, "lead long, member long, common long, left long").dropDuplicates(["lead", "member"])
 
 
-def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+def _verified(docs: DataFrame, key: int, words: int, classes: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     """Of different pairs (lead, member of cid) those that link; and for each pair a bound ``low`` of the distance from below, ``high`` from above.
 
     Result: x, y (x < y), linked, low, high.
@@ -366,8 +364,8 @@ def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, t: Fraction
     enough = lambda overlap: overlap * (t.numerator + t.denominator) >= _least_overlap(F.col("nl"), F.col("nm"), t)
     both = written(both.withColumn("most", most).withColumn("maybe", enough(F.col("most"))), "pairs")
     maybe = both.where("maybe")
-    ends = written(maybe.select(F.col("lead").alias("cid")).unionByName(maybe.select(F.col("member").alias("cid"))).distinct(), "needed")
-    counted = _product(_needed_sets(sets, ends), maybe.select("lead", "member", "nl", "nm"), t).join(maybe.select("lead", "member", "nl", "nm"), ["lead", "member"])
+    ends = written(maybe.select(F.col("lead").alias("cid")).unionByName(maybe.select(F.col("member").alias("cid"))).distinct().join(classes.select("cid", "doc", "a", "b"), "cid"), "needed")
+    counted = _product(_needed_sets(docs, key, words, ends), maybe.select("lead", "member", "nl", "nm"), t).join(maybe.select("lead", "member", "nl", "nm"), ["lead", "member"])
     distance = lambda overlap: 1 - overlap / (F.col("nl") + F.col("nm") - overlap)
     x, y = F.least("lead", "member").alias("x"), F.greatest("lead", "member").alias("y")
     links = counted.select(x, y, ((F.col("left") == 0) & enough(F.col("common"))).alias("linked"), distance(F.col("common") + F.col("left")).alias("low"), distance(F.col("common")).alias("high"))
@@ -382,11 +380,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digested = written(_digested(rows, W.new_key(), words), "digested")
+    key = W.new_key()
+    digested = written(_digested(rows, key, words), "digested")
     own = digested.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "a", "b", "n")
     linkable = digested.where("kind = 0 and n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("cid").alias("cid"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes")
-    sets = digested.where("cid is not null").select("cid", "a", "b", "set")
 
     often = digested.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "a").limit(HOT).select("a", "n").toArrow()
@@ -394,7 +392,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = np.sort(hot[often.column("n").to_numpy() >= HEAVY])
     postings = classes.agg(F.sum(F.col("n") * float(1 - t) + 1)).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings) // BLOCK_POSTINGS)
-    blocks = written(_blocks(sets, np.sort(hot), heavy, n_blocks, t), "blocks")
+    blocks = written(_blocks(rows, key, words, np.sort(hot), heavy, n_blocks, t), "blocks")
     named = classes.select("cid", "a")
 
     # stars: each pair once, with one of its two as the first
@@ -402,7 +400,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_name = lambda k, c: named.select(F.col("a").alias(k), F.col("cid").alias(c))
     pairs = stars.join(by_name("lead", "p"), "lead").join(by_name("member", "q"), "member")
     pairs = pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("p").alias("lead")).select("lead", F.when(F.col("lead") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
-    first = _verified(sets, classes, pairs, t)
+    first = _verified(rows, key, words, classes, pairs, t)
     links = first.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = written(components(links), "components")
 
@@ -441,7 +439,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         & (~F.array_contains("l.large", F.col("l.sig")) | (F.array_min(F.array_intersect("l.large", "r.large")) == F.col("l.sig"))),
     )
     second = cross.select(F.least("l.cid", "r.cid").alias("x"), F.greatest("l.cid", "r.cid").alias("y")).distinct()
-    more = _verified(sets, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti").select(F.col("x").alias("lead"), F.col("y").alias("member")), t)
+    more = _verified(rows, key, words, classes, second.join(first.select("x", "y"), ["x", "y"], "left_anti").select(F.col("x").alias("lead"), F.col("y").alias("member")), t)
     for table in (open_, largest, found):
         removed(spark, table)
     links = links.unionByName(more.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
