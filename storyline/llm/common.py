@@ -40,6 +40,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/storyline/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, path: str) -> None:
+    """Has an existing folder deleted when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing.
 
@@ -49,6 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    scratch(spark, path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,6 +96,14 @@ def partitions(df: DataFrame) -> int:
     return max(asked, min(100_000, bytes_ // PARTITION_BYTES) if bytes_ < 1 << 60 else 0)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` or, where a column has it (in any case), a longer one that none has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> np.ndarray:
     """Ascending distinct bounds that cut ``column`` into at most ``n`` ranges of about equal row counts.
 

@@ -12,7 +12,8 @@
   share of what they could share; each filter of the shorter chain takes its best
   match, and the mean over them counts as much of the longer chain as it covers.
 
-All windows of an Arrow batch are scored together: window entropies follow from
+Texts are taken together up to ``GROUP_BYTES``, longer ones are scored in stretches,
+so memory is bounded by the longest text, not by the batch: window entropies follow from
 counts of equal bytes at each of the distances 1 .. WINDOW - 1.  Entropies,
 votes and hashes look at a document's own bytes only, so equal texts have equal
 fingerprints wherever they stand.
@@ -44,8 +45,8 @@ from storyline.llm.common import partitions, range_bounds, range_of
 WINDOW, RUN, VOTES = 32, 48, 12
 LEVELS, LOWEST, HIGHEST = 1000, 100, 990
 FILTER, BITS, FULL = 2048, 5, 160
-#: Bytes that are scored at a time.
-BLOCK = 1 << 16
+#: Bytes that are scored at a time, positions whose votes are counted together, and bytes of texts held together.
+BLOCK, VOTE_BLOCK, GROUP_BYTES = 1 << 16, 1 << 20, 4 << 20
 #: Share of the possible overlap beyond chance that counts as none.
 CHANCE = 0.1
 
@@ -81,9 +82,25 @@ def _inside(offsets: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def level_counts(texts: pa.Array) -> np.ndarray:
+    """Windows of each level, within the texts."""
     data, offsets = W.buffers(texts)
-    found = levels(data)
-    return np.bincount(found[_inside(offsets, len(found), WINDOW)], minlength=LEVELS + 1)
+    total = np.zeros(LEVELS + 1, dtype=np.int64)
+    for begin, part, own in _stretches(data, offsets, 0, WINDOW - 1):
+        found = levels(part)[: min(VOTE_BLOCK, len(data) - begin)]
+        total += np.bincount(found[_inside(own, len(found), WINDOW)], minlength=LEVELS + 1)
+    return total
+
+
+def _stretches(data: np.ndarray, offsets: np.ndarray, before: int, after: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``VOTE_BLOCK`` bytes from each ``begin`` on with so many before and after them, and the offsets of the texts cut to these."""
+    for begin in range(0, len(data), VOTE_BLOCK):
+        low, high = max(0, begin - before), min(len(data), begin + VOTE_BLOCK + after)
+        yield begin, data[low:high], _cut(offsets, low, high)
+
+
+def _cut(offsets: np.ndarray, low: int, high: int) -> np.ndarray:
+    i, j = int(np.searchsorted(offsets, low, side="right")) - 1, int(np.searchsorted(offsets, high, side="left"))
+    return np.clip(offsets[i : j + 1], low, high) - low
 
 
 def rarity_of(counts: np.ndarray) -> np.ndarray:
@@ -96,6 +113,17 @@ def rarity_of(counts: np.ndarray) -> np.ndarray:
 
 def feature_places(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Positions of the features, ascending."""
+    small = np.diff(offsets) < WINDOW + RUN
+    out = [np.zeros(0, dtype=np.int64)]
+    for begin, part, own in _stretches(data, offsets, RUN - 1, RUN + WINDOW):
+        low = max(0, begin - RUN + 1)
+        first = int(np.searchsorted(offsets, low, side="right")) - 1
+        places = _places(part, own, rarity, small[first : first + len(own) - 1]) + low
+        out.append(places[(places >= begin) & (places < begin + VOTE_BLOCK)])
+    return np.concatenate(out)
+
+
+def _places(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray, small: np.ndarray) -> np.ndarray:
     rank = rarity[levels(data)]
     n = len(rank)
     if not n:
@@ -114,8 +142,7 @@ def feature_places(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) ->
         runs = best[_inside(offsets, len(best), WINDOW + RUN - 1)]
         votes = np.bincount(runs & ((1 << 40) - 1), minlength=n)
     chosen = own & (votes >= VOTES) & (rank <= LEVELS + 1)
-    small = np.repeat(np.diff(offsets) < WINDOW + RUN, np.diff(offsets))[:n]
-    return np.flatnonzero(chosen | (own & small))
+    return np.flatnonzero(chosen | (own & np.repeat(small, np.diff(offsets))[:n]))
 
 
 def fingerprints(texts: pa.Array, rarity: np.ndarray) -> list[np.ndarray]:
@@ -179,8 +206,8 @@ def rarities(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS + 1, dtype=np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                total += level_counts(batch.column(0).slice(i, 500))
+            for i, j in W.slices(batch.column(0), GROUP_BYTES):
+                total += level_counts(batch.column(0).slice(i, j - i))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["level", "n"])
 
@@ -215,11 +242,12 @@ def compared(docs: DataFrame, rarity: np.ndarray | None = None, id_col: str = "d
     # a range's last document is followed by the first of the next lower range that has any, the last of all by the first of all
     used = sorted(firsts)
     guest = {firsts[r]: used[(i + 1) % len(used)] for i, r in enumerate(used)}
-    lent = F.create_map(*(F.lit(x) for pair in guest.items() for x in pair))
-    held = rows.withColumns({"key": key, "range": place}).withColumn("to", F.when(F.col("key").isin(*guest), lent[F.col("key")]))
+    # one row for each range, so the broadcast is bounded by their number
+    lent = spark.createDataFrame(list(guest.items()), "key long, to int")
+    held = rows.withColumns({"key": key, "range": place}).join(F.broadcast(lent), "key", "left")
     # of rows that repeat a lent id the first by text stands first
     copies = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("lent")))).otherwise(
-        F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("lent")), F.struct(F.col("to").cast("int").alias("r"), F.lit(True).alias("lent")))
+        F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("lent")), F.struct(F.col("to").alias("r"), F.lit(True).alias("lent")))
     )
     dealt = held.withColumn("copy", F.explode(copies)).select(F.col("copy.r").alias("range"), F.col("copy.lent").alias("lent"), "key", "doc_id", "text")
     dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions(F.asc("lent"), F.desc("key"), "text").select("lent", "doc_id", "text")
@@ -240,8 +268,8 @@ def compared(docs: DataFrame, rarity: np.ndarray | None = None, id_col: str = "d
         waiting = None  # the document whose next one hasn't come yet: id, text, fingerprint
         over = False
         for batch in batches:
-            for i in range(0, len(batch), 300):
-                part = batch.slice(i, 300)
+            for i, j in W.slices(batch.column(2), GROUP_BYTES):
+                part = batch.slice(i, j - i)
                 lent, ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
                 if over:
                     break

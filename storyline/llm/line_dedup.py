@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import written
+from storyline.llm.common import unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -64,31 +64,28 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with its text less the dropped lines, and n_lines and n_dropped (as ``_n_lines``, ``_n_dropped``)."""
-    sets = dropped_lines(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("doc", "_doc").withColumnRenamed("gone", "_gone")
-    met = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(sets, "_doc", "left")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with its text less the dropped lines; ``counts`` names two more columns, lines before and lines dropped.
+
+    Columns of ``docs`` may have any names; names of ``counts`` must be new ones.
+    """
+    if counts and {x.lower() for x in counts} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"docs has columns named like {counts}")
+    doc, gone_col, left_col = (unused(docs.columns, x) for x in ("doc", "gone", "left"))
+    sets = dropped_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("gone").alias(gone_col))
+    met = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(sets, doc, "left")
     text = F.col(text_col)
-    keys, gone = line_keys(text), F.col("_gone")
+    keys, gone, left = line_keys(text), F.col(gone_col), F.col(left_col)
     stays = F.transform(keys, lambda k: (F.char_length(k) < min_chars) | ~F.array_contains(gone, key_hash(k)))
-    left = F.filter(F.arrays_zip(lines(text).alias("line"), stays.alias("stays")), lambda x: x["stays"])
-    kept = met.withColumn("_left", F.when(gone.isNotNull(), F.transform(left, lambda x: x["line"])))
+    pairs = F.filter(F.arrays_zip(lines(text).alias("line"), stays.alias("stays")), lambda x: x["stays"])
+    kept = met.withColumn(left_col, F.when(gone.isNotNull(), F.transform(pairs, lambda x: x["line"])))
     n_lines = F.size(lines(text))
-    return kept.withColumns(
-        {
-            "_n_lines": n_lines.cast("long"),
-            "_n_dropped": F.when(F.col("_left").isNull(), F.lit(0)).otherwise(n_lines - F.size("_left")).cast("long"),
-            text_col: F.when(F.col("_left").isNull(), text).otherwise(F.array_join("_left", "\n")),
-        }
-    ).drop("_doc", "_gone", "_left")
+    more = [n_lines.cast("long").alias(counts[0]), F.when(left.isNull(), F.lit(0)).otherwise(n_lines - F.size(left)).cast("long").alias(counts[1])] if counts else []
+    new_text = F.when(left.isNull(), text).otherwise(F.array_join(left, "\n")).alias(text_col)
+    return kept.select(*(new_text if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every document."""
-    done = line_dedup(docs.select("doc_id", "text"))
-    return done.select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"),
-    )
+    done = line_dedup(docs.select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

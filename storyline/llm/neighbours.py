@@ -41,7 +41,7 @@ TOP = 5
 #: Vectors on which the codebooks are fitted, at most, and rounds of the fitting.
 FIT, ROUNDS = 20_000, 12
 #: Share of all entries, and number of entries, that a query meets at least; centroids of a half at most.
-SHARE, FEWEST, MOST_CENTROIDS = 0.45, 2000, 128
+SHARE, FEWEST, MOST_CENTROIDS = 0.3, 2000, 256
 #: Entries of a chunk and queries of a block, about: what one rerank call holds.
 CHUNK, QUERIES = 4096, 2048
 
@@ -83,20 +83,23 @@ def even(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, entries: int) -> list[int]:
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray | list[int], entries: int) -> list[int]:
     """Cells (a * k + b) in order of first[a] + second[b] until they hold ``entries``."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out, met = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
+    one, two = first[a].tolist(), second[b].tolist()
+    a, b, counts_of = a.tolist(), b.tolist(), counts.tolist() if isinstance(counts, np.ndarray) else counts
+    heap, out, met = [(one[0] + two[0], 0, 0)], [], 0
     while heap and met < entries:
         _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
-        if counts[cell]:
+        cell = a[i] * len(b) + b[j]
+        if counts_of[cell]:
             out.append(cell)
-            met += int(counts[cell])
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
+            met += counts_of[cell]
+        # each pair has one other from which it is reached: its left neighbour, or the one above in the first column
+        if j + 1 < len(b):
+            heapq.heappush(heap, (one[i] + two[j + 1], i, j + 1))
+        if not j and i + 1 < len(a):
+            heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
     return out
 
 
@@ -128,7 +131,7 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
 
     sample = entries_table.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(FIT).select("vec").toArrow()
     x = unit(_matrix(sample.column("vec")))
-    k = int(min(MOST_CENTROIDS, max(2, np.sqrt(total / 2))))
+    k = int(min(MOST_CENTROIDS, max(2, np.sqrt(2 * total))))
     books = fitted(x[:, :half], k), fitted(x[:, half:], k) if d > 1 else np.zeros((1, 0))
     width = len(books[1])
 
@@ -158,13 +161,14 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
     enough = max(FEWEST, int(share * total)) + top
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = counts.tolist()
         for batch in batches:
             if not len(batch):
                 continue
             u = unit(_matrix(batch.column(1)))
             one, two = distances(u[:, :half], books[0]), distances(u[:, half:], books[1])
             for i in range(len(batch)):
-                cells = np.array(walk(one[i], two[i], counts, enough), dtype=np.int64)
+                cells = np.array(walk(one[i], two[i], numbers, enough), dtype=np.int64)
                 many = own[cells]
                 at = np.repeat(first[cells] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 cells = np.repeat(cells, many)
@@ -176,7 +180,9 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), batch.column(0).take(same), batch.column(1).take(same), lists], names=["chunk", "query_id", "vec", "cells"])
 
     block = F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) / F.lit(max(1, (1 << 30) * QUERIES // max(1, n_queries)))).cast("int")
-    asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates()
+    asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec")
+    # a number of its own, for few bytes of queries are much work; rows of one query meet there
+    asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_queries // QUERIES), "query_id").dropDuplicates()
     visits = asked.mapInArrow(visit, "chunk int, query_id long, vec array<double>, cells array<int>").withColumn("block", block)
     visits = written(visits, "visits")
 

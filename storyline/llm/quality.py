@@ -21,7 +21,7 @@ Results for special cases: null texts and those with fewer than ``N`` bytes have
 weight 0; a null id draws the number of id 0; rows that repeat an id and text are
 kept or not together (so more than k rows stay at such a tie); without good labels
 everything is kept; an empty table gives no rows; a labelled id counts once, as
-bad if any of its labels says so; labels of unknown ids are ignored; other columns
+bad if any of its labels says so, and calibrates by the least weight of its rows; labels of unknown ids are ignored; other columns
 pass through :func:`resampled` untouched.
 """
 
@@ -36,16 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import words as W
-from storyline.llm.common import removed, written
+from storyline.llm.common import in_rounds, removed, written
 
 N, BUCKET_BITS = 4, 18
 #: Labelled documents that train the target model at most, and as many that calibrate.
 FIT = 20_000
 LOST = 0.005
-LENGTH = 1000
+LENGTH = 200
 SEED = 11
-#: Texts that are scored at a time, and buckets that travel together.
-STEP, PART = 500, 1 << 13
+#: Bytes of texts that are scored at a time, and buckets that travel together.
+STEP, PART = 2 << 20, 1 << 13
 ONE = 1 << 20  # fixed point
 
 
@@ -77,8 +77,8 @@ def model_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, n
         for batch in batches:
             ids = batch.column(0)
             chosen = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), target_ids) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for i in range(0, len(batch), STEP):
-                buckets, begin, end = ngram_buckets(batch.column(1).slice(i, STEP))
+            for i, j in W.slices(batch.column(1), STEP):
+                buckets, begin, end = ngram_buckets(batch.column(1).slice(i, j - i))
                 if not len(buckets):
                     continue
                 # +1 where a text begins, -1 where it ends: n-grams over a border belong to none
@@ -86,20 +86,19 @@ def model_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, n
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, end, -1)
                 raw += np.bincount(buckets[np.cumsum(edge)[:-1] > 0], minlength=1 << BUCKET_BITS)
-                mine = np.flatnonzero(chosen[i : i + STEP])
+                mine = np.flatnonzero(chosen[i:j])
                 if len(mine):
-                    target += np.bincount(np.concatenate([buckets[begin[j] : end[j]] for j in mine.tolist()]), minlength=1 << BUCKET_BITS)
+                    target += np.bincount(np.concatenate([buckets[begin[m] : end[m]] for m in mine.tolist()]), minlength=1 << BUCKET_BITS)
         parts = range(0, 1 << BUCKET_BITS, PART)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(parts), pa.int32()), *(pa.array([x[p : p + PART].tobytes() for p in parts], pa.binary()) for x in (raw, target))], names=["at", "raw", "target"]
         )
 
-    def add(key, table):
-        sums = [np.sum([np.frombuffer(b, np.int64) for b in table.column(c).to_pylist()], axis=0).tobytes() for c in ("raw", "target")]
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([sums[0]], pa.binary()), "target": pa.array([sums[1]], pa.binary())})
+    def add(table: pa.Table) -> list[bytes]:
+        return [np.sum([np.frombuffer(b, np.int64) for b in table.column(c).to_pylist()], axis=0).tobytes() for c in ("raw", "target")]
 
     schema = "at int, raw binary, target binary"
-    rows = docs.mapInArrow(count, schema).groupBy("at").applyInArrow(add, schema).collect()  # one row a part, whatever the corpus
+    rows = in_rounds(docs.mapInArrow(count, schema), schema, add).collect()  # one row a part, whatever the corpus
     raw, target = np.zeros(1 << BUCKET_BITS, dtype=np.int64), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for row in rows:
         raw[row["at"] : row["at"] + PART] = np.frombuffer(row["raw"], np.int64)
@@ -117,8 +116,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def log_weights(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
     out = np.zeros(len(texts))
-    for i in range(0, len(texts), STEP):
-        buckets, begin, end = ngram_buckets(texts.slice(i, STEP))
+    for i, j in W.slices(texts, STEP):
+        buckets, begin, end = ngram_buckets(texts.slice(i, j - i))
         total = np.zeros(len(buckets) + 1, dtype=np.int64)
         np.cumsum(ratios[buckets], out=total[1:])
         out[i : i + len(begin)] = (total[end] - total[begin]) / np.maximum(end - begin, 1) * (LENGTH / ONE)
@@ -171,10 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             weights, sums = model.sums(batch.column(0), batch.column(1))
             check = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), rest) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(weights), pa.array(sums), pa.array(check)], names=["weight", "sum", "calibrates"])
+            known = pa.array(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), mask=~check)
+            yield pa.RecordBatch.from_arrays([pa.array(weights), pa.array(sums), known], names=["weight", "sum", "calibrates"])
 
-    scored = written(rows.mapInArrow(run, "weight double, sum double, calibrates boolean"), "weights")
-    held = np.sort([r["weight"] for r in scored.where("calibrates").select("weight").limit(4 * FIT).collect()])
+    scored = written(rows.mapInArrow(run, "weight double, sum double, calibrates long"), "weights")
+    # an id that rows repeat calibrates once, by its least weight: so many numbers as ids were picked, at most
+    held = np.sort([r["weight"] for r in scored.where("calibrates is not null").groupBy("calibrates").agg(F.min("weight").alias("weight")).select("weight").collect()])
     if len(held):
         k = scored.where(F.col("weight") >= float(held[int(LOST * len(held))])).count()
         model = Selection(ratios, kth_largest(scored, "sum", k))

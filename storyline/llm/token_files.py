@@ -4,14 +4,14 @@ Documents are dealt into ranges of ascending ids (bounds from the id column
 alone), each range is sorted and its worker writes three flat files into the
 shared folder:
 
-    NNNNN.bin  ids, little-endian unsigned, 2 bytes where the vocabulary allows it, else 4
-    NNNNN.off  64-bit offsets into it: one for each document, and the end
-    NNNNN.doc  64-bit document ids
+    NAME.bin  ids, little-endian unsigned, 2 bytes where the vocabulary allows it, else 4
+    NAME.off  64-bit offsets into it: one for each document, and the end
+    NAME.doc  64-bit document ids
 
-A file is written under an attempt's own name and renamed when whole, so a lost
-or doubled attempt leaves nothing half-written under the final name.  The
-manifest (one row for each range) gives the bases of the ranges by prefix sums.
-Reading maps the files into memory.
+A name is made of the range and the attempt that wrote it.  The manifest (one row
+for each range) names the files of the attempts that ended well, so lost or doubled
+attempts do no harm, and gives the bases of the ranges by prefix sums.  Reading
+maps the files into memory; from a file system that can't, it reads stretches of them.
 
 Results for special cases: null and empty texts hold the end id alone; null
 document ids come first; rows that repeat an id stand side by side, in the order
@@ -20,7 +20,6 @@ of their texts; an empty table has no files; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.llm.bpe import encoder
-from storyline.llm.common import new_path, partitions, range_bounds, range_of
+from storyline.llm.common import new_path, partitions, range_bounds, range_of, scratch
 
-MANIFEST = "part int, n_docs long, n_tokens long, width int"
+MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -45,8 +44,8 @@ class _Files:
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.part, self.attempt = part, TaskContext.get().taskAttemptId()
-        self.names = {k: f"{self.folder}/{part:06d}.{k}" for k in ("bin", "off", "doc")}
-        self.out = {k: self.fs.open_output_stream(f"{v}.{self.attempt}") for k, v in self.names.items()}
+        self.name = f"{part:06d}-{self.attempt}"
+        self.out = {k: self.fs.open_output_stream(f"{self.folder}/{self.name}.{k}") for k in ("bin", "off", "doc")}
         self.docs = self.tokens = 0
 
     def add(self, ids: np.ndarray, doc_id: int) -> None:
@@ -58,14 +57,13 @@ class _Files:
 
     def close(self) -> tuple[int, int, int]:
         self.out["off"].write(np.int64(self.tokens).tobytes())
-        for k, v in self.names.items():
-            self.out[k].close()
-            self.fs.move(f"{v}.{self.attempt}", v)
-        return self.part, self.docs, self.tokens
+        for stream in self.out.values():
+            stream.close()
+        return self.part, self.name, self.docs, self.tokens
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files and returns the manifest: part, n_docs, n_tokens, width, base_doc, base_token."""
+    """Writes the files and returns the manifest: part, name, n_docs, n_tokens, width, base_doc, base_token."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = partitions(rows)
@@ -83,8 +81,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
         yield pa.RecordBatch.from_pydict(
             {
                 "part": pa.array([x[0] for x in done], pa.int32()),
-                "n_docs": pa.array([x[1] for x in done], pa.int64()),
-                "n_tokens": pa.array([x[2] for x in done], pa.int64()),
+                "name": pa.array([x[1] for x in done], pa.string()),
+                "n_docs": pa.array([x[2] for x in done], pa.int64()),
+                "n_tokens": pa.array([x[3] for x in done], pa.int64()),
                 "width": pa.array([bpe.dtype.itemsize for _ in done], pa.int32()),
             }
         )
@@ -98,12 +97,25 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     return spark.createDataFrame(manifest, f"{MANIFEST}, base_doc long, base_token long")
 
 
-def _mapped(fs: pafs.FileSystem, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: mapped into memory where the file system is local."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(name, dtype=dtype, mode="r") if os.path.getsize(name) else np.array([], dtype=dtype)
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+class _Stretches:
+    """A file as an array of which stretches are taken: mapped into memory where the file system is local."""
+
+    def __init__(self, fs: pafs.FileSystem, name: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        self.size = fs.get_file_info(name).size // self.dtype.itemsize
+        self.mapped = self.file = None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            self.file = fs.open_input_file(name)
+        elif self.size:
+            self.mapped = np.memmap(name, dtype=dtype, mode="r")
+
+    def take(self, begin: int, end: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[begin:end]
+        if self.file is None or begin >= end:
+            return np.zeros(0, dtype=self.dtype)
+        self.file.seek(begin * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((end - begin) * self.dtype.itemsize), dtype=self.dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, derive=None, schema: str = "ids array<long>") -> DataFrame:
@@ -120,16 +132,15 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, deri
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"{root}/{row['part']:06d}"
-                ids = _mapped(fs, f"{name}.bin", f"<u{row['width']}")
-                off, doc = _mapped(fs, f"{name}.off", "<i8"), _mapped(fs, f"{name}.doc", "<i8")
-                for first in range(0, len(doc), 1000):
-                    last = min(first + 1000, len(doc))
-                    rows = [derive(ids[off[i] : off[i + 1]]) for i in range(first, last)]
+                ids, off, doc = (_Stretches(fs, f"{root}/{row['name']}.{k}", t) for k, t in (("bin", f"<u{row['width']}"), ("off", "<i8"), ("doc", "<i8")))
+                for first in range(0, doc.size, 1000):
+                    last = min(first + 1000, doc.size)
+                    at = off.take(first, last + 1).astype(np.int64)
+                    rows = [derive(ids.take(i, j)) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     columns = {
-                        "doc_id": [None if x == NULL_ID else x for x in doc[first:last].tolist()],
-                        "start": off[first:last] + row["base_token"],
-                        "n_tokens": np.diff(off[first : last + 1]),
+                        "doc_id": [None if x == NULL_ID else x for x in doc.take(first, last).tolist()],
+                        "start": at[:-1] + row["base_token"],
+                        "n_tokens": np.diff(at),
                     } | {k: [x[j] for x in rows] for j, k in enumerate(names)}
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -147,4 +158,5 @@ def token_file_digest(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
     manifest = write_token_files(docs, path, folder, end_id)
+    scratch(spark, folder)
     return read_token_files(spark, folder, manifest, lambda ids: (crc32_of_ids(ids),), "ids_crc32 long")

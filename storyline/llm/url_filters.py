@@ -7,9 +7,10 @@ interval of the sort order.  A URL has one key for each suffix of its host.
 
 1. Distinct (host, path) pairs, pre-aggregated before the shuffle: a hot host or
    URL counts once.
-2. Rules and keys are dealt into ranges of equal depth by the keys' first bytes.
-   Where one value fills more than one range its rows are dealt among them, and
-   a rule goes to every range that its interval meets.
+2. Rules and keys are dealt into ranges of equal depth; the bounds are keys, taken
+   from a sample of ``SAMPLE`` of them (it affects the ranges' depth alone).  Where one
+   key fills more than one range its rows are dealt among them, and a rule goes to
+   every range that its interval meets.
 3. Each range is sorted and swept once: the last rule opened before a key stands
    on top of the stack of nested rules; the stack (a rule with those whose
    intervals hold it) travels with the rule, and rules that have closed are taken
@@ -26,14 +27,16 @@ an empty table of rules gives every row the default; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict of a page that no rule speaks about.
 DEFAULT = "allow"
-#: Bytes of a key that place it in a range.
-HEAD = 7
+#: Keys from which the bounds of ranges are taken, at least, and characters of a bound.
+SAMPLE, BOUND_CHARS = 10_000, 200
 
 
 def host_of(url: Column) -> Column:
@@ -46,18 +49,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _head(key: Column) -> Column:
-    """The first bytes of a key as a number in the order of the keys."""
-    padded = F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, HEAD)), 2 * HEAD, "0")
-    return F.conv(padded, 16, 10).cast("long")
-
-
-def _tail(key: Column) -> Column:
-    """The largest number that :func:`_head` gives for a text which starts with ``key``."""
-    padded = F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, HEAD)), 2 * HEAD, "F")
-    return F.conv(padded, 16, 10).cast("long")
-
-
 def _key(labels: Column, path: Column) -> Column:
     return F.concat(F.array_join(labels, "."), F.lit(".\0"), path)
 
@@ -85,22 +76,26 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: s
     depths = F.sequence(F.lit(1), F.size(labels))
     keys = pairs.select("host", "path", F.explode(F.transform(depths, lambda n: _key(F.slice(labels, 1, n), F.col("path")))).alias("key"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shares = [i / n for i in range(1, n)] or [0.5]
-    row = keys.select(_head(F.col("key")).alias("v")).agg(F.percentile_approx("v", F.array(*map(F.lit, shares)), 10_000)).first()
-    bounds = F.array(*(F.lit(int(x)) for x in row[0] or [0]))
-
-    def below(v: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: b < v))
-
-    def up_to(v: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: b <= v))
-
-    head = _head(F.col("key"))
-    spread = F.pmod(F.xxhash64("host", "path"), up_to(head) - below(head) + 1).cast("int")
+    sample = keys.select("key").orderBy(F.xxhash64("host", "path", "key"), "key").limit(max(SAMPLE, 20 * n)).collect()
+    ordered = sorted((r["key"][:BOUND_CHARS] for r in sample), key=str.encode)
+    bounds = [ordered[len(ordered) * i // n] for i in range(1, n)] if ordered else []
+    # two steps of about the root of their number: which stretch of bounds, and where in it
+    step = max(1, int(len(bounds) ** 0.5))
+    all_bounds = F.array(*map(F.lit, bounds)).cast("array<string>")
+    ends = F.array(*map(F.lit, bounds[step - 1 :: step])).cast("array<string>")
+
+    def bounds_where(holds: Callable[[Column], Column]) -> Column:
+        """Number of bounds for which a condition holds that holds for the first ones only."""
+        whole = F.size(F.filter(ends, holds)) * step
+        return whole + F.size(F.filter(F.slice(all_bounds, whole + 1, F.lit(step)), holds))
+
+    key = F.col("key")
+    below, up_to, up_to_end = bounds_where(lambda b: b < key), bounds_where(lambda b: b <= key), bounds_where(lambda b: (b <= key) | b.startswith(key))
+    spread = F.pmod(F.xxhash64("host", "path"), up_to - below + 1).cast("int")
     opened = with_stacks(rules).select(
-        F.explode(F.sequence(below(head), up_to(_tail(F.col("key"))))).alias("range"), "key", "stack", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")
+        F.explode(F.sequence(below, up_to_end)).alias("range"), "key", "stack", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")
     )
-    asked = keys.select((below(head) + spread).alias("range"), "key", F.lit(None).cast(opened.schema["stack"].dataType).alias("stack"), "host", "path")
+    asked = keys.select((below + spread).alias("range"), "key", F.lit(None).cast(opened.schema["stack"].dataType).alias("stack"), "host", "path")
     sweep = Window.partitionBy("range").orderBy("key", F.col("host").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stack = F.last("stack", ignorenulls=True).over(sweep)
     swept = opened.unionByName(asked).withColumn("stack", stack).where("host is not null and stack is not null")

@@ -127,6 +127,8 @@ def test_one_row_of_each_group_with_repeated_ids(spark):
     near = " ".join([*BASE[:-1], "tomorrow"])
     rows = [(1, a), (5, near), (5, b), (7, c), (7, c), (7, a), (8, c), (9, ""), (9, ""), (None, a), (None, a)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clashing = docs.withColumns({"row": F.lit(1), "component_id": F.lit(2), "with.dot": F.lit(3)})
+    assert corpus_pipeline.one_of_each_group(spark, clashing, "").columns == clashing.columns
     found = sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=repr)
     assert found == sorted([(1, a), (5, b), (7, c), (9, ""), (9, ""), (None, a), (None, a)], key=repr)
 
@@ -287,6 +289,91 @@ def test_levels_are_entropies_and_likeness_orders():
     assert fingerprints.likeness(a, b) > fingerprints.likeness(a, c)
 
 
+def brute_fingerprint(text, counts, size=2048):
+    """Features and chain of filters by their definition, window by window."""
+    import math
+    from collections import Counter
+
+    raw, w, run = (text or "").encode(), fingerprints.WINDOW, fingerprints.RUN
+    level = [
+        int(1000 * (1 - sum(int(round((c * math.log2(c) - (c - 1) * math.log2(max(c - 1, 1))) * (1 << 24))) for n in Counter(raw[i : i + w]).values() for c in range(2, n + 1)) / fingerprints.MOST))
+        for i in range(len(raw) - w + 1)
+    ]
+    if counts is None:
+        return Counter(level)
+    order = {v: r for r, v in enumerate(sorted(range(fingerprints.LEVELS + 1), key=lambda v: (counts[v], v)))}
+    counts_at = [100 <= v <= 990 for v in level]
+    rank = [order[v] if ok else 10_000 for v, ok in zip(level, counts_at, strict=True)]
+    if len(raw) < w + run:
+        places = range(len(level))
+    else:
+        votes = Counter(min(range(i, i + run), key=lambda j: (rank[j], j)) for i in range(len(rank) - run + 1))
+        places = sorted(i for i, n in votes.items() if n >= 12 and counts_at[i])
+    if 0 < len(raw) < w:
+        hashes = [int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")]
+    else:
+        hashes = []
+        for i in places:
+            h = 0
+            for k in range(4):
+                lane = int.from_bytes(raw[i + 8 * k : i + 8 * k + 8], "little")
+                h = int(W.mixed(np.array([(h + lane * ((2 * k + 0x9E3779B97F4A7C15) | 1)) % (1 << 64)], dtype=np.uint64))[0])
+            hashes.append(h)
+    chain = [{h >> 11 * k & size - 1 for h in hashes[f : f + 160] for k in range(5)} for f in range(0, len(hashes), 160)]
+    return chain
+
+
+def brute_likeness(x, y):
+    if not x or not y:
+        return float(x == y)
+    if x == y:
+        return 1.0
+    short, long_ = (x, y) if len(x) <= len(y) else (y, x)
+
+    def match(a, b):
+        low, most = min(len(a), len(b)), max(len(a), len(b))
+        chance = len(a) * len(b) / 2048
+        floor = chance + 0.1 * max(low - chance, 0) * low / most
+        return min(1.0, max(0.0, (len(a & b) - floor) / max(most - floor, 1e-9)))
+
+    return sum(max(match(a, b) for b in long_) for a in short) / len(short) * 2 * len(short) / (len(short) + len(long_))
+
+
+def test_fingerprints_are_those_of_the_definition(spark, monkeypatch):
+    import base64
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    prose = [" ".join(rng.choice(BASE, n)) for n in (3, 8, 12, 14, 16, 40, 200, 900)]
+    prose += [None, "", "abc", "abc", prose[6], prose[7][:3000] + prose[6], "x" * 300, "été " * 60, prose[7] + prose[7]]
+    ids = [3, 9, 4, 1, 7, 7, 12, 0, 30, 31, 32, 33, 34, 35, 36, 37, None]
+    df = spark.createDataFrame(list(zip(ids, prose, strict=True)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(fingerprints, "VOTE_BLOCK", 700)
+    monkeypatch.setattr(fingerprints, "GROUP_BYTES", 2000)
+    counts = sum((brute_fingerprint(t, None) for t in prose), Counter())
+    chains = {t: brute_fingerprint(t, counts) for t in prose}
+    found = fingerprints.compared(df).collect()
+    order = sorted(zip(ids, prose, strict=True), key=lambda r: (-(r[0] if r[0] is not None else -99), r[1] or ""))
+    expected = []
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        changed = fingerprints.edited(a, b)
+        own, theirs, after = chains.get(a, []), brute_fingerprint(changed, counts), chains.get(b, [])
+        expected.append((i, len(a), hashlib.sha256(changed.encode()).hexdigest(), own, theirs, brute_likeness(own, theirs), brute_likeness(own, after)))
+
+    def parsed(x):
+        n, body = x.split(":")
+        bits = np.unpackbits(np.frombuffer(base64.b64decode(body), np.uint8)).reshape(int(n), 2048)
+        return [set(np.flatnonzero(r).tolist()) for r in bits]
+
+    key = lambda r: (repr(r[0]), r[2])
+    assert len(found) == len(expected)
+    for r, e in zip(sorted(found, key=key), sorted(expected, key=key), strict=True):
+        assert tuple(r)[:3] == e[:3]
+        assert parsed(r["fingerprint"]) == e[3] and parsed(r["edited_fingerprint"]) == e[4]
+        assert abs(r["near_edited"] - e[5]) < 1e-9 and abs(r["near_next"] - e[6]) < 1e-9
+
+
 def test_fingerprints_of_long_texts_ignore_neighbours():
     import pyarrow as pa
 
@@ -342,6 +429,20 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id in (0, 1)"), lambda i: i % 50 == 0).count() == 1
 
 
+def test_recall_where_not_all_entries_are_met(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(9000, 32))
+    assert len(v) > 4 * neighbours.FEWEST
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in neighbours.search(df, lambda i: i % 50 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    truth = exact_nearest(list(range(9000)), v, 5)
+    assert set(found) == set(truth) and all(len(x) == 5 for x in found.values())
+    recall = np.mean([len(found[q] & set(truth[q])) / 5 for q in truth])
+    assert 0.9 <= recall < 1  # an index, not a scan
+
+
 def test_walk_meets_cells_in_order():
     one, two = np.array([0.5, 0.1, 0.9]), np.array([0.3, 0.2])
     counts = np.array([1, 1, 0, 1, 1, 1])
@@ -368,7 +469,22 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup_digest(empty).count() == 0
     nulls = spark.createDataFrame([(None, "one long line here"), (None, "one long line here"), (3, "one long line here"), (3, "one long line here")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.line_dedup_digest(nulls).collect()) == [(0, 1), (0, 1), (3, 0), (3, 0)]
-    assert line_dedup.line_dedup(docs).columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    assert line_dedup.line_dedup(docs).columns == docs.columns
+    assert line_dedup.line_dedup(docs, counts=("n_lines", "n_dropped")).columns == [*docs.columns, "n_lines", "n_dropped"]
+
+
+def test_line_dedup_leaves_columns_of_any_name_alone(spark):
+    names = ["_doc", "_gone", "_left", "_n_lines", "_n_dropped", "doc", "gone", "left", "Left_", "line", "a", "b", "with.dot"]
+    long = "a line that is long enough"
+    rows = [(i, f"{long}\nown {i}", "en", "s", 9, *(f"{n}{i}" for n in names)) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    expected = sorted((r[0], r[1] if not r[0] else f"own {r[0]}", *r[2:]) for r in rows)
+    assert sorted(map(tuple, line_dedup.line_dedup(df).collect())) == expected
+    found = corpus_pipeline.dedup_lines(spark, df, "")
+    assert found.columns == df.columns
+    assert sorted(map(tuple, found.collect())) == [(*r[:4], len(r[1]), *r[5:]) for r in expected]
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(df, counts=("LINE", "n"))
 
 
 def fits(url, rules):
@@ -378,6 +494,21 @@ def fits(url, rules):
     return host, path, best[-1][1] if best else None, best[-1][2] if best else "allow"
 
 
+def test_url_filters_of_a_hot_host_and_nested_rules(spark):
+    rng = np.random.default_rng(2)
+    paths = ["", "/", *("/" + "/".join(rng.choice(["a", "b", "ab", "é", "b" * 300], rng.integers(1, 5))) for _ in range(300))]
+    hosts = ["hot.example.org"] * 6 + ["a.com", "b.com", "example.org", "x.hot.example.org"]
+    urls = [f"http://{hosts[rng.integers(0, len(hosts))]}{paths[rng.integers(0, len(paths))]}" for _ in range(1500)]
+    rules = [(hosts[rng.integers(0, len(hosts))], p[: rng.integers(0, len(p) + 1)], str(rng.choice(["allow", "block"]))) for p in rng.choice(paths, 60)]
+    best = {}
+    for h, p, v in rules:  # of a rule's verdicts the smaller counts
+        best[h, p] = min(v, best.get((h, p), v))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: tuple(r)[1:] for r in url_filters.judged(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert found == {i: fits(u, [(h, p, v) for (h, p), v in best.items()]) for i, u in enumerate(urls)}
+    assert url_filters.judged(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
 def test_url_filters(spark):
     rules = [*queries.RULES, ("a.example.org", "", "block"), ("net", "/x", "block"), ("net", "/x/y", "allow"), ("", "/", "block"), ("net", "/x", "block")]
     urls = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "https://Example.org/es/1", "https://m.example.org/en/12?q#f", "https://x.a.example.org?p", "ftp://notorg/", "http://b.net/x/yz", "http://net/x/", "http://x.com/de/1", "a://b://c/d"] * 2
@@ -407,6 +538,49 @@ def test_quality(spark, empty):
     assert quality.selected(docs, quality.fit(docs, labels.limit(0))).count() == docs.count()
 
 
+def test_quality_is_that_of_the_definition(spark):
+    """Counts, ratios, weights, calibration and the kept set, text by text."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    texts_ = [" ".join(rng.choice(BASE, rng.integers(1, 40))) for _ in range(120)] + ["".join(rng.choice(list("#$%&*xqz"), rng.integers(1, 200))) for _ in range(40)] + [None, "", "abc", "é" * 50]
+    rows = [(i, t) for i, t in enumerate(texts_)] + [(5, texts_[9]), (5, texts_[5]), (None, texts_[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 120), int(i % 13 == 0)) for i in range(160)] + [(7, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    good = [i for i in range(120) if i % 13 and i != 7]
+    order = [r["i"] for r in spark.createDataFrame([(i,) for i in good], "i long").orderBy(F.xxhash64("i"), "i").collect()]
+    train, rest = set(order[::2]), set(order[1::2])
+
+    def grams(t):
+        raw = (t or "").encode()
+        out = []
+        for i in range(len(raw) - 3):
+            h = 0
+            for b in raw[i : i + 4]:
+                h = h * 257 + b
+            out.append(int(W.mixed(np.array([h], dtype=np.uint64))[0]) >> 46)
+        return out
+
+    raw = Counter(g for _, t in rows for g in grams(t))
+    target = Counter(g for i, t in rows if i in train for g in grams(t))
+    size = 1 << 18
+    p, q = sum(target.values()) + size / 2, sum(raw.values()) + size / 2
+    ratio = {g: round((np.log((target[g] + 0.5) / p) - np.log((raw[g] + 0.5) / q)) * (1 << 20)) for g in raw}
+    weight = [sum(ratio[g] for g in grams(t)) / max(len(grams(t)), 1) * (quality.LENGTH / (1 << 20)) for _, t in rows]
+    sums = [w + float(quality.gumbel(np.array([i or 0]))[0]) for w, (i, _) in zip(weight, rows, strict=True)]
+    by_id = {}
+    for w, (i, _) in zip(weight, rows, strict=True):
+        if i in rest:
+            by_id[i] = min(w, by_id.get(i, w))
+    least = sorted(by_id.values())[int(quality.LOST * len(by_id))]
+    k = sum(w >= least for w in weight)
+    bar = sorted(sums, reverse=True)[k - 1]
+    model = quality.fit(docs, labels)
+    assert abs(model.least - bar) < 1e-6
+    found = sorted((repr(r["doc_id"]), round(r["log_weight"], 6), round(r["gumbel_sum"], 6)) for r in quality.selected(docs, model).collect())
+    assert found == sorted((repr(i), round(w, 6), round(x, 6)) for (i, _), w, x in zip(rows, weight, sums, strict=True) if x >= bar)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=500), np.full(300, 0.25), [1e9, -1e9]])
@@ -505,6 +679,18 @@ def test_pipeline(spark, tmp_path):
     check_pieces(packed, seen[2], Tokenizer.from_file(WORD))
 
 
+def test_pipeline_stages_of_empty_tables_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    assert corpus_pipeline.classify(spark, docs, str(tmp_path)).count() == 4  # no labels: everything stays
+    assert corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).count() == 4
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()) == [0, 1, 2]
+
+
 def test_registered_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
