@@ -79,7 +79,7 @@ def simple_tokens(text: Column) -> Column:
 
 
 def _same_words() -> dict[str, str]:
-    return {word: stem for line in V.SAME_WORDS.split("\n") if ":" in line for stem, words in [line.split(":")] for word in words.split()}
+    return {word: stem for stem, words in V.SAME_WORDS.items() for word in words}
 
 
 def stem(word: Column, aliases: dict[str, str] | None = None) -> Column:
