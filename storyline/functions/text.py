@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,22 +122,29 @@ def cut_at_word(text: Column, limit: int = 6000) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", ""), F.lit("…")))
 
 
-def has_word(text: Column, word: str) -> Column:
-    """A word between characters that aren't ASCII letters or digits; words with other characters are found anywhere."""
+def has_word(text: Column, word: str, low: Column | None = None) -> Column:
+    """A word between characters that aren't ASCII letters or digits; words with other characters are found anywhere.
+
+    ``low`` is the text in lower case, for callers that look for many words.
+    """
+    low = F.lower(text) if low is None else low
     if re.search(r"[^a-zA-Z0-9\s\-._/]", word):
-        return F.contains(F.lower(text), F.lit(word.lower()))
-    return F.lower(text).rlike(f"(^|[^a-z0-9]){re.escape(word.lower()).replace('/', '/')}([^a-z0-9]|$)")
+        return F.contains(low, F.lit(word.lower()))
+    # most texts don't hold the word at all, which a plain search tells sooner than the pattern
+    return F.contains(low, F.lit(word.lower())) & low.rlike(f"(^|[^a-z0-9]){re.escape(word.lower())}([^a-z0-9]|$)")
 
 
-def has_any(text: Column, words: list[str]) -> Column:
+def has_any(text: Column, words: list[str], low: Column | None = None) -> Column:
     """Whether any of the words is in the text, by one pattern for those with ASCII borders."""
+    low = F.lower(text) if low is None else low
     plain = [w for w in words if not re.search(r"[^a-zA-Z0-9\s\-._/]", w)]
     found = F.lit(False)
     if plain:
-        found = F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(re.escape(w.lower()) for w in plain)})([^a-z0-9]|$)")
+        held = reduce(or_, (F.contains(low, F.lit(w.lower())) for w in plain))
+        found = held & low.rlike(f"(^|[^a-z0-9])({'|'.join(re.escape(w.lower()) for w in plain)})([^a-z0-9]|$)")
     for w in words:
         if w not in plain:
-            found = found | F.contains(F.lower(text), F.lit(w.lower()))
+            found = found | F.contains(low, F.lit(w.lower()))
     return found
 
 

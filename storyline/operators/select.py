@@ -41,6 +41,30 @@ def assigned(rows: DataFrame, sections: list[tuple[str, list[str]]], url: str =
     return found.join(least, url, "left").where("_i is null or _i = _least").withColumn("section", F.get(names, F.col("_i"))).drop("_i", "_least")
 
 
+def with_leftovers(rows: DataFrame, sections: list[tuple[str, list[str]]], url: str = "url", category: str = "category", primary: str = "primary_category") -> DataFrame:
+    """:func:`assigned`, and what no section holds goes to regulation (regulators and institutions) or to market.
+
+    A leftover whose URL stands in a section is left out.
+    """
+    found = assigned(rows, sections, url, category, primary)
+    taken = found.where("section is not null").select(url).distinct()
+    rest = found.where("section is null").join(taken, url, "left_anti")
+    target = F.when(F.col("source_type").isin("regulator", "institution"), "regulation").otherwise("market")
+    return found.where("section is not null").unionByName(rest.withColumn("section", target))
+
+
+def by_priority(rows: DataFrame, score: str = "priority_score", time: str = "published_at", arrival: str = "position", by: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Adds the rank by level, whole points (half to even), score and time, each falling, then arrival.  ``score`` is in tenths."""
+    level_rank = F.when(F.col(score) >= 800, 4).when(F.col(score) >= 600, 3).when(F.col(score) >= 450, 2).otherwise(1)
+    order = [F.desc(level_rank), F.desc(F.bround(F.col(score) / 10, 0)), F.desc(score), F.desc(F.coalesce(F.unix_micros(time), F.lit(0))), F.asc(arrival)]
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+
+
+def conferences_in_order(rows: DataFrame, title: str = "title", start: str = "start_date") -> list[Column]:
+    """Order of conferences: by start, undated last, then by title."""
+    return [F.asc_nulls_last(start), F.asc(title)]
+
+
 def presentation_order(rows: DataFrame, chosen: DataFrame, key: str, rank: str, issue: str = "issue_date") -> DataFrame:
     """Adds ``position`` within each issue: chosen rows first, then the rest, each by rank."""
     picked = rows.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(0)), key, "left")

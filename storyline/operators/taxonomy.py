@@ -80,12 +80,13 @@ class Taxonomy:
 
 
 def points(rule: Rule, text: Column, topics: Column, kinds: Column, source_type: Column, bucket: Column) -> Column:
-    low = F.lower(text)
+    # ``text`` is in lower case
+    low = text
     found = F.lit(False)
     if rule.topics:
         found = found | F.arrays_overlap(topics, F.array(*map(F.lit, rule.topics)))
     if rule.words:
-        found = found | has_any(low, list(rule.words))
+        found = found | has_any(low, list(rule.words), low)
     for s in rule.substrings:
         found = found | F.contains(low, F.lit(s))
     if rule.entity_kinds:
@@ -110,12 +111,12 @@ def classified(articles: DataFrame, taxonomy: Taxonomy | None = None, text: str
     t, e = F.coalesce(topics and F.col(topics), empty), F.coalesce(F.col(kinds), empty)
     scores = []
     for i, category in enumerate(taxonomy.categories):
-        own = sum((points(r, F.col(text), t, e, F.col(source_type), F.col(bucket)) for r in taxonomy.rules if r.category == category), F.lit(0))
+        own = sum((points(r, F.col("_low"), t, e, F.col(source_type), F.col(bucket)) for r in taxonomy.rules if r.category == category), F.lit(0))
         if category != taxonomy.default:
             own = own + F.when(F.col(bucket) == category, BUCKET_POINTS).otherwise(0)
         scores.append(F.struct((-own).cast("int").alias("minus"), F.lit(i).alias("i"), F.lit(category).alias("category")))
     ranked = F.filter(F.array_sort(F.array(*scores)), lambda s: s["minus"] < 0)
-    with_rank = articles.withColumn("_ranked", ranked)
+    with_rank = articles.withColumn("_low", F.lower(text)).withColumn("_ranked", ranked).drop("_low")
     primary = F.coalesce(F.get("_ranked", F.lit(0))["category"], F.lit(taxonomy.default))
     others = F.transform(F.filter(F.slice("_ranked", 2, len(taxonomy.categories)), lambda s: s["minus"] <= -SECONDARY), lambda s: s["category"])
     named = F.filter(

@@ -18,7 +18,7 @@ from storyline.functions import sources as S
 from storyline.functions import text as T
 from storyline.functions import urls as U
 from storyline.operators import dedupe, events, graph, scoring, select, similarity, taxonomy
-from storyline.plans import briefing, presentation
+from storyline.plans import briefing, news, presentation
 from storyline.sources import feeds
 from storyline.sources import pages as P
 from storyline.sources import store
@@ -258,7 +258,7 @@ def entity_groups(spark, sf_dir, whole=False):
 
 def _classified(spark, sf_dir, whole: bool = False) -> DataFrame:
     rows = articles(spark, sf_dir, whole).withColumn("topics", E.topics(F.col("excerpt"), LEXICON))
-    kinds = F.filter(F.array(*(F.when(E.has_entity(F.col("excerpt"), e), F.lit(e.kind)) for e in LEXICON.entities)), lambda x: x.isNotNull())
+    kinds = E.entity_kinds(F.col("excerpt"), LEXICON)
     return taxonomy.classified(rows.withColumns({"entity_kinds": kinds, "source_type": F.col("source"), "bucket": F.lit("oem")}), TAXONOMY, "excerpt")
 
 
@@ -619,8 +619,8 @@ def briefing_whole_plan(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **news.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **news.SQL}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +104,55 @@ def article_view(articles: DataFrame) -> DataFrame:
     )
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML shows it."""
+    out = F.coalesce(text, F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
+def mail_html(views: DataFrame, totals: DataFrame, issue_date: str, order: list[str] | None = None, warnings: list[str] | None = None) -> DataFrame:
+    """One row: the daily mail as HTML.  ``totals`` is one row (total, critical, high, conference); sections and articles as in :func:`mail_text`.
+
+    An article without a link has no button; everything that comes from articles is escaped.
+    """
+    link = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit('<a href="'), escaped(F.col("url")), F.lit('">Read</a>'))).otherwise("")
+    card = F.concat(
+        F.lit('<div class="card"><b>['), escaped(F.col("level")), F.lit("]</b> <h3>"), escaped(F.col("title")), F.lit("</h3><p>Score "), F.col("score").cast("string"),
+        F.lit(" · "), escaped(F.col("signal")), F.lit("</p><p>"), escaped(F.col("publisher")), F.lit("</p>"), link, F.lit("</div>"),
+    )
+    by_section = views.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
+    part = F.concat(F.lit("<h2>"), escaped(F.col("category")), F.lit("</h2>"), F.col("cards"))
+    body = by_section.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(section_ordinal(F.col("category"), order).alias("o"), part.alias("t")))), lambda x: x["t"]), "").alias("body"))
+    cells = F.concat(*(F.concat(F.lit(f"<td>{label} "), F.col(c).cast("string"), F.lit("</td>")) for c, label in (("total", "Total"), ("critical", "Critical"), ("high", "High"), ("conference", "Conferences"))))
+    notes = F.concat(*(F.concat(F.lit('<p class="note">'), escaped(F.lit(w)), F.lit("</p>")) for w in warnings)) if warnings else F.lit("")
+    head = f'<!doctype html><html><head><meta charset="utf-8"><title>Brief {issue_date}</title></head><body><h1>{issue_date}</h1><table><tr>'
+    return body.join(totals).select(F.concat(F.lit(head), cells, F.lit("</tr></table>"), "body", notes, F.lit("</body></html>")).alias("html"))
+
+
+def summarised(articles: DataFrame, summarise: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "id", columns: list[str] | None = None) -> DataFrame:
+    """``articles`` with the columns that ``summarise`` makes of a batch of them: the place of a language model.
+
+    ``summarise`` gets ``key`` and ``columns`` and returns ``key`` with the columns of
+    ``schema`` (a DDL string); rows that it leaves out or that fail are without a
+    summary, so that the template's can take their place.
+    """
+    wanted = [key, *(columns or ["title", "excerpt"])]
+    kind = articles.schema[key].dataType.simpleString()
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                made = summarise(batch)
+                yield pd.DataFrame({n: made[n].to_numpy(dtype=object) for n in names})
+            except Exception:  # a connector's failure costs its batch the summaries, not the issue
+                pass
+
+    return articles.join(articles.select(*wanted).mapInPandas(run, f"{key} {kind}, {schema}"), key, "left")
+
+
 def mail_text(views: DataFrame, issue_date: str, order: list[str] | None = None) -> DataFrame:
     """One row: the text of the daily mail, sections in order, articles by position (at most a few per section)."""
     entry = F.concat_ws("\n", F.concat(F.lit("- ["), "level", F.lit("] "), "title"), F.concat(F.lit("  Score: "), F.col("score").cast("string"), F.lit(" / "), "signal"), F.concat(F.lit("  Source: "), "publisher"), F.concat(F.lit("  "), "url"))

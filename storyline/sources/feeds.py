@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from storyline.functions.text import slug, strip_html
 from storyline.functions.urls import canonical, host, is_intermediary, unwrapped
 
-FEED = "id string, name string, bucket string, url string, source_type string, authority_score int, region string, language string, enabled boolean, catalog_group string"
+FEED = "id string, name string, bucket string, url string, source_type string, authority_score int, region string, language string, enabled boolean, catalog_group string, discovery_method string"
 _ITEM = "title string, link string, description string, pubDate string, source string"
 _ENTRY = "title string, link array<struct<_href string, _rel string>>, id string, updated string, published string, summary string"
 RSS = f"channel struct<title string, item array<struct<{_ITEM.replace(' string', ': string')}>>>"
@@ -24,11 +24,59 @@ PUBLISHER_HOSTS = {"reuters.com": "Reuters", "bloomberg.com": "Bloomberg", "auto
 
 
 def catalogue(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A feed dimension; ids default to the slug of the name."""
-    feeds = spark.createDataFrame(rows, FEED)
+    """A feed dimension; ids default to the slug of the name, columns at the end may be left out."""
+    width = len(FEED.split(","))
+    feeds = spark.createDataFrame([(*row, *[None] * (width - len(row))) for row in rows], FEED)
     return feeds.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), slug(F.col("name"))))
 
 
+# Groups that are read daily as a whole, and other feeds that are; further names of feeds.
+DAILY_GROUPS, DAILY_IDS = ["media", "institution", "aggregator"], ["unece", "eclipse_sdv"]
+ALIASES = {
+    "unece": ["unece_wp29", "unece_wp_29", "wp29"],
+    "european_commission": ["european_commission_auto", "ec_auto"],
+    "electrive_en": ["electrive"],
+    "bmw": ["bmw_group"],
+    "volkswagen": ["volkswagen_group", "vw"],
+    "toyota": ["toyota_motor"],
+    "hyundai": ["hyundai_motor"],
+    "kia": ["kia_worldwide"],
+    "zf": ["zf_group"],
+    "magna": ["magna_international"],
+    "eclipse_score": ["eclipse_s_core", "score"],
+}
+# What a catalogue may say.
+SOURCE_TYPES = ["media", "official", "institution", "regulator", "research", "open_source", "aggregator", "press_release", "event", "news_agency", "industry_media", "specialist_media", "tech_media"]
+GROUPS, METHODS = ["primary", "media", "institution", "aggregator"], ["rss", "atom", "search", "manual_web"]
+
+
+def daily(feeds: DataFrame, groups: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Feeds of the routine collection."""
+    return feeds.where(F.col("catalog_group").isin(*(groups or DAILY_GROUPS)) | F.col("id").isin(*(ids or DAILY_IDS)))
+
+
+def extra(feeds: DataFrame, groups: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Feeds that the routine collection leaves out."""
+    return feeds.join(daily(feeds, groups, ids).select("id"), "id", "left_anti")
+
+
+def lookup(names: DataFrame, feeds: DataFrame, name: str = "name", aliases: dict[str, list[str]] | None = None, ordinal: str = "id") -> DataFrame:
+    """``names`` with the id of the feed that each means (``feed_id``, null if none): by id, name or another name, whatever the notation.
+
+    Where feeds share a key the first by ``ordinal`` counts.  The catalogue becomes a
+    table of keys, so names of any number are an equi-join away.
+    """
+    table = ALIASES if aliases is None else aliases
+    also = F.coalesce(F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in table.items() for x in kv))[F.col("id")], F.array().cast("array<string>")) if table else F.array().cast("array<string>")
+    keys = feeds.select("id", F.col(ordinal).alias("o"), F.explode(F.array_distinct(F.concat(F.array("id", slug(F.col("id")), slug(F.col("name"))), also))).alias("_key"))
+    first = keys.where("_key <> ''").groupBy("_key").agg(F.min(F.struct("o", "id")).alias("f"))
+    plain = first.select(F.col("_key").alias("_slug"), F.col("f").alias("_by_slug"))
+    exact = first.select(F.col("_key").alias("_raw"), F.col("f").alias("_by_raw"))
+    rows = names.withColumn("_slug", slug(F.col(name))).join(plain, "_slug", "left").join(exact, F.col(name) == F.col("_raw"), "left")
+    found = F.least("_by_slug", "_by_raw")["id"]
+    return rows.withColumn("feed_id", found).drop("_slug", "_raw", "_by_slug", "_by_raw")
+
+
 def enabled(feeds: DataFrame, group: str | None = None) -> DataFrame:
     feeds = feeds.where("enabled")
     return feeds.where(F.col("catalog_group") == group) if group else feeds
@@ -39,7 +87,11 @@ def problems(feeds: DataFrame) -> DataFrame:
     checks = {
         "no name": F.coalesce("name", F.lit("")) == "",
         "no url": ~F.coalesce("url", F.lit("")).rlike("^https?://"),
+        "no id": F.coalesce("id", F.lit("")) == "",
         "authority out of range": ~F.coalesce("authority_score", F.lit(-1)).between(0, 100),
+        "unknown source type": ~F.coalesce("source_type", F.lit("")).isin(*SOURCE_TYPES),
+        "unknown group": F.col("catalog_group").isNotNull() & ~F.col("catalog_group").isin(*GROUPS),
+        "unknown method": F.col("discovery_method").isNotNull() & ~F.col("discovery_method").isin(*METHODS),
     }
     rows = feeds.select("id", F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())), lambda x: x.isNotNull())).alias("problem"))
     for key in ("id", "url"):
@@ -92,11 +144,16 @@ def health(bronze: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row for each feed: ok, status, number of entries, diagnosis.  Malformed payloads without entries fail; well-formed empty ones are ok."""
     counts = parsed(bronze).groupBy("feed_id").agg(F.count("*").alias("n_entries"))
     fetched = bronze.select("feed_id", "status", "error", F.col("payload").rlike(r"(?s)<(rss|feed|rdf:RDF)[\s>].*</(rss|feed|rdf:RDF)>\s*$").alias("well_formed"))
-    rows = feeds.select(F.col("id").alias("feed_id"), "name").join(fetched, "feed_id", "left").join(counts, "feed_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
-    ok = F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False)) & (F.coalesce("well_formed", F.lit(False)) | (F.col("n_entries") > 0))
+    manual = F.coalesce(F.col("discovery_method") == "manual_web", F.lit(False))
+    rows = feeds.select(F.col("id").alias("feed_id"), "name", manual.alias("_manual")).join(fetched, "feed_id", "left").join(counts, "feed_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
+    # pages that people read need only answer
+    answered = F.col("error").isNull() & F.coalesce(F.col("status") < 400, F.lit(False))
+    rows = rows.withColumn("n_entries", F.when(F.col("_manual"), 0).otherwise(F.col("n_entries")))
+    ok = F.when(F.col("_manual"), answered).otherwise(F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False)) & (F.coalesce("well_formed", F.lit(False)) | (F.col("n_entries") > 0)))
     said = (
         F.when(F.col("status").isNull() & F.col("error").isNull(), "not fetched")
         .when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("_manual") & answered, "ok")
         .when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
         .when(~ok, "malformed")
         .when(F.col("n_entries") == 0, "empty")

@@ -7,6 +7,9 @@ new version folder; readers take the newest.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,9 +109,43 @@ class Store:
             fresh = F.col("started_at").cast("timestamp") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {lease_minutes} MINUTES")
             if held.where((F.col("status") == "completed") | ((F.col("status") == "running") & fresh)).count():
                 return False
+        # of those who saw the same state one claims it: the file system creates a file once
+        state = held.select("status", "started_at").first() if self.exists("runs") else None
+        seen = "-".join(x for x in (state or ("first",)) if x)
+        if not self._claimed(f"{job}-{date}-{re.sub('[^A-Za-z0-9]+', '_', seen)}"):
+            return False
         self.put("runs", ["job", "run_date"], row)
         return True
 
+    def _claimed(self, name: str) -> bool:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{name}")
+        return path.getFileSystem(conf).createNewFile(path)
+
+    def completed(self, job: str, date: str) -> bool:
+        """Whether a day's run is done, or its issue is there."""
+        if self.exists("runs") and self.keyed("runs").where((F.col("job") == job) & (F.col("run_date") == date) & (F.col("status") == "completed")).count():
+            return True
+        return self.exists("articles") and not self.issue("articles", date).isEmpty()
+
+    def latest_run(self, job: str) -> DataFrame:
+        """The run of a job that began last."""
+        return self.keyed("runs").where(F.col("job") == job).orderBy(F.desc("started_at")).limit(1)
+
+    def mark_sent(self, date: str, now: str) -> None:
+        """Notes when a day's issue was sent; other issues stay as they are."""
+        self.put("sent", ["issue_date"], self.spark.createDataFrame([(date, now)], "issue_date string, sent_at string"))
+
+    def put_settings(self, key: str, values: dict, now: str, secrets_elsewhere: bool = False) -> None:
+        """Stores settings as JSON; a password that the environment brings isn't stored."""
+        kept = {k: v for k, v in values.items() if not (secrets_elsewhere and k == "smtp_password")}
+        self.put("settings", ["key"], self.spark.createDataFrame([(key, json.dumps(kept, ensure_ascii=False), now)], "key string, value string, updated_at string"))
+
+    def settings(self, key: str) -> dict:
+        """The stored settings; empty if there are none."""
+        row = self.keyed("settings").where(F.col("key") == key).first() if self.exists("settings") else None
+        return json.loads(row["value"] or "{}") if row else {}
+
     def finish(self, job: str, date: str, now: str, error: str | None = None) -> None:
         state = "failed" if error else "completed"
         self.put("runs", ["job", "run_date"], self.spark.createDataFrame([(job, date, state, now, error)], "job string, run_date string, status string, started_at string, error string"))
@@ -150,6 +187,19 @@ def metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def run_stats(feeds: DataFrame, entries: DataFrame, kept: DataFrame, chosen: DataFrame, seconds: float) -> DataFrame:
+    """One row: feeds in all, read and failed (``ok``), articles collected, kept and chosen, and how long it took."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    feeds_row = feeds.agg(F.count("*").alias("feeds_total"), F.count_if("ok").alias("feeds_ok"), F.count_if(~F.coalesce(F.col("ok"), F.lit(False))).alias("feeds_failed"))
+    counts = n(entries, "articles_collected").join(n(kept, "articles_after_dedupe")).join(n(chosen, "articles_selected"))
+    return feeds_row.join(counts).withColumn("collection_duration", F.bround(F.lit(float(seconds)), 4))
+
+
+def latest_in_group(runs: DataFrame, by: list[str], time: str) -> DataFrame:
+    """The last row of each group by time: a partial aggregate, no window."""
+    return runs.groupBy(*by).agg(F.max_by(F.struct(*(c for c in runs.columns if c not in by)), time).alias("_last")).select(*by, "_last.*")
+
+
 def with_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``position`` from 0 within the issue date."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("issue_date").orderBy(*order)).cast(T.LongType()) - 1)
