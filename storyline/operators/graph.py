@@ -17,6 +17,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where a small table has fewer; large ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node and component (the smallest node reachable) for edges (left, right), by smallest neighbours with jumps.
 

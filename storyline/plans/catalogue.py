@@ -289,8 +289,9 @@ def recall_contexts(spark, sf_dir):
 # --- scores ---------------------------------------------------------------------------------------
 
 
-def _scored(spark, sf_dir, whole: bool = False) -> DataFrame:
-    rows = articles(spark, sf_dir, whole).withColumns(
+def _scored(spark, sf_dir, whole: bool = False, spread: bool = False) -> DataFrame:
+    rows = articles(spark, sf_dir, whole)
+    rows = (graph.spread(rows) if spread else rows).withColumns(
         {
             "category": F.when(F.col("lang") == "en", "sdv").when(F.col("lang") == "de", "oem").otherwise("big"),
             "text": F.col("excerpt"),
@@ -519,7 +520,7 @@ def event_articles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, E.Lexic
     if not sf_dir:
         return fixture(spark), E.Lexicon.standard()
     url = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    rows = _scored(spark, sf_dir, whole=True).select(
+    rows = _scored(spark, sf_dir, whole=True, spread=True).select(
         F.col("doc_id").alias("id"), "title", "publisher", "source_type", F.col("doc_id").alias("position"), url.alias("url"), url.alias("canonical_url"), "published_at", "excerpt", F.lit("").alias("content"),
         F.array().cast("array<string>").alias("tags"), E.topics(F.col("excerpt"), LEXICON).alias("topics"), F.lit(False).alias("is_official"), (F.col("source_type") == "regulator").alias("is_primary_source"), "priority_score", F.lit(None).cast("string").alias("discovered_via"),
     )

@@ -6,12 +6,15 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.operators import dedupe, graph, scoring, select
-from storyline.plans import catalogue
+from storyline.operators import dedupe, graph, scoring, select, similarity
+from storyline.plans import catalogue, news
 from storyline.sources import feeds, pages
 from storyline.sources.store import Store, normalised
 
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def ids(df, c="id"):
     return sorted(r[c] for r in df.select(c).collect())
 
@@ -135,6 +138,24 @@ def test_events(spark):
     assert 3 in rows  # the regulator is primary
 
 
+def test_candidates_lose_no_pair_that_scores(spark):
+    """Every pair of 0.60 or more by brute force is a candidate, undated rows and equal URLs included."""
+    rows, lexicon = news.news(spark, SF), news.LEXICON
+    rows = rows.where("doc_id < 90").withColumns(
+        {
+            "id": F.col("doc_id"), "canonical_url": F.col("url"), "topics": F.array().cast("array<string>"),
+            "title": F.regexp_replace(F.substring_index("title", " ", 9), "(?i)explained", "recalls"),
+            "published_at": F.when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 7200)),
+        }
+    )
+    featured = dedupe.checkpointed(similarity.with_features(rows, lexicon).drop("excerpt", "content"))
+    l, r = featured.alias("l"), featured.alias("r")
+    every = l.join(r, F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"), similarity.likeness("l", "r").alias("similarity"))
+    expected = {tuple(x) for x in every.where("similarity >= 0.6").collect()}
+    found = {tuple(x) for x in similarity.scored_pairs(featured).where("similarity >= 0.6").collect()}
+    assert len(expected) > 10 and found == expected
+
+
 def test_events_of_all_documents(spark):
     """Every pair of documents that is alike is found, and every document is in one event."""
     from storyline.operators import similarity
