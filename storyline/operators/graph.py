@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFra
 
 
 def pair_quality(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Precision, recall and F1 (as integers in millionths) of pairs in equal clusters, against gold clusters.
+    """Pairs wrongly merged and split, and precision, recall and F1 (as integers in millionths) of pairs in equal clusters, against gold clusters.
 
     Both have (id, cluster).  Counted from the sizes of the clusters and their
     intersections; no pair is ever formed.
@@ -57,4 +57,5 @@ def pair_quality(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     joined = pairs("p", "g").withColumnRenamed("k", "both").crossJoin(pairs("p").withColumnRenamed("k", "predicted")).crossJoin(pairs("g").withColumnRenamed("k", "gold"))
     share = lambda a, b: F.when(F.col(b) == 0, F.lit(1000000)).otherwise(F.floor(F.col(a) * 1000000 / F.col(b))).cast("long")
     f1 = F.when(F.col("predicted") + F.col("gold") == 0, F.lit(1000000)).otherwise(F.floor(F.col("both") * 2000000 / (F.col("predicted") + F.col("gold")))).cast("long")
-    return joined.select("both", "predicted", "gold", share("both", "predicted").alias("precision"), share("both", "gold").alias("recall"), f1.alias("f1"))
+    false = lambda a: (F.col(a) - F.col("both")).cast("long")
+    return joined.select("both", "predicted", "gold", false("predicted").alias("false_merges"), false("gold").alias("false_splits"), share("both", "predicted").alias("precision"), share("both", "gold").alias("recall"), f1.alias("f1"))

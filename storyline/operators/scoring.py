@@ -114,14 +114,33 @@ def with_scores(articles: DataFrame, ref_time: Column, **options) -> DataFrame:
     return scored.withColumn("level", level(F.col("priority_score")))
 
 
+# What an article's scores (tenths) say about it, in order: name of a score, least, most, Korean, English.
+REASONS = [
+    ("relevance", 700, 1000, "차량 소프트웨어·SDV 관련성 높음", "High software & SDV relevance"),
+    ("relevance", 500, 699, "전동화·차량 전장 관련 이슈", "Automotive systems relevance"),
+    ("impact", 650, 1000, "투자·제휴·규제 등 대형 이슈화 신호", "High industry impact (investment/partnership/regulation)"),
+    ("impact", 450, 649, "사업·제휴 등 주요 이슈화 신호", "Moderate business signal (partnership/product)"),
+    ("source", 880, 1000, "주요 통신사·공신력 출처", "High authority publication"),
+    ("source", 800, 879, "공식 발표·전문 매체", "Official/specialized source"),
+    ("recency", 700, 1000, "최근 24시간 이내 보도", "Recent publication"),
+    ("novelty", 850, 1000, "독창적 신규 보도", "Fresh reporting"),
+    ("novelty", 0, 500, "중복 또는 일반 해설 항목", "Previously covered / evergreen content"),
+]
+AUTHORITY_REASON = ("주요 출처의 대형 산업 이슈화 신호", "High-impact development from authoritative source")
+SOFTWARE_REASON = ("SDV·SW 분야 핵심 협력·배치 이슈", "Strategic SDV & software initiative")
+FAINT_REASON = ("관찰 항목 (낮은 관련도·영향도)", "Watch item (low relevance & impact)")
+OTHER_REASON = ("일반 산업 참고 항목", "General industry reference")
+
+
 def reasons(articles: DataFrame) -> DataFrame:
-    """Adds ``reasons``: why an article ranks where it does, strongest first."""
-    said = [
-        (F.col("relevance_score") >= 800, "core technology"),
-        (F.col("impact_score") >= 650, "strong impact signals"),
-        (F.col("source_score") >= 850, "authoritative source"),
-        (F.col("recency_score") >= 800, "fresh"),
-        (F.col("novelty_score") < 600, "known or evergreen"),
-        ((F.col("relevance_score") < 400) & (F.col("impact_score") < 400), "faint signals"),
-    ]
-    return articles.withColumn("reasons", F.slice(F.filter(F.array(*(F.when(c, F.lit(x)) for c, x in said)), lambda x: x.isNotNull()), 1, 3))
+    """Adds reasons_ko and reasons_en, why an article ranks where it does, and reason_ko and reason_en, the first three in a line."""
+    score = lambda name: F.col(f"{name}_score")
+    said = [((score("impact") >= 650) & (score("source") >= 850), AUTHORITY_REASON), ((score("relevance") >= 800) & (score("impact") >= 450), SOFTWARE_REASON)]
+    said += [(score(name).between(least, most), texts) for name, least, most, *texts in REASONS]
+    said.append(((score("relevance") < 400) & (score("impact") < 400), FAINT_REASON))
+    columns = {}
+    for i, lang in enumerate(("ko", "en")):
+        found = F.filter(F.array(*(F.when(c, F.lit(t[i])) for c, t in said)), lambda x: x.isNotNull())
+        columns[f"reasons_{lang}"] = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(OTHER_REASON[i])))
+    rows = articles.withColumns(columns)
+    return rows.withColumns({f"reason_{lang}": F.array_join(F.slice(f"reasons_{lang}", 1, 3), " · ") for lang in ("ko", "en")})

@@ -223,7 +223,7 @@ def greedy_dedupe(spark, sf_dir):
 
 @query("""WITH p AS (SELECT lang AS p, source AS g, count(*) AS n FROM documents GROUP BY ALL), k AS (
 SELECT (SELECT sum(n * (n - 1) // 2) FROM p) AS b, (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM p GROUP BY p)) AS q, (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM p GROUP BY g)) AS g)
-SELECT CAST(b AS BIGINT) AS both, CAST(q AS BIGINT) AS predicted, CAST(g AS BIGINT) AS gold, CAST(floor(b * 1000000 / q) AS BIGINT) AS precision, CAST(floor(b * 1000000 / g) AS BIGINT) AS recall, CAST(floor(b * 2000000 / (q + g)) AS BIGINT) AS f1 FROM k""")
+SELECT CAST(b AS BIGINT) AS both, CAST(q AS BIGINT) AS predicted, CAST(g AS BIGINT) AS gold, CAST(q - b AS BIGINT) AS false_merges, CAST(g - b AS BIGINT) AS false_splits, CAST(floor(b * 1000000 / q) AS BIGINT) AS precision, CAST(floor(b * 1000000 / g) AS BIGINT) AS recall, CAST(floor(b * 2000000 / (q + g)) AS BIGINT) AS f1 FROM k""")
 def cluster_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return graph.pair_quality(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster")), docs.select(F.col("doc_id").alias("id"), F.col("source").alias("cluster")))

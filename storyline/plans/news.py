@@ -17,7 +17,7 @@ from storyline.functions import entities as E
 from storyline.functions import facets
 from storyline.functions import features as X
 from storyline.functions import fixed_values as V
-from storyline.operators import scoring, select, taxonomy
+from storyline.operators import events, scoring, select, taxonomy
 from storyline.plans import display, presentation
 from storyline.sources import feeds, rules, store
 
@@ -349,6 +349,36 @@ def news_section_sizes(spark, sf_dir):
     return select.with_leftovers(_scored(spark, sf_dir), presentation.SECTIONS).groupBy("section").agg(F.count("*").alias("n"))
 
 
+_SAID = [("impact_score >= 650 AND source_score >= 850", scoring.AUTHORITY_REASON), ("relevance_score >= 800 AND impact_score >= 450", scoring.SOFTWARE_REASON)]
+_SAID += [(f"{name}_score BETWEEN {least} AND {most}", texts) for name, least, most, *texts in scoring.REASONS]
+_SAID.append(("relevance_score < 400 AND impact_score < 400", scoring.FAINT_REASON))
+_WHY = ["list_filter([" + ", ".join(f"CASE WHEN {c} THEN {s(t[i])} END" for c, t in _SAID) + "], lambda x: x IS NOT NULL)" for i in (0, 1)]
+
+
+@query(f"""{NEWS_SCORES}, w AS (SELECT doc_id, {_WHY[0]} AS ko, {_WHY[1]} AS en FROM x) SELECT doc_id, CASE WHEN len(ko) = 0 THEN {s(scoring.OTHER_REASON[0])} ELSE array_to_string(ko[1:3], ' · ') END AS reason_ko,
+  CASE WHEN len(en) = 0 THEN {s(scoring.OTHER_REASON[1])} ELSE array_to_string(en[1:3], ' · ') END AS reason_en, greatest(len(en), 1) AS n FROM w""")
+def news_reasons(spark, sf_dir):
+    return scoring.reasons(_scored(spark, sf_dir)).select("doc_id", "reason_ko", "reason_en", F.size("reasons_en").cast("long").alias("n"))
+
+
+@query(f"""{NEWS_SCORES}, m AS (SELECT doc_id, category, min(doc_id) OVER (PARTITION BY url) AS primary_id FROM n)
+SELECT doc_id, array_to_string(list_filter(list_sort(list(doc_id) OVER (PARTITION BY primary_id)), lambda i: i <> doc_id), ',') AS related FROM m""".replace(NEWS_SCORES, N))
+def news_related(spark, sf_dir):
+    """Articles with one URL as one event, named by the smallest id."""
+    rows = news(spark, sf_dir).select("doc_id", "url")
+    members = rows.join(rows.groupBy("url").agg(F.min("doc_id").alias("primary_id")), "url").select(F.col("doc_id").alias("id"), "primary_id")
+    return events.related(members).select(F.col("id").alias("doc_id"), F.array_join(F.transform("related_ids", lambda i: i.cast("string")), ",").alias("related"))
+
+
+@query(f"""{N}, g AS (SELECT url, count(*) AS n, min(least(1.0, (doc_id % 17) / 10.0)) AS least FROM n GROUP BY url) SELECT CAST(sum(n) AS BIGINT) AS articles, count(*) AS events, count(*) FILTER (WHERE n > 1) AS multi_article_events,
+  count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE NOT (n > 1 AND least < 0.65)) AS healthy, count(*) FILTER (WHERE n > 1 AND least < 0.65) AS suspicious, round_even(coalesce(avg(CASE WHEN n > 1 THEN least END), 0.0), 3) AS mean_coherence FROM g""")
+def event_diagnosis(spark, sf_dir):
+    i = F.col("doc_id") % 17
+    found = news(spark, sf_dir).groupBy("url").agg(F.count("*").alias("n"), F.min(F.least(F.lit(1.0), i / 10)).alias("mean"))
+    doubts = F.filter(F.array(F.when((F.col("n") > 1) & (F.col("mean") < V.SAME_MEMBER), F.lit("weak member"))), lambda x: x.isNotNull())
+    return events.diagnosis(found.withColumn("doubts", doubts))
+
+
 # --- texts that readers see ----------------------------------------------------------------------------------------
 
 _LOW = "lower(title || ' ' || excerpt)"

@@ -78,8 +78,8 @@ class Store:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def save(self, table: str, rows: DataFrame) -> None:
-        """Replaces the issue dates that ``rows`` hold, and no others."""
-        rows.repartition("issue_date").write.partitionBy("issue_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path(table))
+        """Replaces the issue dates that ``rows`` hold, and no others.  A large day is several tasks, small ones share one."""
+        rows.hint("rebalance", "issue_date").write.partitionBy("issue_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path(table))
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self._path(table))
