@@ -41,7 +41,7 @@ TOP = 5
 #: Vectors on which the codebooks are fitted, at most, and rounds of the fitting.
 FIT, ROUNDS = 20_000, 12
 #: Share of all entries, and number of entries, that a query meets at least; centroids of a half at most.
-SHARE, FEWEST, MOST_CENTROIDS = 0.3, 2000, 256
+SHARE, FEWEST, MOST_CENTROIDS = 0.34, 2000, 256
 #: Entries of a chunk and queries of a block, about: what one rerank call holds.
 CHUNK, QUERIES = 4096, 2048
 

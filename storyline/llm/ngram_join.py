@@ -75,6 +75,8 @@ HOT = 1_000_000
 BLOCK_POSTINGS, SKETCH_BITS = 1_000_000, 1 << 17
 #: Members from which a column counts as heavy, rows multiplied with one first together, and column blocks of that product.
 HEAVY, ROWS, COLUMN_BLOCKS = 100_000, 1024, 4
+#: Tasks over which a block's members are dealt where it is looked at whole.
+SALTS = 16
 #: Different firsts of blocks with the same members, about, and members from which a block counts as large.
 FIRSTS, LARGE = 8, 64
 #: Bits of the Bloom filter that keeps sets of unneeded documents from being shuffled.  This bounds the broadcast.
@@ -409,27 +411,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(members.join(by_name("lead", "head"), "lead").select("sig", "cid", "n", "head", F.coalesce("component", "cid").alias("component")), "members")
     removed(spark, blocks)
     by_component = members.groupBy("sig", "component").agg(F.count("*").alias("k"))
-    largest = by_component.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("main"))
-    # as a table of its own, so that both sides of the joins below are plain shuffles, whose hot partitions Spark splits
+    largest = by_component.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("size")).where("parts > 1").select("sig", F.col("top.component").alias("main"), "size")
+    # as a table of its own, so that both sides of the joins below are plain shuffles; a large block is dealt to several tasks
     largest = written(largest, "main")
+    dealt = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     to_head = first.select("x", "y", "low", "high")
     to_head = to_head.unionByName(to_head.select(F.col("y").alias("x"), F.col("x").alias("y"), "low", "high")).select(F.col("x").alias("head"), F.col("y").alias("cid"), "low", "high")
-    open_ = members.where("cid <> head").join(largest, "sig").join(to_head, ["head", "cid"], "left")
+    open_ = members.where("cid <> head").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(dealt, ["sig", "salt"]).join(to_head, ["head", "cid"], "left")
     # of the large blocks, those that a member is in, ascending; no more than its prefix has shingles
-    large = open_.join(open_.groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("sig"), "sig", "left_semi")
-    large = large.groupBy("cid").agg(F.array_sort(F.collect_set("sig")).alias("large"))
+    large = open_.where(F.col("size") >= LARGE).groupBy("cid").agg(F.array_sort(F.collect_set("sig")).alias("large"))
     open_ = open_.join(large, "cid", "left").join(classes.select("cid", "sketch"), "cid")
     none = F.array().cast("array<long>")
     open_ = written(
-        open_.select("sig", "cid", "n", "component", "main", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"), F.coalesce("large", none).alias("large"), "sketch"), "open"
+        open_.select("sig", "cid", "n", "component", "main", F.ceil(F.col("size") / ROWS).cast("int").alias("parts"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"), F.coalesce("large", none).alias("large"), "sketch"), "open"
     )
     removed(spark, members)
-    l, r = open_.alias("l"), open_.alias("r")
+    # members outside the main component go to all parts of their block, each member stands in one
+    l = open_.where("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("l")
+    r = open_.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("r")
     limit = float(1 - t) + 1e-9
     cross = l.join(
         r,
         (F.col("l.sig") == F.col("r.sig"))
-        & (F.col("l.component") != F.col("l.main"))
+        & (F.col("l.salt") == F.col("r.salt"))
         & (F.col("l.component") != F.col("r.component"))
         & ((F.col("r.component") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid")))
         & _sizes_allow(F.col("l.n"), F.col("r.n"), t)
