@@ -8,9 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyline.llm import bpe, fingerprints, line_dedup, neighbours, ngram_join, packing, quality, token_counts, token_files, url_filters
+from storyline.llm import alignment, bpe, centroids, fingerprints, line_dedup, neighbours, ngram_join, packing, quality, simhash, token_counts, token_files, url_filters
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -59,6 +59,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_ngram_join,
@@ -71,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_bpe,
         op10_url_filters,
+        op11_centroids,
+        op12_simhash,
+        op13_alignment,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -122,5 +137,5 @@ SELECT u.page_id, u.host, u.path, b.rule AS rule, coalesce(b.v, 'allow') AS verd
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_ngram_join": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    found = {"op1_ngram_join": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_centroids": centroids.sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
