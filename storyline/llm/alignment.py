@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyline.llm import words as W
-from storyline.llm.bpe import SEPARATORS, byte_of_char
+from storyline.llm.bpe import CALL_FRAGMENTS, SEPARATORS, byte_of_char
 from storyline.llm.common import written
 
 #: Bytes of texts in a chunk, fragments that a worker remembers, and memory of its DuckDB.
-CHUNK, REMEMBERED, DUCKDB_MEMORY = 4 << 20, 400_000, "400MB"
+CHUNK, REMEMBERED, DUCKDB_MEMORY = 2 << 20, 200_000, "128MB"
 SPACE = "▁"
 
 
@@ -87,7 +87,8 @@ class Bytes:
             self.bytes_of[i] = bytes(as_byte[c] for c in token if c in as_byte)
 
     def encode(self, fragments: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(fragments, add_special_tokens=False)]
+        parts = (fragments[i : i + CALL_FRAGMENTS] for i in range(0, len(fragments), CALL_FRAGMENTS))
+        return [x.ids for part in parts for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
 
 
 def pairs_inside(tokens: list[bytes]) -> np.ndarray:
@@ -227,8 +228,13 @@ class Aligner:
         sums = np.where(has[:, None], sums[at[1:]] - sums[at[:-1]], 0)
         taken = has[doc]
         self.con.register("placed", pa.table({"doc": doc[taken], "fragment": kind[taken]}))
-        self.con.register("links", pa.table(self.links))
+        here = np.zeros(len(self.strings) + 1, dtype=bool)
+        here[kind] = True
+        here = here[self.links["fragment"]]
+        self.con.register("links", pa.table({c: x[here] for c, x in self.links.items()}))
         found = self.con.sql(PAIRS_SQL).to_arrow_table()
+        for name in ("placed", "links"):
+            self.con.unregister(name)
         pair, place, holders = np.unique(found.column("pair").to_numpy(), return_inverse=True, return_counts=True)
         times, cuts = found.column("n").to_numpy(), np.searchsorted(found.column("doc").to_numpy(), np.arange(len(has) + 1))
         rows = []
