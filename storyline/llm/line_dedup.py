@@ -5,16 +5,17 @@
 2. One row for each (document, hash), then for each hash the number of documents
    that hold it and the smallest of their ids; partial aggregation makes a
    line that a third of the corpus repeats one row for each task.
-3. (document, hash) rows meet the hashes that are over the threshold, by an
-   equi-join whose hot hashes Spark may split; what must go is gathered by
-   document, bounded by the document's own lines.
-4. Documents meet their own sets and drop lines by position.
+3. The lines meet the hashes that are over the threshold, by an equi-join whose hot
+   hashes Spark may split; the positions that must go are gathered by row (the
+   document and its text's hash), bounded by the row's own lines.
+4. Rows meet their own positions; the other lines are put together again by position.
+   Every step is linear in the number of lines, of a single document, too.
 
 A line is dropped from every document but the one with the smallest id, which
 keeps all its copies.  Results for special cases: null and empty texts have one
 empty line and stay empty texts (a null text stays null where nothing goes);
-null ids count as one document after all others; rows that repeat an id are one
-document, each row treated alike; short keys are always kept; other columns pass
+null ids count as one document after all others, whose rows are gathered each on its
+own; rows that repeat an id are one document, each row treated alike; short keys are always kept; other columns pass
 through untouched.
 """
 
@@ -31,37 +32,35 @@ MIN_CHARS, MIN_DOCS = 10, 2
 LAST = (1 << 63) - 1
 
 
-def line_keys(text: Column) -> Column:
-    """The keys of a text's lines: blanks stripped at both ends, A-Z lower-cased."""
-    return F.transform(lines(F.translate(text, UPPER, LOWER)), lambda x: F.btrim(x, F.lit(BLANKS)))
-
-
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_hash(key: Column) -> Column:
-    """128 bits: two 64-bit hashes from different seeds."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the document (LAST for null) and 128 bits of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text), F.xxhash64(F.lit("text"), text)]
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc (the id, LAST for null) and gone (array of hashes): what each document loses."""
+    """doc, t, u (the row's key) and gone (positions from 0): what each row loses."""
+    doc, t, u = row_key(id_col, text_col)
     held = (
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.explode(lines(F.translate(F.col(text_col), UPPER, LOWER))).alias("line"))
-        .select("doc", F.btrim("line", F.lit(BLANKS)).alias("key"))
+        docs.select(doc.alias("doc"), t.alias("t"), u.alias("u"), lines(F.translate(F.col(text_col), UPPER, LOWER)).alias("lines"))
+        .select("doc", "t", "u", F.posexplode("lines").alias("pos", "line"))  # the text's hashes are made before, not for each line
+        .withColumn("key", F.btrim("line", F.lit(BLANKS)))
         .where(F.char_length("key") >= min_chars)
-        .select("doc", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b"))
+        .select("doc", "t", "u", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b"))
     )
     found = held.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     if min_docs > 2:
-        found = held.distinct().groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+        found = held.select("doc", "a", "b").distinct().groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     else:
         found = found.where("first <> last")
     # as a table of its own, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
     found = written(found.select("a", "b", "first"), "repeated-lines")
     gone = held.join(found, ["a", "b"]).where("doc <> first")
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return gone.groupBy("doc", "t", "u").agg(F.collect_set("pos").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -71,18 +70,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if counts and {x.lower() for x in counts} & {x.lower() for x in docs.columns}:
         raise ValueError(f"docs has columns named like {counts}")
-    doc, gone_col, left_col = (unused(docs.columns, x) for x in ("doc", "gone", "left"))
-    sets = dropped_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("gone").alias(gone_col))
-    met = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).join(sets, doc, "left")
-    text = F.col(text_col)
-    keys, gone, left = line_keys(text), F.col(gone_col), F.col(left_col)
-    stays = F.transform(keys, lambda k: (F.char_length(k) < min_chars) | ~F.array_contains(gone, key_hash(k)))
-    pairs = F.filter(F.arrays_zip(lines(text).alias("line"), stays.alias("stays")), lambda x: x["stays"])
-    kept = met.withColumn(left_col, F.when(gone.isNotNull(), F.transform(pairs, lambda x: x["line"])))
+    names = [unused(docs.columns, x) for x in ("doc", "t", "u")]
+    gone_col = unused(docs.columns, "gone")
+    lost = dropped_lines(docs, id_col, text_col, min_chars, min_docs).select(*(F.col(c).alias(n) for c, n in zip(("doc", "t", "u"), names, strict=True)), F.col("gone").alias(gone_col))
+    met = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True))).join(lost, names, "left")
+    text, gone = F.col(text_col), F.col(gone_col)
     n_lines = F.size(lines(text))
-    more = [n_lines.cast("long").alias(counts[0]), F.when(left.isNull(), F.lit(0)).otherwise(n_lines - F.size(left)).cast("long").alias(counts[1])] if counts else []
-    new_text = F.when(left.isNull(), text).otherwise(F.array_join(left, "\n")).alias(text_col)
-    return kept.select(*(new_text if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
+    # both arrays are bound once, so that taking a line by its position is one step
+    both = F.struct(lines(text).alias("lines"), F.array_except(F.sequence(F.lit(0), n_lines - 1), gone).alias("kept"))
+    left = F.transform(F.array(both), lambda x: F.array_join(F.transform(x["kept"], lambda i: F.get(x["lines"], i)), "\n"))[0]
+    new_text = F.when(gone.isNull(), text).otherwise(left).alias(text_col)
+    more = [n_lines.cast("long").alias(counts[0]), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias(counts[1])] if counts else []
+    return met.select(*(new_text if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
