@@ -7,10 +7,11 @@ interval of the sort order.  A URL has one key for each suffix of its host.
 
 1. Distinct (host, path) pairs, pre-aggregated before the shuffle: a hot host or
    URL counts once.
-2. Rules and keys are dealt into ranges of equal depth; the bounds are keys, taken
-   from a sample of ``SAMPLE`` of them (it affects the ranges' depth alone).  Where one
-   key fills more than one range its rows are dealt among them, and a rule goes to
-   every range that its interval meets.
+2. Rules and keys are dealt into ranges of equal depth; the bounds come from a sample of
+   ``SAMPLE`` keys (it affects the ranges' depth alone), each the shortest beginning that
+   tells a key from the one before it, so keys that share hundreds of characters still
+   part.  Where one key fills more than one range its rows are dealt among them, and a
+   rule goes to every range that its interval meets.
 3. Each range is sorted and swept once: the last rule opened before a key stands
    on top of the stack of nested rules; the stack (a rule with those whose
    intervals hold it) travels with the rule, and rules that have closed are taken
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict of a page that no rule speaks about.
 DEFAULT = "allow"
-#: Keys from which the bounds of ranges are taken, at least, and characters of a bound.
-SAMPLE, BOUND_CHARS = 10_000, 200
+#: Keys from which the bounds of ranges are taken, at least, and characters of a bound at most.
+SAMPLE, BOUND_CHARS = 10_000, 8192
 
 
 def host_of(url: Column) -> Column:
@@ -67,6 +68,17 @@ def with_stacks(rules: DataFrame) -> DataFrame:
     return above.join(own.select(F.col("key").alias("above"), "rule"), "above").groupBy("key").agg(F.collect_list("rule").alias("stack"))
 
 
+def separators(ordered: list[str], n: int) -> list[str]:
+    """n - 1 bounds of about equal depth: the shortest beginnings above the key before, or a repeated key whole."""
+    bounds = []
+    for i in range(1, n):
+        at = len(ordered) * i // n
+        key, before = ordered[at], ordered[at - 1] if at else ""
+        common = next((k for k, (x, y) in enumerate(zip(key, before)) if x != y), min(len(key), len(before)))
+        bounds.append(key[: common + 1])
+    return bounds
+
+
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (host + path, or null) and verdict of every row of ``pages``."""
     spark = pages.sparkSession
@@ -76,9 +88,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: s
     depths = F.sequence(F.lit(1), F.size(labels))
     keys = pairs.select("host", "path", F.explode(F.transform(depths, lambda n: _key(F.slice(labels, 1, n), F.col("path")))).alias("key"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sample = keys.select("key").orderBy(F.xxhash64("host", "path", "key"), "key").limit(max(SAMPLE, 20 * n)).collect()
-    ordered = sorted((r["key"][:BOUND_CHARS] for r in sample), key=str.encode)
-    bounds = [ordered[len(ordered) * i // n] for i in range(1, n)] if ordered else []
+    sample = keys.select(F.substring("key", 1, BOUND_CHARS).alias("key"), F.xxhash64("host", "path", "key").alias("h")).orderBy("h", "key").limit(max(SAMPLE, 20 * n)).collect()
+    ordered = sorted((r["key"] for r in sample), key=str.encode)
+    bounds = separators(ordered, n) if ordered else []
     # two steps of about the root of their number: which stretch of bounds, and where in it
     step = max(1, int(len(bounds) ** 0.5))
     all_bounds = F.array(*map(F.lit, bounds)).cast("array<string>")
