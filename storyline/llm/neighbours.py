@@ -19,8 +19,9 @@
 Entries that a query's cells hold are all reranked: no cell is cut short.
 Results for special cases: null and zero vectors and those with null or
 non-finite components take no part, nor do vectors of another length than most;
-rows that repeat an id are candidates once for each different vector, and never
-for a query of that id; null ids take no part; with fewer candidates than asked
+an id that several rows repeat is one item with all their vectors: it has one place at
+most among a query's nearest, by its largest score, as a query it is one query with
+the largest score over its vectors, and it is never its own neighbour; null ids take no part; with fewer candidates than asked
 for all are returned; an empty table has no rows; extra columns are ignored.
 """
 
@@ -103,6 +104,20 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray | list[int],
     return out
 
 
+def nearest_entries(rough: np.ndarray, ids: list, query: int, top: int) -> np.ndarray:
+    """Places of the entries that hold the ``top`` nearest ids other than the query's, and of all that tie with the last.
+
+    Entries may share ids, so as many entries are taken as it needs for so many different ids.
+    """
+    take = top + 1
+    while take < len(rough):
+        part = np.argpartition(rough, -take)[-take:]
+        if len({i for e in part.tolist() for i in ids[e]} - {query}) >= top:
+            return np.flatnonzero(rough >= rough[part].min() - 1e-9)
+        take *= 2
+    return np.arange(len(rough))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
@@ -205,11 +220,15 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
                 rough = (w @ v.T) / lengths[:, None] / norms
                 for n, (q, cells) in enumerate(zip(some["query_id"].tolist(), some["cells"], strict=True)):
                     here = np.flatnonzero(np.isin(cell, cells))
-                    least = np.partition(rough[n, here], -(top + 1))[-(top + 1)] - 1e-9 if len(here) > top + 1 else -2.0
-                    near = here[rough[n, here] >= least]  # ties at the last place all go on, with their ids
+                    near = nearest_entries(rough[n, here], [ids[e] for e in here], q, top)
+                    near = here[near]
                     score = (v[near] * w[n]).sum(1) / (norms[near] * lengths[n])
-                    mine = [(-x, i) for x, e in zip(score.tolist(), near.tolist(), strict=True) for i in ids[e] if i != q]
-                    for x, i in heapq.nsmallest(top, mine):
+                    best: dict[int, float] = {}
+                    for x, e in zip(score.tolist(), near.tolist(), strict=True):
+                        for i in ids[e]:
+                            if i != q and x > best.get(i, -2.0):
+                                best[i] = x
+                    for x, i in heapq.nsmallest(top, ((-x, i) for i, x in best.items())):
                         found[0].append(q)
                         found[1].append(i)
                         found[2].append(-x)

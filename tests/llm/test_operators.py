@@ -429,6 +429,24 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id in (0, 1)"), lambda i: i % 50 == 0).count() == 1
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """An id that several rows repeat has one place, as a candidate and as a query."""
+    rows = [(0, [1.0, 0.0, 0.0]), *((7, [1.0, 0.001 * k, 0.0]) for k in range(1, 13)), *((i, [1.0, 0.1 * i, 0.2]) for i in range(11, 31))]
+    rows += [(50, [0.0, 1.0, 0.0]), (50, [0.0, 0.0, 1.0]), (50, [0.0, 1.0, 0.0]), (60, [0.0, 0.9, 0.1]), (61, [0.0, 0.1, 0.95]), (50, [0.0, 0.99, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cosine = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    expected = {}
+    for q in (0, 50):
+        score = {}
+        for i, v in rows:
+            if i != q:
+                score[i] = max([score.get(i, -2.0), *(cosine(w, v) for j, w in rows if j == q)])
+        expected[q] = [i for _, i in sorted((-x, i) for i, x in score.items())[:5]]
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df, lambda i: i % 50 == 0).collect())
+    assert found == [(q, n + 1, i) for q in (0, 50) for n, i in enumerate(expected[q])]
+    assert len(expected[0]) == 5 and expected[0][0] == 7
+
+
 def test_recall_where_not_all_entries_are_met(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(9000, 32))
@@ -473,6 +491,22 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(docs, counts=("n_lines", "n_dropped")).columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_line_dedup_of_rows_that_share_an_id_or_have_none(spark):
+    long = [f"a line of some length {i}" for i in range(6)]
+    rows = [(1, "\n".join(long[:2])), (2, "\n".join([long[0], "x", long[2], long[0]])), (2, "\n".join([long[2], long[1], ""])), (2, "\n".join([long[2], long[1], ""]))]
+    rows += [(None, "\n".join([long[3], long[0]])), (None, "\n".join([long[3], "y"])), (None, long[2]), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = [(1, rows[0][1]), (2, "\n".join(["x", long[2]])), (2, "\n".join([long[2], ""])), (2, "\n".join([long[2], ""])), (None, long[3]), (None, "\n".join([long[3], "y"])), (None, ""), (9, None), (9, "")]
+    assert sorted(map(repr, map(tuple, line_dedup.line_dedup(df).collect()))) == sorted(map(repr, expected))
+
+
+def test_line_dedup_is_linear_in_a_documents_lines(spark):
+    """Two equal documents of 200,000 lines: with steps that grow with the square this never ends."""
+    df = spark.range(2).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("line number "), i.cast("string"))), "\n").alias("text"))
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup_digest(df).collect()}
+    assert found == {0: (200_000, 0), 1: (200_000, 200_000)}
+
+
 def test_line_dedup_leaves_columns_of_any_name_alone(spark):
     names = ["_doc", "_gone", "_left", "_n_lines", "_n_dropped", "doc", "gone", "left", "Left_", "line", "a", "b", "with.dot"]
     long = "a line that is long enough"
@@ -509,6 +543,22 @@ def test_url_filters_of_a_hot_host_and_nested_rules(spark):
     assert url_filters.judged(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_bounds_part_keys_that_share_long_beginnings():
+    keys = sorted(f"org.example.\0/{'a' * 300}/{i:05d}" for i in range(4000))
+    bounds = url_filters.separators(keys, 8)
+    depth = np.bincount([sum(b <= k for b in bounds) for k in keys], minlength=8)
+    assert depth.max() <= 2 * np.median(depth) and len(set(bounds)) == 7
+    assert url_filters.separators(["k"] * 10, 4) == ["k"] * 3 and url_filters.separators(["a"], 3) == ["a", "a"]
+
+
+def test_url_filters_of_long_common_paths(spark):
+    urls = [f"https://h.example.org/{'p' * 220}/{i}" for i in range(900)]
+    rules = [("example.org", "/" + "p" * 220 + "/1", "block"), ("example.org", "/" + "p" * 220 + "/12", "allow"), ("org", "/", "allow"), ("h.example.org", "/" + "p" * 100, "block")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: tuple(r)[1:] for r in url_filters.judged(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert found == {i: fits(u, rules) for i, u in enumerate(urls)}
+
+
 def test_url_filters(spark):
     rules = [*queries.RULES, ("a.example.org", "", "block"), ("net", "/x", "block"), ("net", "/x/y", "allow"), ("", "/", "block"), ("net", "/x", "block")]
     urls = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "https://Example.org/es/1", "https://m.example.org/en/12?q#f", "https://x.a.example.org?p", "ftp://notorg/", "http://b.net/x/yz", "http://net/x/", "http://x.com/de/1", "a://b://c/d"] * 2
