@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyline.functions.attribution import with_host_publisher
+from storyline.functions.sources import authority
 from storyline.functions.text import slug, strip_html
-from storyline.functions.urls import canonical, host, is_intermediary, unwrapped
+from storyline.functions.urls import canonical, is_intermediary, unwrapped
 
 FEED = "id string, name string, bucket string, url string, source_type string, authority_score int, region string, language string, enabled boolean, catalog_group string, discovery_method string"
 _ITEM = "title string, link string, description string, pubDate string, source string"
@@ -19,8 +21,8 @@ RSS = f"channel struct<title string, item array<struct<{_ITEM.replace(' string',
 ATOM = "title string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, updated: string, published: string, summary: string>>"
 PER_FEED = 12
 
-# Hosts of publishers.
-PUBLISHER_HOSTS = {"reuters.com": "Reuters", "bloomberg.com": "Bloomberg", "autonews.com": "Automotive News", "wardsauto.com": "WardsAuto", "electrek.co": "Electrek", "insideevs.com": "InsideEVs"}
+# Names that aren't a publisher's.
+NO_PUBLISHER = ["google news", "google"]
 
 
 def catalogue(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -124,19 +126,32 @@ def parsed(bronze: DataFrame) -> DataFrame:
     return left.unionByName(right).where("coalesce(title, '') <> '' and coalesce(link, '') <> ''")
 
 
-def entries(bronze: DataFrame, feeds: DataFrame, per_feed: int = PER_FEED) -> DataFrame:
+def with_publisher(rows: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Adds publisher, discovered_via and source_authority to items (title, link, item_source) with their feed's columns.
+
+    The publisher is the item's own, else for aggregators the end of the title, the one
+    whose host the link has, or "Unknown"; else the feed.  One that isn't the feed has the
+    authority of its name, the feed its own.
+    """
+    url = unwrapped(F.col("link"))
+    aggregator = (F.col("source_type") == "aggregator") | F.contains("feed_url", F.lit("google.com")) | F.contains("name", F.lit("Google News"))
+    said = lambda c: F.when(~F.lower(c).isin("", *NO_PUBLISHER), c)
+    own, suffix = said(F.trim("item_source")), said(F.trim(F.regexp_extract("title", r"\s+[-|–—]\s+([^-|–—]+)$", 1)))
+    netloc = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1))
+    rows = with_host_publisher(rows, F.when(aggregator & ~F.contains(netloc, F.lit("google.")), netloc), hosts, "_by_host")
+    rows = rows.withColumns({"publisher": F.coalesce(own, F.when(aggregator, F.coalesce(suffix, "_by_host", F.lit("Unknown"))).otherwise(F.col("name"))), "discovered_via": F.when(aggregator, "Google News").otherwise(F.col("name"))})
+    other = (F.col("publisher") != F.col("name")) & (F.col("publisher") != "Unknown")
+    return rows.withColumn("source_authority", F.when(other, authority(F.col("publisher"))).otherwise(F.coalesce("authority_score", authority(F.col("publisher"))))).drop("_by_host")
+
+
+def entries(bronze: DataFrame, feeds: DataFrame, per_feed: int = PER_FEED, hosts: DataFrame | None = None) -> DataFrame:
     """Feed entries with publisher, canonical URL and excerpt, ``per_feed`` of each feed at most, in order of arrival (ord)."""
     rows = parsed(bronze).withColumn("n", F.row_number().over(Window.partitionBy("feed_id").orderBy("pos"))).where(F.col("n") <= per_feed)
     dim = feeds.select(F.col("id").alias("feed_id"), "name", "bucket", "source_type", "authority_score", F.col("url").alias("feed_url"))
-    rows = rows.join(F.broadcast(dim), "feed_id")
-    url = unwrapped(F.col("link"))
-    by_host = F.create_map(*(F.lit(x) for kv in PUBLISHER_HOSTS.items() for x in kv))
-    aggregator = (F.col("source_type") == "aggregator") | F.contains("feed_url", F.lit("google.com"))
-    suffix = F.nullif(F.trim(F.regexp_extract("title", r"\s[-–—]\s([^-–—]+)$", 1)), F.lit(""))
-    publisher = F.coalesce(F.when(~F.lower("item_source").like("%google%"), F.col("item_source")), F.when(aggregator, F.coalesce(suffix, by_host[F.regexp_replace(host(url), "^www\\.", "")], F.lit("Unknown"))).otherwise(F.col("name")))
+    rows = with_publisher(rows.join(dim, "feed_id"), hosts)
     return rows.select(
-        "feed_id", "pos", "title", F.col("link").alias("url"), canonical(F.col("link")).alias("canonical_url"), F.col("name").alias("source"), publisher.alias("publisher"), "bucket", "source_type",
-        F.col("authority_score").alias("source_authority"), "published_at", strip_html(F.col("summary")).alias("excerpt"), is_intermediary(url).alias("is_indirect"),
+        "feed_id", "pos", "title", F.col("link").alias("url"), canonical(F.col("link")).alias("canonical_url"), F.col("name").alias("source"), "publisher", "discovered_via", "bucket", "source_type",
+        "source_authority", "published_at", strip_html(F.col("summary")).alias("excerpt"), is_intermediary(unwrapped(F.col("link"))).alias("is_indirect"),
     )
 
 
