@@ -13,7 +13,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint in the shared folder (spark.checkpoint.dir; a local one only where unset)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.environ.setdefault("STORYLINE_CHECKPOINTS", tempfile.mkdtemp(prefix="storyline-")))
+        folder = context.getConf().get("spark.checkpoint.dir") or os.environ.get("STORYLINE_CHECKPOINTS")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.environ.setdefault("STORYLINE_CHECKPOINTS", tempfile.mkdtemp(prefix="storyline-")))
     return df.checkpoint(eager=True)
 
 

@@ -67,8 +67,10 @@ def conferences_in_order(rows: DataFrame, title: str = "title", start: str = "st
 
 def presentation_order(rows: DataFrame, chosen: DataFrame, key: str, rank: str, issue: str = "issue_date") -> DataFrame:
     """Adds ``position`` within each issue: chosen rows first, then the rest, each by rank."""
+    from storyline.sources.store import with_positions
+
     picked = rows.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(0)), key, "left")
-    return picked.withColumn("position", F.row_number().over(Window.partitionBy(issue).orderBy(F.coalesce("_chosen", F.lit(1)), rank)) - 1).drop("_chosen")
+    return with_positions(picked.withColumn("_chosen", F.coalesce("_chosen", F.lit(1))), [F.asc("_chosen"), F.asc(rank), F.asc(key)], issue).drop("_chosen")
 
 
 def facet_counts(rows: DataFrame, keys: Column, labels: list[str]) -> DataFrame:

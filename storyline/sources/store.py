@@ -1,35 +1,69 @@
-"""The issue store: Parquet tables in one folder, partitioned by issue date.
+"""The store: Parquet tables by issue date, keyed tables, and the runs of jobs.
 
 Writes of a day replace that day (dynamic partition overwrite), so a repeated run
-leaves one copy.  Small keyed tables (runs, settings) are rewritten whole under a
-new version folder; readers take the newest.
+leaves one copy; :mod:`storyline.sources.issues` has the tables that must appear together.
+Keyed tables (settings, sent marks) are written whole under a new folder, which the next
+commit of their log names: of two writers who read the same version one commits, the
+other reads again, so no row is lost or doubled.  Runs are a log of states for each job
+and day; the number of the commit that took a run is its token.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyline.operators.graph import checkpointed
+from storyline.sources.log import CommitLog
+
+#: Columns of an article: type, and what stands for null.
 ARTICLE_DEFAULTS = {
     "article_id": ("string", None),
     "url": ("string", ""),
     "canonical_url": ("string", None),
+    "original_url": ("string", None),
     "title": ("string", ""),
     "publisher": ("string", None),
     "source": ("string", ""),
+    "source_id": ("string", None),
+    "discovered_via": ("string", None),
     "source_type": ("string", "media"),
     "source_authority": ("int", 70),
     "category": ("string", "big"),
     "primary_category": ("string", None),
+    "secondary_categories": ("array<string>", []),
+    "topics": ("array<string>", []),
+    "entities": ("array<string>", []),
+    "tags": ("array<string>", []),
     "excerpt": ("string", ""),
     "content": ("string", ""),
+    "content_source_type": ("string", "fallback"),
+    "summary_ko": ("string", ""),
+    "summary_en": ("string", ""),
+    "why_it_matters_ko": ("string", ""),
+    "key_points": ("array<string>", []),
+    "summary_model": ("string", None),
+    "summary_version": ("string", None),
+    "summary_created_at": ("timestamp", None),
     "published_at": ("timestamp", None),
-    "priority_score": ("int", 0),
+    "collected_at": ("timestamp", None),
+    "score": ("double", 0.0),
+    "source_score": ("double", 0.0),
+    "relevance_score": ("double", 0.0),
+    "impact_score": ("double", 0.0),
+    "novelty_score": ("double", 0.0),
+    "recency_score": ("double", 0.0),
+    "priority_score": ("double", 0.0),
+    "event_id": ("string", None),
+    "event_title": ("string", None),
+    "related_article_ids": ("array<string>", []),
     "is_official": ("boolean", False),
+    "is_reference": ("boolean", False),
     "is_primary_source": ("boolean", False),
     "position": ("long", 0),
     "issue_date": ("date", None),
@@ -42,7 +76,8 @@ def conformed(rows: DataFrame, defaults: dict[str, tuple[str, object]] = ARTICLE
     columns = {}
     for name, (kind, default) in defaults.items():
         value = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
-        columns[name] = value if default is None else F.coalesce(value, F.lit(default).cast(kind))
+        fill = F.array() if isinstance(default, list) else F.lit(default)
+        columns[name] = value if default is None else F.coalesce(value, fill.cast(kind))
     return rows.select(*(c.alias(n) for n, c in columns.items()))
 
 
@@ -64,7 +99,7 @@ def normalised(articles: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables articles, events, event_articles and issues by date; runs and settings by key."""
+    """Tables by date, keyed tables, runs and settings."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -91,46 +126,73 @@ class Store:
     def latest_date(self):
         return self.read("articles").agg(F.max("issue_date")).first()[0]
 
-    def put(self, table: str, key: list[str], rows: DataFrame) -> None:
-        """Upserts keyed rows; the table stays small enough to be rewritten."""
-        after = merged(self.keyed(table), rows, key) if self.exists(table) else rows
-        version = 1 + (self.spark.read.parquet(self._path(table)).agg(F.max("version")).first()[0] or 0) if self.exists(table) else 1
-        after.drop("version").write.mode("append").partitionBy().parquet(f"{self._path(table)}/version={version}")
+    def _log(self, table: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self._path(table)}/log")
+
+    def put(self, table: str, key: list[str], rows: DataFrame) -> int:
+        """Upserts keyed rows (the table stays small enough to be rewritten); the number of the new version."""
+        log = self._log(table)
+        while True:
+            number, state = log.last()
+            after = merged(self.spark.read.parquet(state["data"]), rows, key) if state else rows
+            data = f"{self._path(table)}/{uuid.uuid4().hex}"
+            after.write.parquet(data)
+            if log.commit(number + 1, {"data": data}):
+                return number + 1
+
+    def has(self, table: str) -> bool:
+        """Whether a keyed table has a version."""
+        return bool(self._log(table).numbers())
 
     def keyed(self, table: str) -> DataFrame:
-        rows = self.spark.read.parquet(self._path(table))
-        return rows.where(F.col("version") == F.lit(rows.agg(F.max("version")).first()[0]))
-
-    def acquire(self, job: str, date: str, now: str, lease_minutes: int = LEASE_MINUTES) -> bool:
-        """Takes the run of a day unless it is done or another's lease holds."""
-        row = self.spark.createDataFrame([(job, date, "running", now, None)], "job string, run_date string, status string, started_at string, error string")
-        if self.exists("runs"):
-            held = self.keyed("runs").where((F.col("job") == job) & (F.col("run_date") == date))
-            fresh = F.col("started_at").cast("timestamp") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {lease_minutes} MINUTES")
-            if held.where((F.col("status") == "completed") | ((F.col("status") == "running") & fresh)).count():
-                return False
-        # of those who saw the same state one claims it: the file system creates a file once
-        state = held.select("status", "started_at").first() if self.exists("runs") else None
-        seen = "-".join(x for x in (state or ("first",)) if x)
-        if not self._claimed(f"{job}-{date}-{re.sub('[^A-Za-z0-9]+', '_', seen)}"):
+        return self.spark.read.parquet(self._log(table).last()[1]["data"])
+
+    def _run(self, job: str, date: str) -> CommitLog:
+        return self._log(f"runs/{job}/{date}")
+
+    def acquire(self, job: str, date: str, now: str, lease_minutes: int = LEASE_MINUTES) -> int:
+        """Takes the run of a day, unless it is done or another's lease holds: the token, else 0.
+
+        Taking it is one commit on top of the state that was looked at, so of those who saw
+        the same state one gets it, and one who dies afterwards leaves a lease that ends.
+        """
+        log = self._run(job, date)
+        number, state = log.last()
+        if state.get("status") == "completed":
+            return 0
+        if state.get("status") == "running" and _time(now) - _time(state["started_at"]) < dt.timedelta(minutes=lease_minutes):
+            return 0
+        taken = {"job": job, "run_date": date, "status": "running", "started_at": now, "finished_at": None, "metrics": "{}", "error": None, "token": number + 1}
+        return number + 1 if log.commit(number + 1, taken) else 0
+
+    def finish(self, job: str, date: str, now: str, token: int, error: str | None = None, metrics: dict | None = None) -> bool:
+        """Ends a run as completed, or as failed with an error; whether ``token`` still held it.
+
+        One whose lease ended and whose run another took can't end that one's.
+        """
+        log = self._run(job, date)
+        number, state = log.last()
+        if state.get("status") != "running" or state.get("token") != token:
             return False
-        self.put("runs", ["job", "run_date"], row)
-        return True
+        status = "failed" if error else "completed"
+        return log.commit(number + 1, state | {"status": status, "finished_at": now, "error": error, "metrics": json.dumps(metrics or {}, ensure_ascii=False)})
 
-    def _claimed(self, name: str) -> bool:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{name}")
-        return path.getFileSystem(conf).createNewFile(path)
+    def runs(self, job: str) -> DataFrame:
+        """The state of a job's runs, a row for each day."""
+        root = CommitLog(self.spark, self._path(f"runs/{job}"))
+        days = [x.getPath().getName() for x in root.fs.listStatus(root.root)] if root.fs.exists(root.root) else []
+        found = [(s["job"], s["run_date"], s["status"], s["started_at"], s["finished_at"], s["metrics"], s["error"]) for d in sorted(days) for s in [self._run(job, d).last()[1]] if s]
+        return self.spark.createDataFrame(found, "job string, run_date string, status string, started_at string, finished_at string, metrics string, error string")
 
     def completed(self, job: str, date: str) -> bool:
         """Whether a day's run is done, or its issue is there."""
-        if self.exists("runs") and self.keyed("runs").where((F.col("job") == job) & (F.col("run_date") == date) & (F.col("status") == "completed")).count():
+        if self._run(job, date).last()[1].get("status") == "completed":
             return True
         return self.exists("articles") and not self.issue("articles", date).isEmpty()
 
     def latest_run(self, job: str) -> DataFrame:
         """The run of a job that began last."""
-        return self.keyed("runs").where(F.col("job") == job).orderBy(F.desc("started_at")).limit(1)
+        return self.runs(job).orderBy(F.desc("started_at")).limit(1)
 
     def mark_sent(self, date: str, now: str) -> None:
         """Notes when a day's issue was sent; other issues stay as they are."""
@@ -143,12 +205,14 @@ class Store:
 
     def settings(self, key: str) -> dict:
         """The stored settings; empty if there are none."""
-        row = self.keyed("settings").where(F.col("key") == key).first() if self.exists("settings") else None
+        row = self.keyed("settings").where(F.col("key") == key).first() if self.has("settings") else None
         return json.loads(row["value"] or "{}") if row else {}
 
-    def finish(self, job: str, date: str, now: str, error: str | None = None) -> None:
-        state = "failed" if error else "completed"
-        self.put("runs", ["job", "run_date"], self.spark.createDataFrame([(job, date, state, now, error)], "job string, run_date string, status string, started_at string, error string"))
+
+def _time(value: str) -> dt.datetime:
+    """A time as ISO has it; without a zone it is UTC."""
+    at = dt.datetime.fromisoformat(value)
+    return at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)
 
 
 def merged(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -200,6 +264,20 @@ def latest_in_group(runs: DataFrame, by: list[str], time: str) -> DataFrame:
     return runs.groupBy(*by).agg(F.max_by(F.struct(*(c for c in runs.columns if c not in by)), time).alias("_last")).select(*by, "_last.*")
 
 
-def with_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``position`` from 0 within the issue date."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("issue_date").orderBy(*order)).cast(T.LongType()) - 1)
+def with_positions(rows: DataFrame, order: list[Column], by: str = "issue_date", name: str = "position") -> DataFrame:
+    """Adds ``position`` from 0 within the issue date.
+
+    Rows are dealt into ranges of (date, order), each sorted on its own; a row's position is its
+    place in its range plus the date's rows in the ranges before, from prefix sums of one
+    count for each range and date.  So a day of any size spreads over all tasks.  Rows that
+    tie in ``order`` share a range, in any order among them.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, F.col(by), *order).sortWithinPartitions(F.col(by), *order)
+    # ranges and places in them must not be dealt anew where a task is repeated
+    placed = checkpointed(dealt.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    counts = placed.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_in")).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("_by", "_in", "_first", F.coalesce(before, F.lit(0)).alias("_base"))
+    joined = placed.join(bases, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_in")))
+    return joined.withColumn(name, (F.col("_place") - F.col("_first") + F.col("_base")).cast(T.LongType())).drop("_range", "_place", "_by", "_in", "_first", "_base")

@@ -95,13 +95,13 @@ def test_store_keeps_states(spark, tmp_path):
     store.mark_sent("2024-01-02", "2024-01-02 08:00:00")
     store.mark_sent("2024-01-01", "2024-01-01 09:00:00")
     assert sorted(map(tuple, store.keyed("sent").select("issue_date", "sent_at").collect())) == [("2024-01-01", "2024-01-01 09:00:00"), ("2024-01-02", "2024-01-02 08:00:00")]
-    # another runner that saw the same state comes too late
-    assert store._claimed("daily-2024-01-03-first") and not store.acquire("daily", "2024-01-03", "2024-01-03 06:00:00")
-    assert store.acquire("daily", "2024-01-04", "2024-01-04 06:00:00")
-    store.finish("daily", "2024-01-04", "2024-01-04 06:05:00", error="boom")
-    assert not store.completed("daily", "2024-01-04") and store.acquire("daily", "2024-01-04", "2024-01-04 07:00:00")
-    store.finish("daily", "2024-01-04", "2024-01-04 07:05:00")
+    token = store.acquire("daily", "2024-01-04", "2024-01-04 06:00:00")
+    assert token and store.finish("daily", "2024-01-04", "2024-01-04 06:05:00", token, error="boom")
+    assert not store.completed("daily", "2024-01-04")
+    token = store.acquire("daily", "2024-01-04", "2024-01-04 07:00:00")
+    assert token and store.finish("daily", "2024-01-04", "2024-01-04 07:05:00", token, metrics={"feeds_ok": 3})
     assert store.completed("daily", "2024-01-04") and store.latest_run("daily").first()["status"] == "completed"
+    assert store.runs("daily").first()["metrics"] == '{"feeds_ok": 3}'
 
 
 def test_feed_subsets_and_problems(spark):
