@@ -77,3 +77,19 @@ def counts(rows: DataFrame, keys: Column, labels: list[str]) -> DataFrame:
     one = rows.agg(F.count("*").alias("all"), *flags)
     pairs = [F.struct(F.lit("all").alias("label"), F.col("all").alias("n")), *(F.struct(F.lit(k).alias("label"), F.col(f"n{i}").alias("n")) for i, k in enumerate(labels))]
     return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+def bundle(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """facet, label and n of several facets at once, and of all rows: one scan and one aggregation.
+
+    A facet is a string or an array of strings; a row counts once for each of its labels.
+    """
+    schema = rows.select(*(c.alias(k) for k, c in keys.items())).schema
+
+    def labelled(name: str, column: Column) -> Column:
+        labels = F.array_distinct(column) if schema[name].dataType.typeName() == "array" else F.array(column)
+        return F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.struct(F.lit(name).alias("facet"), x.alias("label")))
+
+    parts = [labelled(name, column) for name, column in keys.items()]
+    parts.append(F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("label"))))
+    return rows.select(F.explode(F.concat(*parts)).alias("x")).where("x.label is not null").groupBy("x.facet", "x.label").agg(F.count("*").alias("n"))

@@ -139,7 +139,7 @@ def test_events(spark):
 
 
 def test_candidates_lose_no_pair_that_scores(spark):
-    """Every pair of 0.60 or more by brute force is a candidate, undated rows and equal URLs included."""
+    """Every pair of 0.60 or more by brute force is a candidate, undated rows included; articles of one URL are linked with its first."""
     rows, lexicon = news.news(spark, SF), news.LEXICON
     rows = rows.where("doc_id < 90").withColumns(
         {
@@ -151,11 +151,30 @@ def test_candidates_lose_no_pair_that_scores(spark):
     featured = dedupe.checkpointed(similarity.with_features(rows, lexicon).drop("excerpt", "content"))
     l, r = featured.alias("l"), featured.alias("r")
     every = l.join(r, F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"), similarity.likeness("l", "r").alias("similarity"))
-    expected = {tuple(x) for x in every.where("similarity >= 0.6").collect()}
+    url = {r["id"]: r["url"] for r in featured.select("id", "url").collect()}
+    first = {}
+    for i in sorted(url):
+        first.setdefault(url[i], i)
+    expected = {tuple(x) for x in every.where("similarity >= 0.6").collect() if {first[url[x["left"]]], first[url[x["right"]]]} == {x["left"], x["right"]}}
+    expected |= {(first[u], i, 1.0) for i, u in url.items() if i != first[u]}
     found = {tuple(x) for x in similarity.scored_pairs(featured).where("similarity >= 0.6").collect()}
     assert len(expected) > 10 and found == expected
 
 
+def test_articles_of_one_url_are_a_star(spark):
+    """n articles of one URL have n - 1 links, and each is in the event of their best."""
+    from storyline.operators import events
+
+    rows, lexicon = news.news(spark, SF), news.LEXICON
+    rows = rows.where("doc_id < 120").withColumns({"id": F.col("doc_id"), "position": F.col("doc_id"), "priority_score": F.pmod(F.col("doc_id") * 7, F.lit(101)), "topics": F.array().cast("array<string>")})
+    rows = rows.withColumn("canonical_url", F.when(F.col("id") < 100, "https://e.org/one").otherwise(F.concat(F.lit("https://e.org/"), F.col("id").cast("string")))).withColumn("url", F.col("canonical_url"))
+    featured = dedupe.checkpointed(similarity.with_features(rows.withColumn("title", F.lit("Ford recalls trucks over airbag inflator defect")), lexicon))
+    pairs = dedupe.checkpointed(similarity.scored_pairs(featured))
+    assert pairs.where("left < 100 and right < 100").count() == 99 and pairs.count() <= 99 + 21 * 20 / 2
+    members = {r["id"]: r["primary_id"] for r in events.clusters(featured, pairs).collect()}
+    assert sorted(members) == list(range(120)) and len({members[i] for i in range(100)}) == 1
+
+
 def test_events_of_all_documents(spark):
     """Every pair of documents that is alike is found, and every document is in one event."""
     from storyline.operators import similarity
@@ -186,7 +205,7 @@ def test_whole_texts_are_matched(spark, tmp_path):
     assert {r["entity_id"]: r["n"] for r in catalogue.queries()["entity_groups_whole"](spark, str(tmp_path)).collect()} == {"the": 1}
     points = scores["priority_score"] // 10
     assert f"Score: {points} /" in catalogue.briefing_mail(spark, str(tmp_path)).first()["text"]
-    assert catalogue.article_scores(spark, str(tmp_path)).where("doc_id = 0").first()["priority_score"] // 10 != points
+    assert catalogue.article_scores(spark, str(tmp_path)).where("doc_id = 0").first()["priority_score"] // 10 == points
 
 
 def test_flagship_is_the_whole_briefing(spark, tmp_path):
@@ -233,7 +252,7 @@ def test_feeds(spark):
 
 
 def test_page_text():
-    html = "<html><body><nav>Menu</nav><article><p>A paragraph that is long enough to be kept.</p><p>Short</p><p>Please subscribe to our newsletter today</p></article></body></html>"
+    html = "<html><body><nav>Menu</nav><article><p>A paragraph that is long enough to be kept.</p><p>Short</p><p>Subscribe to read the rest of this article</p></article></body></html>"
     assert pages.extract(html) == "A paragraph that is long enough to be kept."
     assert pages.extract(None) == ""
 
@@ -248,8 +267,8 @@ def test_store_replaces_days_and_leases_runs(spark, tmp_path):
     assert str(store.latest_date()) == "2024-01-02"
     assert store.acquire("daily", "2024-01-01", "2024-01-01 06:00:00")
     assert not store.acquire("daily", "2024-01-01", "2024-01-01 06:10:00")
-    assert store.acquire("daily", "2024-01-01", "2024-01-01 06:45:00")
-    store.finish("daily", "2024-01-01", "2024-01-01 06:50:00")
+    token = store.acquire("daily", "2024-01-01", "2024-01-01 06:45:00")
+    assert token and store.finish("daily", "2024-01-01", "2024-01-01 06:50:00", token)
     assert not store.acquire("daily", "2024-01-01", "2024-01-01 09:00:00")
 
 
