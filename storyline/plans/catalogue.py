@@ -58,19 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as articles: the first line is the title, the first 420 characters (or the whole text) the excerpt, ids are minutes."""
+    """Documents as articles: the first line is the title, the whole text the excerpt, ids are minutes."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id"),
         F.substring(F.split("text", "\n")[0], 1, 240).alias("title"),
-        F.col("text").alias("excerpt") if whole else F.substring("text", 1, 420).alias("excerpt"),
+        F.col("text").alias("excerpt"),
         "lang",
         "source",
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("published_at"),
     )
 
 
-A = "WITH a AS (SELECT doc_id, substring(string_split(text, chr(10))[1], 1, 240) AS title, substring(text, 1, 420) AS excerpt, lang, source, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS published_at FROM documents)"
+A = "WITH a AS (SELECT doc_id, substring(string_split(text, chr(10))[1], 1, 240) AS title, text AS excerpt, lang, source, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS published_at FROM documents)"
 MARKS = r"regexp_replace(regexp_replace(title, '^\s*\[[^\]]*\]|【[^】]*】|\([^)]*\)', ' ', 'g'), '\s*[-|–—]\s*[^-|–—]+$', '')"
 KEY = f"regexp_replace(lower({MARKS}), '[^a-z0-9가-힣]+', '', 'g')"
 STOP = ", ".join(f"'{w}'" for w in [*T.V.STOP_WORDS, *T.TITLE_EXTRA_STOP_WORDS])
@@ -556,26 +556,34 @@ def event_coverage(spark, sf_dir):
     return presentation.coverage(found)
 
 
-FEEDS = [("wire", "Wire", "big", "https://wire.org/rss", "news_agency", 95, "us", "en", True, "media"), ("blatt", "Blatt", "oem", "https://blatt.de/atom", "media", 85, "eu", "de", True, "media"), ("dead", "Dead", "big", "https://dead.org/rss", "media", 80, "us", "en", True, "media")]
-PAYLOADS = [
-    ("wire", "<rss version='2.0'><channel><title>Wire</title><item><title>One</title><link>https://e.org/1?utm_source=x</link><description>Text</description><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>", 200, None),
-    ("blatt", "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Eins</title><link href='https://e.de/1'/><updated>2024-01-01T10:00:00Z</updated></entry></feed>", 200, None),
-    ("dead", None, 404, None),
-]
+FEED_TEXT = r"trim(regexp_replace(string_split(text, chr(10))[1], '[\x00-\x1F]', ' ', 'g'))"
 
 
-def _bronze(spark) -> DataFrame:
-    return spark.createDataFrame(PAYLOADS, "feed_id string, payload string, status int, error string")
+def _bronze(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Payloads and feeds of documents: each is a feed with its first line as an item; some payloads are cut short, some weren't found."""
+    docs = table(spark, sf_dir, "documents")
+    name, i = F.concat(F.lit("f"), F.col("doc_id").cast("string")), F.col("doc_id")
+    title = presentation.escaped(F.regexp_replace(F.split("text", "\n")[0], "[\\x00-\\x1F]", " "))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://e.org/"), i.cast("string"), F.lit("?utm_source=x</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item>"))
+    whole = F.concat(F.lit('<rss version="2.0"><channel><title>T</title>'), item, F.lit("<item><title></title><link>https://e.org/x</link></item></channel></rss>"))
+    payload = F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, F.lit('<rss version="2.0"><channel><ti')).otherwise(whole)
+    bronze = docs.select(name.alias("feed_id"), payload.alias("payload"), F.when(i % 11 == 0, 404).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error"))
+    dim = docs.select(
+        name.alias("id"), F.concat(F.lit("Feed "), i.cast("string")).alias("name"), F.lit("big").alias("bucket"), F.lit("https://e.org/rss").alias("url"), F.lit("media").alias("source_type"), F.lit(80).alias("authority_score"), F.lit("rss").alias("discovery_method"),
+    )
+    return bronze, dim
 
 
-@query("""SELECT * FROM (VALUES ('wire', 'One', 'https://e.org/1', 'Wire', TIMESTAMP '2024-01-01 10:00:00'), ('blatt', 'Eins', 'https://e.de/1', 'Blatt', NULL)) AS t(feed_id, title, canonical_url, publisher, published_at)""")
+@query(f"SELECT 'f' || doc_id AS feed_id, {FEED_TEXT} AS title, 'https://e.org/' || doc_id AS canonical_url, 'Feed ' || doc_id AS publisher, TIMESTAMP '2024-01-01 10:00:00' AS published_at FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND {FEED_TEXT} <> ''")
 def feed_entries(spark, sf_dir):
-    return feeds.entries(_bronze(spark), feeds.catalogue(spark, FEEDS)).select("feed_id", "title", "canonical_url", "publisher", "published_at")
+    return feeds.entries(*_bronze(spark, sf_dir)).select("feed_id", "title", "canonical_url", "publisher", "published_at")
 
 
-@query("SELECT * FROM (VALUES ('wire', true, 1, 'ok'), ('blatt', true, 1, 'ok'), ('dead', false, 0, 'HTTP 404')) AS t(feed_id, ok, n_entries, diagnosis)")
+@query(f"""WITH f AS (SELECT doc_id, doc_id % 11 = 0 AS lost, doc_id % 7 = 0 AS cut, coalesce({FEED_TEXT}, '') <> '' AS titled FROM documents)
+SELECT 'f' || doc_id AS feed_id, NOT lost AND NOT cut AS ok, CAST(CASE WHEN lost OR cut OR NOT titled THEN 0 ELSE 1 END AS BIGINT) AS n_entries,
+  CASE WHEN lost THEN 'HTTP 404' WHEN cut THEN 'malformed' WHEN NOT titled THEN 'empty' ELSE 'ok' END AS diagnosis FROM f""")
 def feed_health(spark, sf_dir):
-    return feeds.health(_bronze(spark), feeds.catalogue(spark, FEEDS)).select("feed_id", "ok", "n_entries", "diagnosis")
+    return feeds.health(*_bronze(spark, sf_dir)).select("feed_id", "ok", "n_entries", "diagnosis")
 
 
 @query(SCORE_SQL + " SELECT doc_id, title, level, priority_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY priority_score DESC, published_at DESC, doc_id) AS INT) AS rank FROM g) WHERE rank <= 5")

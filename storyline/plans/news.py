@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyline.functions import attribution as A
 from storyline.functions import entities as E
 from storyline.functions import facets
 from storyline.functions import features as X
@@ -112,11 +113,11 @@ def word_sql(low: str, words: list[str]) -> str:
 
 def alias_sql(text: str, alias: str) -> str:
     found = word_sql(f"lower({text})", [alias])
-    if alias not in E.FOR_BRAND:
+    if alias not in E.BRAND_PATTERNS:
         return found
     low = f"lower({text} || ' ' || {text})"
     upper = f"regexp_matches({text}, {s(chr(92) + 'b' + re.escape(alias.upper()) + chr(92) + 'b')})" if alias in V.UPPERCASE_ALIASES else "true"
-    return f"({found} AND CASE WHEN regexp_matches({low}, {s(E.FOR_BRAND[alias])}) THEN true WHEN regexp_matches({low}, {s(E.AGAINST_BRAND[alias])}) THEN false ELSE {upper} END)"
+    return f"({found} AND CASE WHEN regexp_matches({low}, {s(E.brand_pattern(alias, "for"))}) THEN true WHEN regexp_matches({low}, {s(E.brand_pattern(alias, "against"))}) THEN false ELSE {upper} END)"
 
 
 def ids_sql(text: str, aliases: list[tuple[str, str]]) -> str:
@@ -212,6 +213,88 @@ def source_facets(spark, sf_dir):
     return facets.counts(rows, F.col("keys"), V.SOURCE_FACETS)
 
 
+# --- index bundle ------------------------------------------------------------------------------------
+
+BUNDLE_SQL = f"""{N}, r AS (SELECT *, lower(title || ' ' || excerpt || ' ' || array_to_string(tags, ' ')) AS low, {FACET_SQL} AS kind FROM n)
+SELECT 'kind' AS facet, kind AS label, count(*) AS n FROM r GROUP BY kind
+UNION ALL SELECT 'section', category, count(*) FROM r GROUP BY category
+""" + " ".join(f"UNION ALL SELECT 'topic', {s(k)}, count(*) FROM r WHERE {' OR '.join(f'contains(low, {s(x)})' for x in v)} HAVING count(*) > 0" for k, v in V.TOPIC_TERMS.items())
+
+
+@query(BUNDLE_SQL + " UNION ALL SELECT 'all', 'all', count(*) FROM r HAVING count(*) > 0")
+def news_index_bundle(spark, sf_dir):
+    """Counts by kind of source, section and topic, and of all, in one scan."""
+    low = F.lower(F.concat_ws(" ", "title", "excerpt", F.array_join("tags", " ")))
+    rows = news(spark, sf_dir).select(facets.source_facet(F.col("source_type"), F.col("is_official")).alias("kind"), F.col("category").alias("section"), facets.topic_keys(low).alias("topics"))
+    return facets.bundle(rows, {"kind": F.col("kind"), "section": F.col("section"), "topic": F.col("topics")})
+
+
+# --- attribution of sources --------------------------------------------------------------------------
+
+SAID = ["", "via Reuters", "(AFP) reports", "according to Automotive News", "courtesy of  Bloomberg", "written by AP,", "Evia Reuters", "(yonhap)", "VIA yonhap", "reported by dow jones", "from associated press", "byreuters"]
+NAMED = [*PUBLISHERS, "reuters", "yna", "WSJ Pro", "Thomson Reuters", "", "EPA", "Financial Times", "electrive", "The FTC Blog", " AP News "]
+VIA = ["", "Reuters", "Google News", "AP", "Wire"]
+HOST_HEADS = ["", "www.", "m.", "not", "news.example."]
+HOST_TAILS = [*A.PUBLISHER_HOSTS, "example.org", "reuters.com.evil.example", "co.kr"]
+
+
+def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles with publishers of many names and credits in their texts."""
+    i, rows = F.col("doc_id"), news(spark, sf_dir)
+    return rows.withColumns(
+        {
+            "id": i, "position": i, "priority_score": (i % 101).cast("int"), "publisher": picked(NAMED, F.floor(i / 2)), "discovered_via": picked(VIA, F.floor(i / 3)),
+            "content": F.concat("excerpt", F.lit(" via Bloomberg")), "excerpt": F.concat(picked(SAID, i), F.lit(" "), F.col("excerpt")),
+        }
+    )
+
+
+CANON = "(VALUES " + ", ".join(f"({s(k)}, {s(v)})" for k, v in A.PUBLISHERS.items()) + ")"
+WIRE = "coalesce(" + ", ".join(f"nullif(lower(trim(regexp_extract(said, {s('(?i)' + p)}, 1))), '')" for p in A.CREDITS) + ")"
+ORIGIN_SQL = f"""{N}, w AS (
+  SELECT *, title || ' ' || {pick(SAID, "doc_id")} || ' ' || excerpt || ' ' || substring(excerpt || ' via Bloomberg', 1, 500) AS said,
+         trim(coalesce(nullif({pick(NAMED, "doc_id // 2")}, ''), nullif(source, ''), 'Unknown')) AS own, {pick(VIA, "doc_id // 3")} AS discovered, doc_id % 101 AS priority FROM n
+), x AS (SELECT *, {WIRE} AS wire, CASE WHEN contains(lower(discovered), 'reuters') OR contains(lower(discovered), 'bloomberg') OR contains(lower(discovered), 'ap') THEN discovered END AS via FROM w),
+o AS (
+  SELECT x.*, coalesce(c.canonical, upper(wire[1]) || wire[2:], via, own) AS origin FROM x LEFT JOIN {CANON} c(key, canonical) ON c.key = coalesce(wire, lower(via), lower(own))
+)"""
+
+
+@query(ORIGIN_SQL + " SELECT doc_id, origin FROM o")
+def news_origins(spark, sf_dir):
+    return A.with_origin(attributed(spark, sf_dir)).select("doc_id", "origin")
+
+
+def _any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {s(w)})" for w in words) + ")"
+
+
+@query(f"""{ORIGIN_SQL}, m AS (SELECT *, min(doc_id) OVER (PARTITION BY doc_id // 5) AS p, source_type IN ('official', 'press_release') OR is_official AS off FROM o),
+f AS (SELECT *, min(CASE WHEN off THEN doc_id END) OVER (PARTITION BY p) AS first_off FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY CASE WHEN doc_id = p THEN 0 WHEN doc_id = first_off THEN 1 ELSE 2 END, doc_id) AS place FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY p, lower(own) ORDER BY place) AS again FROM g)
+SELECT p AS primary_id, CAST(count(*) AS INT) AS source_count, CAST(least(count(*), count(DISTINCT lower(origin))) AS INT) AS independent_sources, bool_or(off) AS has_official,
+  bool_or(source_type = 'regulator' OR {_any("lower(own)", A.REGULATORS)}) AS has_regulator, bool_or({_any("lower(own)", A.MAJOR_MEDIA)}) AS has_major_media,
+  max(CASE WHEN doc_id = first_off THEN url END) AS official_url, max(CASE WHEN doc_id = first_off THEN own END) AS official_name, max(CASE WHEN doc_id = p THEN own END) AS reference_name,
+  CAST(max(priority) AS INT) AS importance, string_agg(own, '|' ORDER BY place) FILTER (WHERE again = 1) AS related_sources
+FROM h GROUP BY p""")
+def news_agreement(spark, sf_dir):
+    """Agreement of sources: every five documents are an event, whose first is primary."""
+    rows = attributed(spark, sf_dir)
+    first = rows.groupBy(F.floor(F.col("doc_id") / 5).alias("g")).agg(F.min("doc_id").alias("primary_id"))
+    members = rows.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 5).alias("g")).join(first, "g").select("id", "primary_id", F.lit(1.0).alias("similarity"))
+    found = events.events(rows, members).withColumn("related_sources", F.array_join("related_sources", "|"))
+    return found.select("primary_id", "source_count", "independent_sources", "has_official", "has_regulator", "has_major_media", "official_url", "official_name", "reference_name", "importance", "related_sources")
+
+
+@query(f"""WITH h AS (SELECT page_id, {pick(HOST_HEADS, "page_id")} || {pick(HOST_TAILS, "page_id // 5")} AS host FROM pages)
+SELECT page_id, CASE {" ".join(f"WHEN ends_with(host, {s(k)}) THEN {s(v)}" for k, v in A.PUBLISHER_HOSTS.items())} END AS publisher FROM h""")
+def host_publishers(spark, sf_dir):
+    i = F.col("page_id")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(picked(HOST_HEADS, i), picked(HOST_TAILS, F.floor(i / 5))).alias("host"))
+    return A.with_host_publisher(pages, F.col("host"), name="publisher").select("page_id", "publisher")
+
+
 # --- entities, topics, categories --------------------------------------------------------------------------
 
 _EVERY, _OTHERS = E.aliases_by_length(LEXICON), E.aliases_by_length(LEXICON, tuple(V.MEDIA_ENTITIES))
@@ -431,7 +514,7 @@ def _theme_sql(terms: list[str]) -> str:
     return "|".join(rf"(^|[^{LETTER[1:]})" + re.escape(t) + (rf"([^{LETTER[1:]}|$)" if t in V.ACRONYMS else "") for t in terms)
 
 
-@query(f"{N}, l AS (SELECT doc_id, lower(title || ' ' || excerpt) AS low FROM n) SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {s(_theme_sql(v))}) THEN {s(k)} END" for k, v in V.THEMES.items()) + "], lambda x: x IS NOT NULL)), ',') AS themes, array_to_string(CASE WHEN regexp_matches(low, " + s(bordered(V.RECALL)) + ") THEN list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {s('|'.join(map(re.escape, v)))}) THEN {s(k)} END" for k, v in V.DEFECTS.items()) + "], lambda x: x IS NOT NULL)) ELSE []::VARCHAR[] END, ',') AS defects FROM l")
+@query(f"{N}, l AS (SELECT doc_id, lower(title || ' ' || excerpt) AS low FROM n) SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {s(_theme_sql(v))}) THEN {s(k)} END" for k, v in V.THEMES.items()) + "], lambda x: x IS NOT NULL)), ',') AS themes, array_to_string(CASE WHEN regexp_matches(low, " + s("|".join(map(bordered, V.RECALL_PATTERNS))) + ") THEN list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {s('|'.join(map(re.escape, v)))}) THEN {s(k)} END" for k, v in V.DEFECTS.items()) + "], lambda x: x IS NOT NULL)) ELSE []::VARCHAR[] END, ',') AS defects FROM l")
 def news_themes(spark, sf_dir):
     text = F.concat_ws(" ", "title", "excerpt")
     return news(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(X.themes(text)), ",").alias("themes"), F.array_join(F.array_sort(X.defects(text)), ",").alias("defects"))
