@@ -743,5 +743,5 @@ def test_pipeline_stages_of_empty_tables_and_repeated_ids(spark, tmp_path):
 
 def test_registered_queries():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
