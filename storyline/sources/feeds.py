@@ -1,4 +1,4 @@
-"""Feeds: catalogue, XML parsing of RSS 2.0 and Atom, dates, publishers, health.
+"""Feeds: catalogue, XML parsing of RSS 2.0, RDF and Atom, dates, publishers, health, warnings.
 
 Fetching is outside the engine: payloads land in a bronze table (feed_id, payload,
 status, error) or folder of files, and everything from there on is a DataFrame.
@@ -6,19 +6,20 @@ status, error) or folder of files, and everything from there on is a DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.functions.attribution import with_host_publisher
 from storyline.functions.sources import authority
-from storyline.functions.text import slug, strip_html
+from storyline.functions.text import clean_text, slug, strip_html
 from storyline.functions.urls import canonical, is_intermediary, unwrapped
 
 FEED = "id string, name string, bucket string, url string, source_type string, authority_score int, region string, language string, enabled boolean, catalog_group string, discovery_method string"
-_ITEM = "title string, link string, description string, pubDate string, source string"
-_ENTRY = "title string, link array<struct<_href string, _rel string>>, id string, updated string, published string, summary string"
-RSS = f"channel struct<title string, item array<struct<{_ITEM.replace(' string', ': string')}>>>"
-ATOM = "title string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, updated: string, published: string, summary: string>>"
+_ITEM = "title: string, link: string, guid: struct<_VALUE: string, _isPermaLink: string>, description: string, `content:encoded`: string, pubDate: string, `dc:date`: string, source: string"
+_ENTRY = "title: string, link: array<struct<_href: string, _rel: string>>, updated: string, published: string, summary: string, content: string"
+#: One schema for all kinds: RSS has its items in the channel, RDF beside it, Atom has entries; a payload that isn't XML stands in ``_corrupt``.
+FEED_XML = f"channel struct<title: string, item: array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, entry array<struct<{_ENTRY}>>, _corrupt string"
+FEED_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 PER_FEED = 12
 
 # Names that aren't a publisher's.
@@ -109,21 +110,45 @@ def rfc822(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(bare, r"^(\d) ", "0$1 "), F.lit("dd MMM yyyy HH:mm:ss xx"))
 
 
-def parsed(bronze: DataFrame) -> DataFrame:
+def _items(x: Column) -> Column:
+    """Items of a parsed payload in order: title, link, summary, date, item_source."""
+    first = lambda *cs: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))
+    # a guid is a link unless it says that it isn't
+    guid = lambda e: F.when(F.lower(F.coalesce(e["guid"]["_isPermaLink"], F.lit("true"))) != "false", e["guid"]["_VALUE"])
+    # the first link to the page itself, else the first
+    href = lambda e: F.coalesce(F.get(F.filter(e["link"], lambda h: F.coalesce(h["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get(e["link"], F.lit(0)))["_href"]
+    made = lambda title, link, summary, date, source: F.struct(title.alias("title"), link.alias("link"), summary.alias("summary"), date.alias("date"), source.alias("item_source"))
+    rss = lambda e: made(e["title"], first(e["link"], guid(e)), first(e["description"], e["content:encoded"]), F.coalesce(e["pubDate"], e["dc:date"]), e["source"])
+    atom = lambda e: made(e["title"], href(e), first(e["summary"], e["content"]), F.coalesce(e["published"], e["updated"]), F.lit(None).cast("string"))
+    parts = [F.transform(x["channel"]["item"], rss), F.transform(x["item"], rss), F.transform(x["entry"], atom)]
+    return F.concat(*(F.coalesce(p, F.array().cast("array<struct<title:string,link:string,summary:string,date:string,item_source:string>>")) for p in parts))
+
+
+def read(bronze: DataFrame) -> DataFrame:
+    """``bronze`` (feed_id, payload, more) with ``well_formed`` and ``items``, parsed once.
+
+    RSS, RDF and Atom are read by one schema, with the namespaced fields of their items.
+    Of a payload that isn't well-formed (cut short, a bare ``&``) the items that are whole and well-formed
+    count nonetheless: each is parsed on its own, with the namespaces that the feed declares.  No payload, no items.
+    """
+    rows = bronze.withColumn("_x", F.from_xml("payload", FEED_XML, FEED_OPTIONS))
+    rows = rows.withColumn("well_formed", F.col("payload").isNotNull() & F.col("_x").isNotNull() & F.col("_x._corrupt").isNull())
+    declared = F.array_join(F.array_distinct(F.regexp_extract_all("payload", F.lit(r"""xmlns:\w+=(?:"[^"]*"|'[^']*')"""), F.lit(0))), " ")
+    pieces = F.when(~F.col("well_formed"), F.regexp_extract_all("payload", F.lit(r"(?s)<(item|entry)[\s>].*?</\1>"), F.lit(0)))
+    whole = lambda piece: F.from_xml(F.concat(F.lit("<x "), declared, F.lit(">"), piece, F.lit("</x>")), FEED_XML, FEED_OPTIONS)
+    saved = F.flatten(F.transform(pieces, lambda piece: _items(whole(piece))))
+    return rows.withColumn("items", F.coalesce(F.when(F.col("well_formed"), _items(F.col("_x"))).otherwise(saved), F.array())).drop("_x")
+
+
+def parsed(bronze: DataFrame, per_feed: int | None = None) -> DataFrame:
     """Entries of payloads (feed_id, payload): title, link, summary, published_at, item_source, pos.
 
-    Items without a title or link are left out.
+    Items without a title or link are left out; ``per_feed`` limits what is looked at of each
+    feed, these items included.
     """
-    rss = F.from_xml("payload", RSS, {"mode": "PERMISSIVE"}).alias("x")
-    atom = F.from_xml("payload", ATOM, {"mode": "PERMISSIVE"}).alias("x")
-    is_atom = F.col("payload").rlike(r"<feed[\s>]")
-    items = bronze.where(~is_atom).select("feed_id", rss).select("feed_id", F.posexplode("x.channel.item").alias("pos", "e"))
-    entries = bronze.where(is_atom).select("feed_id", atom).select("feed_id", F.posexplode("x.entry").alias("pos", "e"))
-    left = items.select("feed_id", "pos", "e.title", "e.link", F.col("e.description").alias("summary"), rfc822(F.col("e.pubDate")).alias("published_at"), F.col("e.source").alias("item_source"))
-    right = entries.select(
-        "feed_id", "pos", "e.title", F.get("e.link", F.lit(0))["_href"].alias("link"), "e.summary", rfc822(F.coalesce("e.published", "e.updated")).alias("published_at"), F.lit(None).cast("string").alias("item_source")
-    )
-    return left.unionByName(right).where("coalesce(title, '') <> '' and coalesce(link, '') <> ''")
+    items = F.col("items") if per_feed is None else F.slice("items", 1, per_feed)
+    rows = read(bronze).select("feed_id", F.posexplode(items).alias("pos", "e"))
+    return rows.select("feed_id", "pos", "e.title", "e.link", "e.summary", rfc822(F.col("e.date")).alias("published_at"), "e.item_source").where("coalesce(title, '') <> '' and coalesce(link, '') <> ''")
 
 
 def with_publisher(rows: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
@@ -145,8 +170,8 @@ def with_publisher(rows: DataFrame, hosts: DataFrame | None = None) -> DataFrame
 
 
 def entries(bronze: DataFrame, feeds: DataFrame, per_feed: int = PER_FEED, hosts: DataFrame | None = None) -> DataFrame:
-    """Feed entries with publisher, canonical URL and excerpt, ``per_feed`` of each feed at most, in order of arrival (ord)."""
-    rows = parsed(bronze).withColumn("n", F.row_number().over(Window.partitionBy("feed_id").orderBy("pos"))).where(F.col("n") <= per_feed)
+    """Feed entries with publisher, canonical URL and excerpt, of the first ``per_feed`` items of each feed."""
+    rows = parsed(bronze, per_feed)
     dim = feeds.select(F.col("id").alias("feed_id"), "name", "bucket", "source_type", "authority_score", F.col("url").alias("feed_url"))
     rows = with_publisher(rows.join(dim, "feed_id"), hosts)
     return rows.select(
@@ -157,14 +182,14 @@ def entries(bronze: DataFrame, feeds: DataFrame, per_feed: int = PER_FEED, hosts
 
 def health(bronze: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row for each feed: ok, status, number of entries, diagnosis.  Malformed payloads without entries fail; well-formed empty ones are ok."""
-    counts = parsed(bronze).groupBy("feed_id").agg(F.count("*").alias("n_entries"))
-    fetched = bronze.select("feed_id", "status", "error", F.col("payload").rlike(r"(?s)<(rss|feed|rdf:RDF)[\s>].*</(rss|feed|rdf:RDF)>\s*$").alias("well_formed"))
+    usable = lambda e: (F.coalesce(e["title"], F.lit("")) != "") & (F.coalesce(e["link"], F.lit("")) != "")
+    fetched = read(bronze).select("feed_id", "status", "error", "well_formed", F.size("items").alias("n_items"), F.size(F.filter("items", usable)).cast("long").alias("n_entries"))
     manual = F.coalesce(F.col("discovery_method") == "manual_web", F.lit(False))
-    rows = feeds.select(F.col("id").alias("feed_id"), "name", manual.alias("_manual")).join(fetched, "feed_id", "left").join(counts, "feed_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
+    rows = feeds.select(F.col("id").alias("feed_id"), "name", manual.alias("_manual")).join(fetched, "feed_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
     # pages that people read need only answer
     answered = F.col("error").isNull() & F.coalesce(F.col("status") < 400, F.lit(False))
     rows = rows.withColumn("n_entries", F.when(F.col("_manual"), 0).otherwise(F.col("n_entries")))
-    ok = F.when(F.col("_manual"), answered).otherwise(F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False)) & (F.coalesce("well_formed", F.lit(False)) | (F.col("n_entries") > 0)))
+    ok = F.when(F.col("_manual"), answered).otherwise(F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False)) & (F.coalesce("well_formed", F.lit(False)) | (F.coalesce("n_items", F.lit(0)) > 0)))
     said = (
         F.when(F.col("status").isNull() & F.col("error").isNull(), "not fetched")
         .when(F.col("error").isNotNull(), F.col("error"))
@@ -175,3 +200,15 @@ def health(bronze: DataFrame, feeds: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return rows.select("feed_id", "name", ok.alias("ok"), "status", "n_entries", said.alias("diagnosis"))
+
+
+# What the warnings of a collection say.
+PARSE_FAILED, NO_PUBLISHER_FOUND = "피드 파싱 실패", "출처(publisher) 식별 실패"
+
+
+def warnings(bronze: DataFrame, feeds: DataFrame, found: DataFrame) -> DataFrame:
+    """feed_id and warning: of feeds that failed, and of items in ``found`` (:func:`entries`) whose publisher isn't known."""
+    failed = health(bronze, feeds).where(~F.col("ok") & (F.col("diagnosis") != "not fetched"))
+    why = F.when(F.col("diagnosis") == "malformed", F.lit(PARSE_FAILED)).otherwise(F.col("diagnosis"))
+    lost = found.where("publisher = 'Unknown'")
+    return failed.select("feed_id", F.concat("name", F.lit(": "), why).alias("warning")).unionByName(lost.select("feed_id", F.concat("source", F.lit(f": {NO_PUBLISHER_FOUND} - "), clean_text(F.col("title"), 60)).alias("warning")))
