@@ -546,8 +546,9 @@ def event_clusters(spark, sf_dir):
 @query()
 def event_coherence(spark, sf_dir):
     rows = _featured(spark, sf_dir)
-    members = dedupe.checkpointed(events.clusters(rows, similarity.scored_pairs(rows)))
-    return events.coherence(rows, members).select("primary_id", "n", "least", "mean", "common_entities", "common_themes", "doubts")
+    pairs = dedupe.checkpointed(similarity.scored_pairs(rows))
+    members = dedupe.checkpointed(events.clusters(rows, pairs))
+    return events.coherence(rows, members, pairs).select("primary_id", "n", "least", "mean", "common_entities", "common_themes", "weak_members", "incompatible_pairs", "doubts")
 
 
 @query()
