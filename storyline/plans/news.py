@@ -19,7 +19,7 @@ from storyline.functions import facets
 from storyline.functions import features as X
 from storyline.functions import fixed_values as V
 from storyline.operators import events, scoring, select, taxonomy
-from storyline.plans import display, presentation
+from storyline.plans import display, presentation, view
 from storyline.sources import feeds, rules, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,3 +607,22 @@ def feed_subsets(spark, sf_dir):
     )
     both = feeds.daily(rows).withColumn("subset", F.lit("daily")).unionByName(feeds.extra(rows).withColumn("subset", F.lit("extra")))
     return both.groupBy("subset", "catalog_group").agg(F.count("*").alias("n"), F.count_if("enabled").alias("enabled"))
+
+
+# --- the view of an article ------------------------------------------------------------------------------------------------
+
+_NOT_TECHNICAL = "list_filter(tags, lambda t: NOT starts_with(t, 'event_start:') AND NOT starts_with(t, 'event_end:'))"
+_NAMED = {lang: by_sql("primary_category", {k: v[i] for k, v in view.CATEGORY_NAMES.items()}, "upper(primary_category)") for i, lang in enumerate(("ko", "en"))}
+
+
+@query(f"""{NEWS_SCORES}, c0 AS (SELECT *, {_CLEAN} AS t, {_NOT_TECHNICAL} AS vt, {_WHY[0]} AS ko, {_WHY[1]} AS en FROM x), c AS (SELECT *, lower(t || ' ' || excerpt || '  ' || array_to_string(tags, ' ')) AS h FROM c0)
+SELECT doc_id, t AS title_en, CASE WHEN regexp_matches(t, '[가-힣]') AND (category = 'conference' OR length(t) <= 90) THEN t ELSE {_SUBJECT} || ': ' || {_HEADLINE} END AS title_ko,
+  {_SUMMARY.replace('(tags,', '(vt,')} AS factual_summary_ko, trim(excerpt) AS factual_summary_en, {_SIGNAL_KO} AS signal_ko, {_SIGNAL_EN} AS signal_en,
+  CASE WHEN len(ko) = 0 THEN {s(scoring.OTHER_REASON[0])} ELSE array_to_string(ko[1:3], ' · ') END AS why_ko, CASE WHEN len(en) = 0 THEN {s(scoring.OTHER_REASON[1])} ELSE array_to_string(en[1:3], ' · ') END AS why_en,
+  {_NAMED['ko']} AS category_ko, {_NAMED['en']} AS category_en, {FACET_SQL} AS kind, publisher AS publisher_shown, CASE WHEN contains(url, 'google.com') THEN NULL ELSE url END AS link,
+  strftime(published_at, '%Y-%m-%d %H:%M') AS time, array_to_string(vt, ',') AS shown_tags FROM c""")
+def news_view(spark, sf_dir):
+    """All that readers see of an article."""
+    shown = view.views(_scored(spark, sf_dir), LEXICON)
+    plain = "doc_id title_en title_ko factual_summary_ko factual_summary_en signal_ko signal_en why_ko why_en category_ko category_en kind publisher_shown link time".split()
+    return shown.select(*plain, F.array_join("shown_tags", ",").alias("shown_tags"))

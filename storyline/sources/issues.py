@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from storyline.sources.log import CommitLog
 
 #: Tables of an issue, their keys (the last row by key counts), and columns in which a day's rows come back in order.
-TABLES = {"articles": ["article_id"], "events": ["event_id"], "event_articles": ["event_id", "article_id"]}
-ORDER = {"articles": [F.asc, "position"], "events": [F.desc, "importance", "created_at"], "event_articles": [F.desc, "similarity"]}
+TABLES = {"articles": ["article_id"], "events": ["event_id"], "event_articles": ["event_id", "article_id"], "warnings_table": ["feed_id", "warning"]}
+ORDER = {"articles": [F.asc, "position"], "events": [F.desc, "importance", "created_at"], "event_articles": [F.desc, "similarity"], "warnings_table": [F.asc, "feed_id", "warning"]}
 #: What an event gives its articles, by the articles' names of it.
 OF_EVENT = {
     "event_source_count": "source_count",
@@ -45,7 +45,7 @@ class Issues:
         return CommitLog(self.spark, f"{self.folder}/{date}/log")
 
     def save(self, date: str, now: str, warnings: Iterable[str] = (), metrics: dict | None = None, title: str | None = None, **tables: DataFrame) -> int:
-        """Replaces the issue of a day by ``articles``, ``events`` and ``event_articles``; the number of its commit.
+        """Replaces the issue of a day by ``articles``, ``events``, ``event_articles`` and ``warnings_table``; the number of its commit.
 
         Rows that repeat a key count once.  Of two writers both commits count, one after the
         other; the later one's issue is what readers see.  When the issue first appeared stays.
