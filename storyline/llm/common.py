@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -104,25 +105,58 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> np.ndarray:
-    """Ascending distinct bounds that cut ``column`` into at most ``n`` ranges of about equal row counts.
+#: The place of null ids: before all others.
+NO_ID = -(1 << 63)
+#: Characters by which texts of one frequent id are told apart, and rows of such ids that are looked at for that, about.
+BEGIN_CHARS, BEGIN_ROWS = 256, 1 << 16
 
-    Only the key column is read.  The result has fewer than ``n`` numbers.
+
+def ranged(rows: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", falling: bool = False) -> DataFrame:
+    """``rows`` with _id (``NO_ID`` for null), _begin and _range: ``n`` ranges of about equal row counts in the order of ids, then texts.
+
+    Bounds are quantiles of the ids.  An id that is several of them (a frequent one, or the
+    missing one) has the ranges between them to itself; its rows are spread over these by the beginning of
+    their texts (_begin, null for other ids), with bounds from a sample.  Only rows of one id whose first
+    ``BEGIN_CHARS`` characters are equal stay together.  With ``falling`` the greater texts of such an
+    id have the lower ranges, for an order by falling ids and rising texts.
     """
     shares = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)) if shares else F.lit(0.5), max(10_000, 20 * n))).first()
-    return np.unique(np.array([] if row[0] is None or not shares else row[0], dtype=np.int64))
+    keyed = rows.withColumn("_id", F.coalesce(F.col(id_col), F.lit(NO_ID)))
+    found, total = keyed.agg(F.percentile_approx("_id", F.array(*map(F.lit, shares)) if shares else F.lit(0.5), max(10_000, 20 * n)), F.count(F.lit(1))).first()
+    bounds = np.array([] if found is None or not shares else found, dtype=np.int64)
+    values, times = np.unique(bounds, return_counts=True)
+    frequent = values[times > 1].tolist()
+    if not frequent:
+        return keyed.withColumns({"_begin": F.lit(None).cast("string"), "_range": range_of(values, F.col("_id"))})
+    often = F.col("_id").isin(frequent)
+    keyed = keyed.withColumn("_begin", F.when(often, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, BEGIN_CHARS)))
+    some = F.pmod(F.xxhash64(text_col), F.lit(max(1, total // BEGIN_ROWS))) == 0
+    begins: dict[int, list[str]] = {i: [] for i in frequent}
+    for row in keyed.where(often & some).select("_id", "_begin").limit(4 * BEGIN_ROWS).collect():
+        begins[row["_id"]].append(row["_begin"])
+    cuts = {}
+    for i, c in zip(values[times > 1].tolist(), times[times > 1].tolist(), strict=True):
+        sample = sorted(begins[i])
+        cuts[i] = [sample[len(sample) * j // c] for j in range(1, c)] if sample else []
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, begin: pd.Series) -> pd.Series:
+        k = ids.to_numpy(dtype=np.int64)
+        low, high = np.searchsorted(bounds, k, side="left"), np.searchsorted(bounds, k, side="right")
+        out = high.copy()
+        for j in np.flatnonzero(high - low > 1):
+            at = bisect_right(cuts[int(k[j])], begin.iat[j])
+            out[j] = high[j] - at if falling else low[j] + 1 + at
+        return pd.Series(out.astype(np.int32))
+
+    return keyed.withColumn("_range", place("_id", "_begin"))
 
 
 def range_of(bounds: np.ndarray, column: Column) -> Column:
-    """The number of the range in which a long value lies (0 for null); only the key goes to Python."""
+    """The number of the range in which a long value that isn't null lies; only the key goes to Python."""
 
     @F.pandas_udf("int")
     def place(values: pd.Series) -> pd.Series:
-        known = values.notna().to_numpy()
-        out = np.zeros(len(values), dtype=np.int32)
-        out[known] = np.searchsorted(bounds, values[known].to_numpy(dtype=np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(bounds, values.to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
-    # the cast to string keeps 64-bit values whole where the column also has nulls
     return place(column) if len(bounds) else F.lit(0)

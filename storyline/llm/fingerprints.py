@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import words as W
-from storyline.llm.common import partitions, range_bounds, range_of
+from storyline.llm.common import partitions, ranged
 
 WINDOW, RUN, VOTES = 32, 48, 12
 LEVELS, LOWEST, HIGHEST = 1000, 100, 990
@@ -231,11 +231,10 @@ def compared(docs: DataFrame, rarity: np.ndarray | None = None, id_col: str = "d
         rarity = rarities(rows)
     n = partitions(rows)
     # ranges of descending ids: null ids last, so they are given the lowest
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    bounds = range_bounds(rows, "doc_id", n)
-    place = range_of(bounds, key)
-    ids = rows.select(key.alias("k"))
-    firsts = {r["range"]: r["k"] for r in ids.withColumn("range", range_of(bounds, F.col("k"))).groupBy("range").agg(F.max("k").alias("k")).collect()}
+    placed = ranged(rows, n, falling=True)
+    # the first of a range has its greatest id and, of these, the least text
+    mark = F.min(F.struct(F.bitwise_not("_id").alias("id"), "_begin")).alias("first")
+    firsts = {r["_range"]: (~r["first"]["id"], r["first"]["_begin"]) for r in placed.groupBy("_range").agg(mark).collect()}
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not firsts:
         return spark.createDataFrame([], schema)
@@ -243,14 +242,14 @@ def compared(docs: DataFrame, rarity: np.ndarray | None = None, id_col: str = "d
     used = sorted(firsts)
     guest = {firsts[r]: used[(i + 1) % len(used)] for i, r in enumerate(used)}
     # one row for each range, so the broadcast is bounded by their number
-    lent = spark.createDataFrame(list(guest.items()), "key long, to int")
-    held = rows.withColumns({"key": key, "range": place}).join(F.broadcast(lent), "key", "left")
+    lent = spark.createDataFrame([(*first, to) for first, to in guest.items()], "lent_id long, lent_begin string, to int")
+    held = placed.join(F.broadcast(lent), (F.col("_id") == F.col("lent_id")) & F.col("_begin").eqNullSafe(F.col("lent_begin")), "left")
     # of rows that repeat a lent id the first by text stands first
-    copies = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("lent")))).otherwise(
-        F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("lent")), F.struct(F.col("to").alias("r"), F.lit(True).alias("lent")))
+    copies = F.when(F.col("to").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("lent")))).otherwise(
+        F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("lent")), F.struct(F.col("to").alias("r"), F.lit(True).alias("lent")))
     )
-    dealt = held.withColumn("copy", F.explode(copies)).select(F.col("copy.r").alias("range"), F.col("copy.lent").alias("lent"), "key", "doc_id", "text")
-    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions(F.asc("lent"), F.desc("key"), "text").select("lent", "doc_id", "text")
+    dealt = held.withColumn("copy", F.explode(copies)).select(F.col("copy.r").alias("range"), F.col("copy.lent").alias("lent"), "_id", "doc_id", "text")
+    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions(F.asc("lent"), F.desc("_id"), "text").select("lent", "doc_id", "text")
 
     def rows_of(ids: list, texts: list[str], own: list[np.ndarray], changed: list[str], theirs: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
         columns = [

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm.bpe import encoder
-from storyline.llm.common import partitions, range_bounds, range_of
+from storyline.llm.common import partitions, ranged
 
 SIZE = 2048
 SENTENCE, ANYWHERE, SEQUENCE = 16, 64, 256
@@ -157,7 +157,6 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, id_col
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = partitions(rows)
-    bounds = range_bounds(rows, "doc_id", n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -178,5 +177,5 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, id_col
             yield out(pieces)
         yield out(list(packer.pack(True)))
 
-    dealt = rows.withColumn("range", range_of(bounds, F.col("doc_id"))).repartitionById(n, F.col("range"))
-    return dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(run, PIECES)
+    dealt = ranged(rows, n).repartitionById(n, F.col("_range"))
+    return dealt.sortWithinPartitions("_id", "text").select("doc_id", "text").mapInArrow(run, PIECES)

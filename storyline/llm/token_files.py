@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.llm.bpe import encoder
-from storyline.llm.common import new_path, partitions, range_bounds, range_of, scratch
+from storyline.llm.common import new_path, partitions, ranged, scratch
 
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
 NULL_ID = np.iinfo(np.int64).min
@@ -67,7 +67,6 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = partitions(rows)
-    bounds = range_bounds(rows, "doc_id", n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -88,8 +87,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
             }
         )
 
-    dealt = rows.withColumn("range", range_of(bounds, F.col("doc_id"))).repartitionById(n, F.col("range"))
-    made = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(run, MANIFEST).collect()
+    dealt = ranged(rows, n).repartitionById(n, F.col("_range"))
+    made = dealt.sortWithinPartitions("_id", "text").select("doc_id", "text").mapInArrow(run, MANIFEST).collect()
     manifest, base_doc, base_token = [], 0, 0
     for row in sorted(made):  # one row for each range, bounded by their number
         manifest.append((*row, base_doc, base_token))

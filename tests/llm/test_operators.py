@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -745,3 +746,44 @@ def test_registered_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_frequent_ids_are_spread_in_order(spark):
+    """A missing id, or one that repeats, has ranges to itself; ranges follow ids and texts."""
+    from storyline.llm.common import NO_ID, ranged
+
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i:05}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for falling in (False, True):
+        found = ranged(df, 12, falling=falling).collect()
+        sizes = Counter(r["_range"] for r in found)
+        # the first range is for ids before the first bound: there are none
+        assert len(sizes) >= 11 and max(sizes.values()) <= 2 * 6000 / 12
+        order = sorted(sorted(found, key=lambda r: r["text"], reverse=falling), key=lambda r: r["_id"])
+        assert [r["_range"] for r in order] == sorted(sizes.elements())
+        assert all((r["_id"] == NO_ID) == (r["doc_id"] is None) and (r["_begin"] is not None) == (r["doc_id"] in (None, 7)) for r in found)
+    assert ranged(df.limit(0), 4).collect() == []
+
+
+def test_results_over_many_ranges_of_frequent_ids(spark):
+    """Files, pieces and neighbours are whole where most ids are missing or repeat."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"A text of number {i}, with some words that fill it. " * (1 + i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    library, words = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    found = sorted(token_files.token_file_digest(docs, BYTE).collect(), key=lambda r: r["start"])
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter((i, len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found]).tolist()][:-1]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in found]
+    assert ids == sorted(ids)
+    pieces = packing.packed(docs, WORD).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(words.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    held = Counter()
+    for r in pieces:
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 2048
+    near = fingerprints.compared(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in near) == Counter((i, len(t)) for i, t in rows)
+    # the next document: the next by falling ids, then rising texts
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -99), r[1]))
+    after = [fingerprints.edited(x[1], order[(i + 1) % len(order)][1]) for i, x in enumerate(order)]
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in near) == Counter((x[0], hashlib.sha256(t.encode()).hexdigest()) for x, t in zip(order, after, strict=True))
