@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyline.functions import facets
 from storyline.functions.entities import Lexicon, with_entity_matches
 from storyline.operators import select
-from storyline.plans import display, presentation
+from storyline.plans import display, presentation, view
 from storyline.sources import feeds, rules
 from storyline.sources.store import Store
 
@@ -70,6 +70,13 @@ def test_names_with_accents_are_found_in_any_case(spark, title):
     assert spark.range(1).select(made).first()[0].startswith("Citroën: ")
 
 
+def test_view_names_what_upper_case_titles_name(spark):
+    columns = "id long, title string, excerpt string, tags array<string>, source string, publisher string, source_type string, category string, primary_category string, url string, published_at timestamp, relevance_score int, impact_score int, source_score int, novelty_score int, recency_score int, text string"
+    row = (1, "CITROËN recalls vehicles", "", ["SDV"], "Reuters", "Reuters", "media", "oem", "oem", "https://e.example/1", None, 500, 500, 500, 500, 500, "CITROËN recalls vehicles")
+    shown = view.views(spark.createDataFrame([row], columns), Lexicon.standard()).first()
+    assert shown["title_en"] == "CITROËN recalls vehicles" and shown["title_ko"].startswith("Citroën: ")
+
+
 def test_leftovers_go_to_regulation_and_market(spark):
     rows = [(1, "u1", "oem", "oem", "media"), (2, "u1", "other", "other", "media"), (3, "u3", "institution", "institution", "regulator"), (4, "u4", "reference", "reference", "media"), (5, "u5", "other", "big", "media")]
     df = spark.createDataFrame(rows, "id long, url string, category string, primary_category string, source_type string")
