@@ -331,3 +331,16 @@ def test_pairs_of_blocks_of_any_size(spark):
     scored = {(x[0], x[1]): x[2] for x in similarity.scored_pairs(rows.drop("canonical_url").withColumn("canonical_url", F.col("url").substr(1, 0)).withColumn("url", F.concat("url", F.col("id").cast("string")))).collect()}
     wanted = {(x[0], x[1]): x[2] for x in every.collect() if x[2] < 1.0}
     assert wanted and all(scored[k] == v for k, v in wanted.items())
+
+
+def test_repeats_of_titles_by_their_rare_words(spark):
+    """Titles that share four words and 3/4 of the larger one, by brute force; common words alone bring nothing together."""
+    titles = [(i, sorted({f"w{(i * k) % 23}" for k in range(1, 4 + i % 6)} | {"a", "b", "c"})) for i in range(60)]
+    new, old = [t for t in titles if t[0] % 3], [t for t in titles if t[0] % 3 == 0]
+    table = lambda rows: spark.createDataFrame(rows, "id long, title_tokens array<string>")
+    alike = lambda a, b: len(set(a) & set(b)) >= 4 and len(set(a) & set(b)) * 4 >= max(len(a), len(b)) * 3
+    wanted = sorted(i for i, t in new if any(alike(t, o) for _, o in old))
+    assert 0 < len(wanted) < len(new) and ids(dedupe.repeated(table(new), table(old))) == wanted
+    # a word that all titles have leads from none to another
+    words = lambda n: [(i, ["common", *(f"{n}{i}{k}" for k in range(5))]) for i in range(50)]
+    assert dedupe.title_meetings(table(words("x")), table(words("y"))).count() == 0
