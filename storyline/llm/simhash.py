@@ -11,7 +11,7 @@ with the data, so classes are dealt to shards first, without loss: the open bits
 cut into ``radius + 1`` stretches, and two fingerprints that differ in ``radius`` bits at
 most agree on a whole stretch, hence on its beginning.  A class goes to one shard for
 each stretch; the stretch's beginning is as wide as it takes for about ``TREE``
-classes in a shard.  A shard that holds more (many classes with one beginning) is
+classes in a shard (a search visits a large part of its tree, so trees are small).  A shard that holds more (many classes with one beginning) is
 cut again, by whole stretches of its open bits, until none does or few bits are open (``FEW_BITS``, which
 bound a shard by themselves).  So each tree, and what its queries meet, has a bounded
 size; a shard's tree goes to the task that has this shard's queries and nowhere else.
@@ -43,7 +43,7 @@ from storyline.llm.components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Classes that a shard holds about, and open bits from which a shard isn't cut any more.
-TREE, FEW_BITS = 4096, 16
+TREE, FEW_BITS = 512, 16
 #: Bytes of texts, shingles and queries that are handled together.
 GROUP, BLOCK, QUERIES = 1 << 19, 1 << 16, 256
 

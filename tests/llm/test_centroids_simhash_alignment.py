@@ -239,3 +239,10 @@ def test_chunks_and_forgetting_change_nothing(monkeypatch):
     assert len(few.known) <= 40 + 400
     assert [r[:5] for r in parts] == [r[:5] for r in whole]
     assert held == dict(zip(pairs.tolist(), holders.tolist(), strict=True))
+
+
+def test_trees_stay_small(spark):
+    """A shard's tree holds a few hundred classes, whatever their number."""
+    values = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()
+    sizes = [r["count"] for r in simhash.shards(spark.createDataFrame([(v,) for v in values], "fp long")).groupBy("mask", "value").count().collect()]
+    assert max(sizes) <= 512 and sum(sizes) >= 3 * len(values)
