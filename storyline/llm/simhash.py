@@ -15,6 +15,8 @@ classes in a shard (a search visits a large part of its tree, so trees are small
 cut again, by whole stretches of its open bits, until none does or few bits are open (``FEW_BITS``, which
 bound a shard by themselves).  So each tree, and what its queries meet, has a bounded
 size; a shard's tree goes to the task that has this shard's queries and nowhere else.
+Most shards that were cut hold one class or few, so a task gets many whole shards at once and
+builds and searches all their trees level by level together (a forest).
 
 A shard returns a star for each of its own components (at most one edge for each
 class), not all pairs; components of the stars' union are those of all links.
@@ -45,7 +47,9 @@ SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Classes that a shard holds about, and open bits from which a shard isn't cut any more.
 TREE, FEW_BITS = 512, 16
 #: Bytes of texts, shingles and queries that are handled together.
-GROUP, BLOCK, QUERIES = 1 << 19, 1 << 16, 256
+GROUP, BLOCK, QUERIES = 1 << 19, 1 << 16, 2048
+#: Classes of whole shards that are handled in one call, about.
+FOREST = 16384
 
 
 def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,14 +100,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """A BK-tree over different 64-bit values, built and searched level by level with numpy."""
+    """BK-trees over 64-bit values that differ within a tree, built and searched level by level with numpy.
 
-    def __init__(self, values: np.ndarray):
+    ``root`` has the place of each value's root, the first value of its tree (one tree without it).
+    """
+
+    def __init__(self, values: np.ndarray, root: np.ndarray | None = None):
         self.values = values
+        self.root = np.zeros(len(values), dtype=np.int64) if root is None else root
         #: child[node, distance]: the child on the edge of this distance, or -1
         self.child = np.full((len(values), BITS + 1), -1, dtype=np.int32)
-        waiting = np.arange(1, len(values))
-        parent = np.zeros(len(waiting), dtype=np.int64)
+        waiting = np.flatnonzero(self.root != np.arange(len(values)))
+        parent = self.root[waiting]
         while len(waiting):
             distance = np.bitwise_count(values[waiting] ^ values[parent])
             edge = parent * (BITS + 1) + distance
@@ -114,18 +122,28 @@ class BKTree:
             waiting, parent = waiting[parent != waiting], parent[parent != waiting]
 
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of query, node) of all pairs within ``radius``."""
-        who, node = np.arange(len(queries)), np.zeros(len(queries) if len(self.values) else 0, dtype=np.int64)
-        who = who[: len(node)]
+        """(number of query, node) of all pairs within ``radius``, in the first value's tree."""
+        who = np.arange(len(queries) if len(self.values) else 0)
+        return self._walk(queries, who, np.zeros(len(who), dtype=np.int64), radius)
+
+    def earlier(self, places: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of place, node) of all pairs within ``radius`` of values at ``places`` and those before them in their trees.
+
+        A node's children come after it, so a search stops where its own place is reached; the later value of a pair finds the earlier one.
+        """
+        who = np.flatnonzero(self.root[places] < places)
+        return self._walk(self.values[places], who, self.root[places[who]], radius, places)
+
+    def _walk(self, queries: np.ndarray, who: np.ndarray, node: np.ndarray, radius: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
             distance = np.bitwise_count(queries[who] ^ self.values[node]).astype(np.int64)
             near = distance <= radius
             found.append((who[near], node[near]))
-            on = [(who, node, distance + e) for e in range(-radius, radius + 1)]
-            steps = [(w[ok], self.child[n[ok], d[ok]]) for w, n, d in on for ok in [(d >= 0) & (d <= BITS)]]
-            who, node = (np.concatenate(x) for x in zip(*steps, strict=True))
-            who, node = who[node >= 0], node[node >= 0].astype(np.int64)
+            edges = distance[:, None] + np.arange(-radius, radius + 1)
+            child = np.where((edges >= 0) & (edges <= BITS), self.child[node[:, None], np.clip(edges, 0, BITS)], -1)
+            i, j = np.nonzero(child >= 0 if before is None else (child >= 0) & (child < before[who][:, None]))
+            who, node = who[i], child[i, j].astype(np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (who, node)
 
 
@@ -145,12 +163,21 @@ def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (u, v) that join exactly what links of at most ``radius`` bits join among ``values``."""
-    values = np.unique(values)
-    tree, parent = BKTree(values), np.arange(len(values))
+def stars(values: np.ndarray, radius: int, shard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (u, v) that join exactly what links of at most ``radius`` bits join among ``values``; with ``shard`` (a number for each value), among those of a shard."""
+    shard = np.zeros(len(values), dtype=np.int64) if shard is None else shard
+    order = np.lexsort((values, shard))
+    values, shard = values[order], shard[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (shard[1:] != shard[:-1])
+    values, shard = values[new], shard[new]
+    root = np.searchsorted(shard, shard)
+    # what is alone in its shard has no links there
+    alone = np.bincount(root, minlength=len(values))[root] == 1
+    values, shard = values[~alone], shard[~alone]
+    tree, parent = BKTree(values, np.searchsorted(shard, shard)), np.arange(len(values))
     for k in range(0, len(values), QUERIES):
-        who, node = tree.search(values[k : k + QUERIES], radius)
+        who, node = tree.earlier(np.arange(k, min(k + QUERIES, len(values))), radius)
         merge(parent, who + k, node)
     child = np.flatnonzero(parent != np.arange(len(values)))
     return values[parent[child]], values[child]
@@ -194,10 +221,16 @@ def links(classes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFra
     """Edges (u, v) between fingerprints whose components are those of all links."""
 
     def search(table: pa.Table) -> pa.Table:
-        u, v = stars(table.column("fp").to_numpy().view(np.uint64), radius)
+        mask, value = (table.column(c).to_numpy() for c in ("mask", "value"))
+        order = np.lexsort((value, mask))
+        shard = np.zeros(len(order), dtype=np.int64)
+        shard[order[1:]] = np.cumsum((np.diff(mask[order]) != 0) | (np.diff(value[order]) != 0))
+        u, v = stars(table.column("fp").to_numpy().view(np.uint64), radius, shard)
         return pa.table([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return shards(classes, radius, tree).groupBy("mask", "value").applyInArrow(search, "u long, v long")
+    rows = shards(classes, radius, tree)
+    forest = F.pmod(F.xxhash64("mask", "value"), F.lit(max(1, rows.count() // FOREST)).cast("long"))
+    return rows.withColumn("forest", forest).groupBy("forest").applyInArrow(search, "u long, v long")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED, tree: int = TREE) -> DataFrame:

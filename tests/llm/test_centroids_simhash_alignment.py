@@ -246,3 +246,19 @@ def test_trees_stay_small(spark):
     values = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()
     sizes = [r["count"] for r in simhash.shards(spark.createDataFrame([(v,) for v in values], "fp long")).groupBy("mask", "value").count().collect()]
     assert max(sizes) <= 512 and sum(sizes) >= 3 * len(values)
+
+
+def test_many_trees_are_searched_together():
+    """Trees of many shards, most of one value, in one call: what each shard's own call finds; a link lies within a shard."""
+    values = np.array(near_values(600, 8), dtype=np.uint64)
+    rng = np.random.default_rng(8)
+    shard = np.where(rng.random(len(values)) < 0.2, rng.permutation(len(values)) + 3, rng.integers(0, 3, len(values)))
+    found = list(zip(*(x.tolist() for x in simhash.stars(values, 2, shard)), strict=True))
+    apart = [pair for k in np.unique(shard) for pair in zip(*(x.tolist() for x in simhash.stars(values[shard == k], 2)), strict=True)]
+    assert sorted(found) == sorted(apart) and len(found) > 20
+    root = np.searchsorted(np.sort(shard), np.sort(shard))
+    tree = simhash.BKTree(values[np.argsort(shard, kind="stable")], root)
+    who, node = tree.earlier(np.arange(len(values)), 2)
+    v = tree.values
+    expected = {(i, j) for i in range(len(v)) for j in range(root[i], i) if (int(v[i]) ^ int(v[j])).bit_count() <= 2}
+    assert set(zip(who.tolist(), node.tolist(), strict=True)) == expected and len(who) == len(expected)
