@@ -59,7 +59,7 @@ def views(rows: DataFrame, lexicon: Lexicon, found: DataFrame | None = None) ->
             "title_en": display.clean_title(title),
             "title_ko": display.title_ko(title, excerpt, F.coalesce(own("summary_ko"), F.lit("")), tags, F.col("category"), source, lexicon),
             "factual_summary_ko": display.factual_summary_ko(summary),
-            "factual_summary_en": F.coalesce(F.trim(F.regexp_replace(own("summary_en"), r"\s*\[Why it matters:.*?\]", "")), F.nullif(F.trim(excerpt), F.lit("")), F.lit(NO_SUMMARY_EN)),
+            "factual_summary_en": F.coalesce(F.trim(F.regexp_replace(own("summary_en"), r"\s*\[Why it matters:.*?\]", "")), F.nullif(display.trimmed(excerpt), F.lit("")), F.lit(NO_SUMMARY_EN)),
             "key_points": display.key_points(title, excerpt, F.coalesce(column_or(rows, "entities", None, "array<string>"), none), F.coalesce(column_or(rows, "topics", None, "array<string>"), none), tags, source),
             "signal_ko": display.business_signal(title, excerpt),
             "signal_en": display.business_signal(title, excerpt, "en"),

@@ -145,3 +145,19 @@ def test_summaries_of_a_connector(spark):
         raise RuntimeError
 
     assert [r["summary"] for r in presentation.summarised(rows, broken, "summary string").collect()] == [None, None]
+
+
+def test_titles_and_summaries_take_white_space_as_sql_does(spark):
+    """A vertical tab is no white space, all spaces are trimmed, and a source's name ends where the text ends."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from storyline.plans import display, news
+
+    texts = ["a\x0bb", " a b ", " a\tb \n", "a  b - Reuters", "a - Reuters\u0085", "　a | src ", "a\x0b- Reuters", "\x0ba", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, title string")
+    found = [tuple(r) for r in rows.orderBy("i").select(display.clean_title(F.col("title")), display.trimmed(F.col("title"))).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, title VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    assert found == con.execute(f"SELECT {news._CLEAN}, trim(title) FROM t ORDER BY i").fetchall()
