@@ -161,6 +161,19 @@ def test_candidates_lose_no_pair_that_scores(spark):
     assert len(expected) > 10 and found == expected
 
 
+def test_profiles_are_compared_once(spark, monkeypatch):
+    """Few profiles are compared before the pairs of articles are made, many with each pair; the scores are the same."""
+    rows = dedupe.checkpointed(similarity.with_features(*catalogue.event_articles(spark, SF)))
+    scores = lambda df: sorted(map(tuple, df.collect()))
+    few = similarity.scored_pairs(rows)
+    assert "arrays_overlap" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(similarity, "PROFILE_PAIRS", 0)
+    many = similarity.scored_pairs(rows)
+    assert "arrays_overlap" in many._jdf.queryExecution().optimizedPlan().toString()
+    found = scores(few)
+    assert found == scores(many) and len({x[2] for x in found}) > 20 and len({x[:2] for x in found}) == len(found)
+
+
 def test_articles_of_one_url_are_a_star(spark):
     """n articles of one URL have n - 1 links, and each is in the event of their best."""
     from storyline.operators import events
